@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import embed, mixing, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +17,19 @@ def op1_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
 
 
+def op2_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(table(spark, sf_dir, "documents"), words=3, radius=2, seed=42)
+
+
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.cluster(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -53,7 +61,7 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN part > 0 AND befor
 
 
 def queries() -> dict:
-    found = (op1_vector_bin_packing, op5_water_filling)
+    found = (op1_vector_bin_packing, op2_simhash_vp_tree, op5_water_filling, op8_hnsw_shards)
     return {f.__name__: f for f in found}
 
 
