@@ -6,6 +6,7 @@ with target = min(cap, L * weight), found from prefix sums over the sources (one
 Each document is taken a whole number of times, and once more if it falls in the seeded fraction:
 documents are ordered by a seeded MD5, split in hash buckets, and only the bucket in which the
 fraction ends is ranked row by row, so that a source of any size meets its target to half a document.
+The outcome is one rule per source, by which every row is judged on its own.
 """
 
 from __future__ import annotations
@@ -37,36 +38,58 @@ def water_fill(sources: DataFrame, budget: float, weights=WEIGHTS, max_epochs: i
     return s.select("skey", "source", "source_size", "weight", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, max_epochs: int = 2, seed: int = 42, buckets_hex: int = 3) -> DataFrame:
-    """docs (doc_id, text, source, any more) -> doc_id, source, size, source_size, target, times, taken.
-
-    size: words of the text, 0 if null. times: how often the mix takes the document; taken = times * size.
-    Null sources are one source, ordered last. Null doc_ids and repeated rows are documents of their own,
-    ordered among equals by size. Empty tables give no rows; a source without words gets target 0.
-    """
+def _drawn(docs: DataFrame, seed: int, buckets_hex: int) -> dict:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", key.alias("skey"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("draw"),
-    ).withColumn("bucket", F.substring("draw", 1, buckets_hex))
-    slim = stored(slim, "mix-sizes")
-    parts = stored(slim.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    sources = parts.groupBy("skey", "source").agg(F.sum("words").cast("long").alias("source_size"))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return {"_skey": key, "_draw": draw, "_bucket": F.substring(draw, 1, buckets_hex), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))}
+
+
+def _rules(slim: DataFrame, share: float, weights, max_epochs: int) -> DataFrame:
+    """One row per source: _skey, source_size, target, whole (repetitions of every document), and what is taken once more: buckets
+    up to ``full``, and in bucket ``edge`` the documents up to ``last`` (draw, id)."""
+    parts = stored(slim.groupBy("_skey", "source", "_bucket").agg(F.sum("size").alias("words")), "mix-buckets")
+    sources = parts.groupBy("_skey", "source").agg(F.sum("words").cast("long").alias("source_size"))
     total = parts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    filled = water_fill(sources, share * total, weights, max_epochs)
+    filled = water_fill(sources.withColumnRenamed("_skey", "skey"), share * total, weights, max_epochs).withColumnRenamed("skey", "_skey")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    filled = filled.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    # at most 16 ** buckets_hex rows per source
-    run = Window.partitionBy("skey").orderBy("bucket")
-    ends = parts.drop("source").withColumn("done", F.sum("words").over(run) - F.col("words"))
-    ends = ends.join(filled.drop("source", "weight"), "skey").withColumn("open", F.col("part") - F.col("done"))
-    d = slim.join(ends.drop("done"), ["skey", "bucket"])
-    inside = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (F.col("open") > 0) & (F.col("open") < F.col("words"))
-    keep = ["doc_id", "source", "size", "source_size", "target", "whole"]
-    sure = d.where(~edge).select(*keep, F.when(F.col("open") > 0, 1).otherwise(0).alias("more"))
-    before = F.coalesce(F.sum("size").over(inside), F.lit(0))
-    last = d.where(edge).withColumn("before", before).select(*keep, F.when(F.col("before") + F.col("size") / 2 <= F.col("open"), 1).otherwise(0).alias("more"))
-    times = (F.col("whole") + F.col("more")).cast("long")
-    return sure.unionByName(last).select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    filled = filled.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")).drop("source", "weight")
+    run = Window.partitionBy("_skey").orderBy("_bucket")  # at most 16 ** buckets_hex rows per source
+    ends = parts.withColumn("done", F.sum("words").over(run) - F.col("words")).join(filled, "_skey").withColumn("open", F.col("part") - F.col("done"))
+    edge = ends.where((F.col("open") > 0) & (F.col("open") < F.col("words"))).select("_skey", "_bucket", "open")
+    near = slim.join(edge, ["_skey", "_bucket"]).groupBy("_skey", "_bucket", "open", "_draw", "_id").agg(F.sum("size").alias("size"))
+    inside = Window.partitionBy("_skey", "_bucket").orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).where(F.col("before") + F.col("size") / 2 <= F.col("open"))
+    last = near.groupBy("_skey").agg(F.max(F.struct("_draw", "_id")).alias("last"), F.max("_bucket").alias("edge"))
+    full = ends.groupBy("_skey").agg(F.max(F.when((F.col("open") > 0) & (F.col("open") >= F.col("words")), F.col("_bucket"))).alias("full"))
+    return filled.drop("part").join(full, "_skey").join(last, "_skey", "left")
+
+
+def _take(docs: DataFrame, share: float, weights, max_epochs: int, seed: int, buckets_hex: int, most_sources: int) -> tuple[DataFrame, DataFrame]:
+    """A slim copy of docs (doc_id, source, size) and docs itself, both with source_size, target and times."""
+    keys = _drawn(docs, seed, buckets_hex)
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    slim = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), *(v.alias(k) for k, v in keys.items())), "mix-sizes")
+    rules = stored(_rules(slim, share, weights, max_epochs), "mix-rules")
+    if rules.count() <= most_sources:
+        rules = F.broadcast(rules)
+    more = F.coalesce(F.col("_bucket") <= F.col("full"), F.lit(False)) | F.coalesce((F.col("_bucket") == F.col("edge")) & (F.struct("_draw", "_id") <= F.col("last")), F.lit(False))
+    told = lambda d: d.join(rules, "_skey").withColumn("times", F.col("whole") + more.cast("long"))
+    return told(slim), told(docs.withColumns(keys))
+
+
+def plan_mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, max_epochs: int = 2, seed: int = 42, buckets_hex: int = 3, most_sources: int = 100_000) -> DataFrame:
+    """docs (doc_id, text, source, any more) -> doc_id, source, size, source_size, target, times, taken; one row per input row.
+
+    size: words of the text, 0 if null. times: how often the mix takes the document; taken = times * size.
+    Null sources are one source, ordered last. Rows that share a doc_id, or have none, are taken alike within a source.
+    Empty tables give no rows; a source without words gets target 0. The rules, one row per source, are
+    broadcast if there are at most ``most_sources``, else joined by a shuffle.
+    """
+    slim, _ = _take(docs, share, weights, max_epochs, seed, buckets_hex, most_sources)
+    return slim.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, max_epochs: int = 2, seed: int = 42, buckets_hex: int = 3, most_sources: int = 100_000) -> DataFrame:
+    """The mix itself: docs' columns, each row as often as ``plan_mix`` takes it."""
+    _, rows = _take(docs, share, weights, max_epochs, seed, buckets_hex, most_sources)
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select(*docs.columns)

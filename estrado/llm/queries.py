@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed, mixing, sharding, simhash
+from . import decontam, embed, langid, licenses, mixing, pii, sharding, simhash, suffix, warc
+from .scratch import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +22,63 @@ def op2_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"), words=3, radius=2, seed=42)
 
 
+def op3_bucket_pointer_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
+def op4_transaction_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least=0)
+    return warc.digest_captures(warc.assemble(warc.read_records(spark, path, payloads=False)))
+
+
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.plan_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out().alias("held_out"))
+    profiles = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.cluster(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op9_dice_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that leaks into it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), text_out=False)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), q AS (
+  SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, sha1(payload) AS hex FROM p
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hex) AS head,
+         [('0x' || substr(hex, 10 * g + 1, 10))::BIGINT for g in range(4)] AS parts
+  FROM q
+)
+SELECT page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31)::INTEGER + 1, 1) for i in range(32)], '') AS payload_digest,
+       CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN head = page_id THEN NULL ELSE head END AS refers_to
+FROM r
+"""
+
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -61,9 +110,12 @@ SELECT doc_id, size, source_size, target, ((whole + CASE WHEN part > 0 AND befor
 
 
 def queries() -> dict:
-    found = (op1_vector_bin_packing, op2_simhash_vp_tree, op5_water_filling, op8_hnsw_shards)
+    found = (
+        op1_vector_bin_packing, op2_simhash_vp_tree, op3_bucket_pointer_refinement, op4_transaction_assembly, op5_water_filling,
+        op6_rank_order_profiles, op7_anchor_expansion, op8_hnsw_shards, op9_dice_bigrams, op10_spaced_seeds,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_water_filling": OP5_SQL}
+    return {"op4_transaction_assembly": OP4_SQL, "op5_water_filling": OP5_SQL}

@@ -29,18 +29,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple
         yield now, pa.Table.from_batches(held)
 
 
-def keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
-    """``docs`` with a long ``name`` that is unique and rises with doc_id (null last), then with the text.
+def keyed(rows: DataFrame, name: str = "_key", id_col: str = "doc_id", text_col: str = "text", nulls_first: bool = False) -> DataFrame:
+    """``rows`` with a long ``name`` that is unique and rises with the id (null last, or first), then with the text.
 
-    Usually that is doc_id itself. Where doc_ids repeat or are null, rows are numbered over
-    a distributed sort of (doc_id, text hash), and rows that agree in both follow each other.
+    Usually that is the id itself. Where ids repeat or are null, rows are numbered over
+    a distributed sort of (id, text hash), and rows that agree in both follow each other.
     """
-    ids = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    ids = rows.agg(F.count(F.lit(1)), F.count(id_col), F.count_distinct(id_col)).first()
     if ids[0] == ids[1] == ids[2]:
-        return docs.withColumn(name, F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
-    schema = docs.withColumn(name, F.lit(0).cast("long")).schema
-    return docs.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+        return rows.withColumn(name, F.col(id_col).cast("long"))
+    first = F.col(id_col).asc_nulls_first() if nulls_first else F.col(id_col).asc_nulls_last()
+    schema = rows.withColumn(name, F.lit(0).cast("long")).schema
+    return rows.orderBy(first, F.xxhash64(text_col).asc()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
 
 
 class Sets:
