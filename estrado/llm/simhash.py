@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     reps = stored(reps.select("_key"), "texts")
     marks = stored(fingerprints(docs.join(reps, "_key", "left_semi"), "_key", 3, seed, sets_of=words), "fingerprints")
     points = marks.where("n > 0").select(F.col("_key").alias("id"), "fp", "n")
-    block = components(linked(points, radius, bands=least))
+    # at this radius no bound prunes random fingerprints, and more leaves only mean more queries: leaves are as large as a task holds
+    block = components(linked(points, radius, leaf_rows=1 << 16, bands=least))
     block = stored(block.join(marks, block["node"] == marks["_key"]).select("_key", F.col("root").alias("block"), "fp", "n"), "blocks")
     # a block whose shingles don't fit one tile is cut in chunks, and each pair of chunks is a tile
     cuts = block.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(float(tile))).cast("int").alias("cuts"))
