@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, extract, strip
+from .text import blank_to_null, extract, let, strip
 
 # Patterns and words of the corpus's format.
 UNID = r"(?md)^#\s*UNID:\s*([A-F0-9]+)"
@@ -62,24 +62,30 @@ def body(t: Column) -> Column:
 def _pieces(t: Column, pattern: str, mark: str) -> Column:
     """Array of struct<start, piece>: the text cut before each match; what comes before the first is left out."""
     marked = F.regexp_replace(F.translate(t, MARK + HEAD_END, ""), pattern, mark)
-    parts = F.split(marked, MARK, -1)
-    first = F.struct(F.length(F.get(parts, F.lit(0))).alias("pos"), F.array().cast("array<struct<start:int,piece:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,piece:string>>")
+    first = lambda parts: F.struct(F.length(F.get(parts, F.lit(0))).alias("pos"), none.alias("out"))
     step = lambda acc, x: F.struct(
         (acc["pos"] + F.length(F.translate(x, HEAD_END, ""))).alias("pos"), F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), x.alias("piece")))).alias("out"))
-    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), first, step, lambda acc: acc["out"])
+    return let(F.split(marked, MARK, -1), lambda parts: F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), first(parts), step, lambda acc: acc["out"]))
 
 
 def articles(t: Column) -> Column:
     """Array of articles: span from heading to heading, ended by the closing formula or right after an annex line inside."""
 
-    def one(p: Column) -> Column:
-        cut = F.regexp_replace(p["piece"], CLOSING_CUT, "")
-        cut = F.when(cut.rlike(ANNEX_INSIDE), F.regexp_extract(cut, r"(?ius)^(.*?\n\s*ANEXO\s+[IVX]+\s*\n)", 1)).otherwise(cut)
-        whole = F.regexp_replace(strip(cut), r"(?iu)\n\s*(ANEXO\s+[IVX]+)\s*$", " $1")
+    def cut(p: Column) -> Column:
+        closed = F.regexp_replace(p["piece"], CLOSING_CUT, "")
+        return let(closed, lambda x: F.when(x.rlike(ANNEX_INSIDE), F.regexp_extract(x, r"(?ius)^(.*?\n\s*ANEXO\s+[IVX]+\s*\n)", 1)).otherwise(x))
+
+    def built(p: Column, x: Column) -> Column:
+        whole = F.regexp_replace(strip(x), r"(?iu)\n\s*(ANEXO\s+[IVX]+)\s*$", " $1")
         bare = F.regexp_replace(strip(F.regexp_replace(whole, "(?d)" + HEADING, "")), r"(?U)^[.\-\s]+", "")
+        head = F.substring(p["piece"], 1, 200)
         return F.struct(
-            F.regexp_extract(p["piece"], "(?d)" + HEADING, 2).cast("int").alias("num"), strip(F.regexp_extract(p["piece"], "(?d)" + HEADING, 1)).alias("label"), bare.alias("texto"),
-            p["start"].alias("start"), (p["start"] + F.length(cut)).alias("end"), F.length(cut).alias("char_count"))
+            F.regexp_extract(head, "(?d)" + HEADING, 2).cast("int").alias("num"), strip(F.regexp_extract(head, "(?d)" + HEADING, 1)).alias("label"), bare.alias("texto"),
+            p["start"].alias("start"), (p["start"] + F.length(x)).alias("end"), F.length(x).alias("char_count"))
+
+    def one(p: Column) -> Column:
+        return let(cut(p), lambda x: built(p, x))
 
     return F.transform(_pieces(t, "(?md)" + HEADING, MARK + "$0"), one)
 
@@ -92,7 +98,7 @@ def merge_false_positives(arts: Column) -> Column:
     """
     none = F.struct(F.array().cast(f"array<{ARTICLE}>").alias("out"), F.lit(False).alias("used"))
 
-    def step(acc: Column, i: Column) -> Column:
+    def step(arts: Column, acc: Column, i: Column) -> Column:
         cur, nxt = F.get(arts, i), F.get(arts, i + 1)
         prev = F.get(acc["out"], F.size(acc["out"]) - 1)
         announced = ~acc["used"] & prev["texto"].rlike(SUBSTITUTION)
@@ -107,8 +113,11 @@ def merge_false_positives(arts: Column) -> Column:
         return F.when(has & announced, F.struct(join.alias("out"), F.lit(True).alias("used"))).when(has & jumps, F.struct(join.alias("out"), acc["used"].alias("used"))).otherwise(
             F.struct(F.concat(acc["out"], F.array(cur)).alias("out"), F.lit(False).alias("used")))
 
-    at = F.when(F.size(arts) > 0, F.sequence(F.lit(0), F.size(arts) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(at, none, step, lambda acc: acc["out"])
+    def fold(arts: Column) -> Column:
+        at = F.when(F.size(arts) > 0, F.sequence(F.lit(0), F.size(arts) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(at, none, lambda acc, i: step(arts, acc, i), lambda acc: acc["out"])
+
+    return let(arts, fold)
 
 
 def roman(c: Column) -> Column:
@@ -129,14 +138,16 @@ def annex_state(t: Column) -> Column:
 def annexes(t: Column) -> Column:
     """Array of annexes in order of appearance, false positives dropped. Only upper-case headings alone on their line count."""
 
-    def one(p: Column) -> Column:
-        head, text = F.substring_index(p["piece"], HEAD_END, 1), F.substring(p["piece"], F.instr(p["piece"], HEAD_END) + 1, F.length(p["piece"]))
+    def built(p: Column, head: Column, text: Column, state: Column) -> Column:
         size = F.length(head) + F.length(text)
-        state = annex_state(text)
         num = F.regexp_extract(head, r"ANEXO\s+([IVXLCDM]+)", 1)
         return F.struct(
             num.alias("num"), roman(num).alias("num_int"), strip(head).alias("label"), strip(text).alias("texto"), p["start"].alias("start"), (p["start"] + size).alias("end"), size.alias("char_count"),
             (state == "real").alias("tiene_contenido"), state.alias("estado_contenido"),
             F.when(state == "vacio", f"contenido digitalizado < {EMPTY_ANNEX} chars").otherwise("contenido normativo presente").alias("motivo_clasificacion"))
 
+    def one(p: Column) -> Column:
+        parts = F.split(p["piece"], HEAD_END, 2)
+        return let(parts, lambda x: let(annex_state(F.get(x, F.lit(1))), lambda state: built(p, F.get(x, F.lit(0)), F.get(x, F.lit(1)), state)))
+
     return F.filter(F.transform(_pieces(t, "(?md)" + ANNEX, f"{MARK}$0{HEAD_END}"), one), lambda a: a["estado_contenido"] != "falso_positivo")

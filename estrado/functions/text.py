@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 WORD = r"([\p{L}\p{N}_]+)"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: within lambdas nothing else keeps an expression from being evaluated at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -41,7 +41,8 @@ def chunk_documents(docs: DataFrame, key: str = "path", text: str = "contenido")
     none = F.lit(None).cast("struct<num:string,num_int:int,label:string,estado:string>")
     named = lambda a: F.struct(a["num"].alias("num"), a["num_int"].alias("num_int"), a["label"].alias("label"), a["estado_contenido"].alias("estado"))
     rest = F.transform(F.coalesce("anexos", F.array().cast(d.schema["anexos"].dataType)), lambda a: section(named(a), a["texto"]))
-    d = d.select(key, "h", "doc_id", "link", F.length("cuerpo").alias("largo"), annexed.alias("annexed"), F.posexplode(F.concat(F.array(section(none, main)), rest)).alias("sec", "s"))
+    sections = F.transform(F.concat(F.array(section(none, main)), rest), lambda x, i: F.struct(i.alias("sec"), x["texto"].alias("texto"), x["anexo"].alias("anexo")))
+    d = d.select(key, "h", "doc_id", "link", F.length("cuerpo").alias("largo"), annexed.alias("annexed"), F.explode(sections).alias("s"))
     d = d.withColumn("arts", parse.merge_false_positives(parse.articles(F.col("s.texto"))))
     t, a, arts, nul = F.col("s.texto"), F.col("s.anexo"), F.col("arts"), F.lit(None)
     none_ = F.array().cast(ITEM)
@@ -60,12 +61,16 @@ def chunk_documents(docs: DataFrame, key: str = "path", text: str = "contenido")
         .when(F.size(arts) > 0, _by_article(arts, here, "articulo_anexo", "articulo_anexo_largo_parte"))
         .otherwise(_cut(here, "anexo", "anexo_parte", nul, t))
     )
-    d = d.select(key, "h", "doc_id", "link", "sec", a.alias("anexo"), F.posexplode(items.cast(ITEM)).alias("pos", "x"))
+    placed = F.transform(items.cast(ITEM), lambda x, i: F.struct((F.col("s.sec").cast("long") * 1_000_000 + i).alias("ord"), x.alias("x")))
+    # everything that outlives the explode is packed in one column: Spark 4.1 loses columns when it prunes two explodes in a row
+    kept = F.struct("h", "doc_id", "link", a.alias("anexo"))
+    d = d.select(key, kept.alias("k"), placed.alias("ys")).select(key, "k", F.explode("ys").alias("y"))
+    d = d.select(key, "k.*", F.col("y.ord").alias("ord"), F.col("y.x").alias("x"))
     d = d.where(strip(F.col("x.texto")) != "")
     tied = ~F.col("x.tipo_chunk").isin("doc_completo", "fallback_caracteres")
     own_annex = F.concat(F.col("doc_id"), F.lit("_anexo_"), F.col("anexo.num"))
     out = d.select(
-        key, (F.col("sec").cast("long") * 1_000_000 + F.col("pos")).alias("ord"), F.concat(F.col("doc_id"), F.col("x.sufijo")).alias("chunk_id"), F.col("x.texto").alias("texto"),
+        key, "ord", F.concat(F.col("doc_id"), F.col("x.sufijo")).alias("chunk_id"), F.col("x.texto").alias("texto"),
         F.col("x.tipo_chunk").alias("tipo_chunk"), "doc_id", F.col("h.unid").alias("unid_origen"), *(F.col(f"h.{n}").alias(n) for n in BASE[1:]),
         F.col("x.articulo_num").alias("articulo_num"), F.col("x.parte").alias("parte"), F.length("x.texto").alias("char_count"),
         F.col("anexo.num").alias("anexo_num"), F.col("anexo.label").alias("anexo_label"), F.when(F.col("x.tipo_chunk") == "anexo_vacio", True).alias("es_anexo_vacio"),

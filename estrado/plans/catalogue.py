@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import norms, search
 
-MODULES = (search,)
+MODULES = (search, norms)
 
 
 def queries() -> dict:
