@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import norms, search
+from . import charter, norms, search
 
-MODULES = (search, norms)
+MODULES = (search, norms, charter)
 
 
 def queries() -> dict:
