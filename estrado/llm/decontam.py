@@ -115,7 +115,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_out: bool = True, blo
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     keep = [c for c in docs.columns if c != "leaks" and (text_out or c != "text")]
-    out = docs.select(*keep, F.array().cast(LEAK).alias("leaks"), F.col("text").alias("_text"))
+    out = docs.select(*keep, F.array().cast(LEAK).alias("leaks"), F.col("text").alias("_estrado_text"))
     schema = out.schema
     for k in range(blocks):
         items = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # at most about block_bytes
@@ -130,4 +130,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_out: bool = True, blo
                 yield pa.record_batch([*b.columns[:-2], pa.array(found, kind), b.column(b.num_columns - 1)], names=b.schema.names)
 
         out = out.mapInArrow(run, schema)
-    return out.drop("_text")
+    return out.drop("_estrado_text")

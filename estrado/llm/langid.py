@@ -160,8 +160,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -
             yield pa.record_batch([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    slim = docs.select(*rest, F.col("text").alias("_text"))
-    schema = slim.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    slim = docs.select(*rest, F.col("text").alias("_estrado_text"))
+    schema = slim.drop("_estrado_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return slim.mapInArrow(run, schema)
 
 

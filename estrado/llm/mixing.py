@@ -65,16 +65,18 @@ def _rules(slim: DataFrame, share: float, weights, max_epochs: int) -> DataFrame
 
 
 def _take(docs: DataFrame, share: float, weights, max_epochs: int, seed: int, buckets_hex: int, most_sources: int) -> tuple[DataFrame, DataFrame]:
-    """A slim copy of docs (doc_id, source, size) and docs itself, both with source_size, target and times."""
+    """A slim copy of docs (doc_id, source, size), and docs as rows (_row), both with the source's rule and times."""
     keys = _drawn(docs, seed, buckets_hex)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     slim = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), *(v.alias(k) for k, v in keys.items())), "mix-sizes")
     rules = stored(_rules(slim, share, weights, max_epochs), "mix-rules")
-    if rules.count() <= most_sources:
+    few = rules.count() <= most_sources
+    rules = rules.select("_skey", F.struct(*rules.columns[1:]).alias("_rule"))
+    if few:
         rules = F.broadcast(rules)
-    more = F.coalesce(F.col("_bucket") <= F.col("full"), F.lit(False)) | F.coalesce((F.col("_bucket") == F.col("edge")) & (F.struct("_draw", "_id") <= F.col("last")), F.lit(False))
-    told = lambda d: d.join(rules, "_skey").withColumn("times", F.col("whole") + more.cast("long"))
-    return told(slim), told(docs.withColumns(keys))
+    more = F.coalesce(F.col("_bucket") <= F.col("_rule.full"), F.lit(False)) | F.coalesce((F.col("_bucket") == F.col("_rule.edge")) & (F.struct("_draw", "_id") <= F.col("_rule.last")), F.lit(False))
+    told = lambda d: d.join(rules, "_skey").withColumn("times", F.col("_rule.whole") + more.cast("long"))
+    return told(slim), told(docs.select(F.struct(*docs.columns).alias("_row"), *(v.alias(k) for k, v in keys.items())))
 
 
 def plan_mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, max_epochs: int = 2, seed: int = 42, buckets_hex: int = 3, most_sources: int = 100_000) -> DataFrame:
@@ -86,10 +88,10 @@ def plan_mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, max_epochs: i
     broadcast if there are at most ``most_sources``, else joined by a shuffle.
     """
     slim, _ = _take(docs, share, weights, max_epochs, seed, buckets_hex, most_sources)
-    return slim.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    return slim.select("doc_id", "source", "size", "_rule.source_size", "_rule.target", "times", (F.col("times") * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, max_epochs: int = 2, seed: int = 42, buckets_hex: int = 3, most_sources: int = 100_000) -> DataFrame:
     """The mix itself: docs' columns, each row as often as ``plan_mix`` takes it."""
     _, rows = _take(docs, share, weights, max_epochs, seed, buckets_hex, most_sources)
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("_row.*")

@@ -223,8 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     differ in at most ``radius`` bits and whose sets of ``words``-word shingles have a Jaccard similarity of ``least`` or more.
     Null texts are one group, texts without words another unless equal. Null doc_ids come last; repeated rows are copies.
     """
-    cols = docs.columns
-    docs = keyed(docs)
+    docs = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
     same = [F.xxhash64("text").alias("t1"), F.crc32("text").alias("t2"), F.octet_length("text").alias("t3")]
     reps = docs.groupBy(*same).agg(F.min("_key").alias("_key"))
     reps = stored(reps.select("_key"), "texts")
@@ -253,4 +252,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     groups = components(links)
     losers = groups.where("node <> root").select(F.col("node").alias("_key"))
     stay = reps.join(losers, "_key", "left_anti")
-    return docs.join(stay, "_key", "left_semi").select(*cols)
+    return docs.join(stay, "_key", "left_semi").select("_row.*")
