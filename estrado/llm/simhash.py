@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import stored
-from .streams import Sets, keyed, sorted_groups
+from .streams import Sets, few, keyed, sorted_groups
 
 BITS = 64
 
@@ -225,10 +225,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     """
     docs = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
     same = [F.xxhash64("text").alias("t1"), F.crc32("text").alias("t2"), F.octet_length("text").alias("t3")]
-    reps = docs.groupBy(*same).agg(F.min("_key").alias("_key"))
-    reps = stored(reps.select("_key"), "texts")
-    marks = stored(fingerprints(docs.join(reps, "_key", "left_semi"), "_key", 3, seed, sets_of=words), "fingerprints")
-    points = marks.where("n > 0").select(F.col("_key").alias("id"), "fp", "n")
+    slim = stored(docs.select("_key", *same), "texts")
+    reps = slim.groupBy("t1", "t2", "t3").agg(F.min("_key").alias("_key")).select("_key")
+    copies = stored(slim.select("_key").join(reps, "_key", "left_anti"), "copies")
+    # texts are marked where they lie; only keys and fingerprints are moved
+    marks = stored(fingerprints(docs, "_key", 3, seed, sets_of=words), "fingerprints")
+    points = marks.where("n > 0").join(few(copies), "_key", "left_anti").select(F.col("_key").alias("id"), "fp", "n")
     # at this radius no bound prunes random fingerprints, and more leaves only mean more queries: leaves are as large as a task holds
     block = components(linked(points, radius, leaf_rows=1 << 16, bands=least))
     block = stored(block.join(marks, block["node"] == marks["_key"]).select("_key", F.col("root").alias("block"), "fp", "n"), "blocks")
@@ -237,7 +239,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     spot = block.join(cuts, "block").withColumn("c", F.pmod(F.xxhash64("_key"), F.col("cuts")).cast("int"))
     spot = spot.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     spot = spot.select("_key", "fp", F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
-    texts = spot.join(docs.select("_key", F.col("text").cast("binary").alias("text")), "_key")
+    asked = docs.select("_key", F.col("text").cast("binary").alias("text")).join(few(block.select("_key")), "_key", "left_semi")
+    texts = spot.join(asked, "_key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in sorted_groups(batches, "cell"):
@@ -250,6 +253,5 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
 
     links = texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "u long, v long")
     groups = components(links)
-    losers = groups.where("node <> root").select(F.col("node").alias("_key"))
-    stay = reps.join(losers, "_key", "left_anti")
-    return docs.join(stay, "_key", "left_semi").select("_row.*")
+    losers = stored(groups.where("node <> root").select(F.col("node").alias("_key")).unionByName(copies), "losers")
+    return docs.join(few(losers), "_key", "left_anti").select("_row.*")

@@ -43,6 +43,11 @@ def keyed(rows: DataFrame, name: str = "_key", id_col: str = "doc_id", text_col:
     return rows.orderBy(first, F.xxhash64(text_col).asc()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
 
 
+def few(keys: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """A stored table of long keys with a broadcast hint if it has at most ``most`` rows (32 MB); as it is beyond, so that joins shuffle."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 class Sets:
     """Disjoint sets over 0..n-1, merged in blocks of pairs; the least member is the root."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .streams import keyed
+from .streams import few, keyed
 
 LENGTH = 100
 Q = 24
@@ -256,8 +256,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, most_copie
     slim = docs.where(F.octet_length("text") >= length).select("_key", F.struct(*same).alias("same"))
     firsts = slim.groupBy("same").agg(F.min("_key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first")
     copies = stored(slim.join(firsts, "same").where("_key <> first").select("_key"), "copies")
-    gone = F.broadcast(copies) if copies.count() <= most_copies else copies
-    texts = docs.where(F.octet_length("text") >= length).join(gone, "_key", "left_anti")
+    texts = docs.where(F.octet_length("text") >= length).join(few(copies, most_copies), "_key", "left_anti")
     raw = texts.select(F.col("_key").alias("key"), F.col("text").cast("binary").alias("t"))
     found = stored(_first_round(_sampled(raw, q, length)), "first-round")
     z = _packed(texts)
