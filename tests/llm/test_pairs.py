@@ -110,7 +110,7 @@ def test_vantage_point_tree_meets_every_pair(spark, radius):
     fps[2000:2500] = fps[0] ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 500, dtype=np.uint64))
     fps = np.unique(fps)
     ns = rng.integers(1, 50, len(fps))
-    df = spark.createDataFrame([(i, int(f), int(n)) for i, (f, n) in enumerate(zip(fps.view(np.int64), ns))], "id long, fp long, n int")
+    df = spark.createDataFrame([(i, int(f), int(n), 0) for i, (f, n) in enumerate(zip(fps.view(np.int64), ns))], "id long, fp long, n int, fp2 long")
     bands = 0.8 if radius > 2 else 0.0
     links = []
     for i in range(len(fps)):
