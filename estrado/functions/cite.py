@@ -52,6 +52,49 @@ def citation(df: DataFrame) -> Column:
     return F.when(kind == CHARTER, charter).otherwise(norm)
 
 
+def _or(c: Column, other: str = "?") -> Column:
+    return F.coalesce(c, F.lit(other))
+
+
+def short_label(df: DataFrame) -> Column:
+    """A few characters for a list: charter article or item, or the first letters of the kind with number and year."""
+    kind = F.coalesce(blank_to_null(_col(df, "tipo_documento")), _or(_col(df, "tipo_norma")))
+    chunk, art, inc = _col(df, "tipo_chunk"), _or(_col(df, "articulo_num"), ""), blank_to_null(_col(df, "inciso_num"))
+    charter = (
+        F.when(inc.isNotNull() & (inc != "0"), F.concat(F.lit("CO Art."), art, F.lit(" inc."), inc)).when(chunk == "preambulo", "CO Preambulo")
+        .when(chunk == "disposicion_transitoria", F.concat(F.lit("CO Transit."), _or(_col(df, "transitoria_ordinal"), ""))).otherwise(F.concat(F.lit("CO Art."), art)))
+    norm = F.concat(F.upper(F.substring(kind, 1, 4)), F.lit(" "), _or(_col(df, "numero")), F.lit("/"), _or(_col(df, "anio")))
+    return F.when(kind == CHARTER, charter).otherwise(norm)
+
+
+def charter_label(df: DataFrame) -> Column:
+    """Place of a charter chunk; other chunks are told by their identifier."""
+    chunk = _col(df, "tipo_chunk")
+    article = F.concat(
+        F.lit("Art. "), _or(_col(df, "articulo_num")), F.lit(" (Titulo "), _or(_col(df, "titulo_num")), F.lit(" - Cap. "), _or(_col(df, "capitulo_num")), F.lit(")"),
+        F.when(F.coalesce(_col(df, "no_modificable_por_enmienda", "boolean"), F.lit(False)), " [BLINDADO]").otherwise(""))
+    return (
+        F.when(chunk == "preambulo", "PREAMBULO (blindado)").when(chunk == "disposicion_transitoria", F.concat(F.lit("Transitoria "), _or(_col(df, "transitoria_ordinal"))))
+        .when(chunk == "articulo_carta_organica", article).otherwise(F.col("chunk_id").cast("string")))
+
+
+def result_label(df: DataFrame) -> Column:
+    """Where a result comes from: charter place, or kind, number, year, start of the title, article or annex, and whether it is repealed."""
+    kind = F.coalesce(blank_to_null(_col(df, "tipo_documento")), _or(_col(df, "tipo_norma")))
+    chunk, art, base = _col(df, "tipo_chunk"), _col(df, "articulo_num"), F.lit("CARTA ORGANICA - ")
+    charter = (
+        F.when(chunk == "preambulo", F.concat(base, F.lit("Preambulo"))).when(chunk == "disposicion_transitoria", F.concat(base, F.lit("Transitoria "), _or(_col(df, "transitoria_ordinal"), "")))
+        .when(chunk == "inciso_carta_organica", F.concat(base, F.lit("Art. "), _or(art, "None"), F.lit(" inc. "), _or(_col(df, "inciso_num"), "None"))).otherwise(F.concat(base, F.lit("Art. "), _or(art))))
+    title = F.concat(F.lit(" - "), F.substring(blank_to_null(_col(df, "titulo_corto")), 1, 50))
+    annex = _or(_col(df, "anexo_num"), "None")
+    part = (
+        F.when((chunk == "articulo") & art.isNotNull() & (art != "0"), F.concat(F.lit(" (Art. "), art, F.lit(")")))
+        .when(chunk == "articulo_anexo", F.concat(F.lit(" (Anexo "), annex, F.lit(" Art. "), _or(art, "None"), F.lit(")"))).when(chunk == "anexo_vacio", F.concat(F.lit(" (Anexo "), annex, F.lit(" - sin digitalizar)"))))
+    repealed = F.when(F.coalesce(_col(df, "es_derogada_por_filename", "boolean"), F.lit(False)), " [DEROGADA]")
+    norm = F.concat(F.upper(kind), F.lit(" "), _or(_col(df, "numero")), F.lit("/"), _or(_col(df, "anio")), *(_or(x, "") for x in (title, part, repealed)))
+    return F.when(kind == CHARTER, charter).otherwise(norm)
+
+
 def sources(hits: DataFrame) -> DataFrame:
     """hits (query_id, rank, chunk_id, metadata columns) -> one numbered source per hit."""
     at = derived_link(hits)

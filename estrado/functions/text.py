@@ -53,6 +53,7 @@ def llm_cost_usd(tokens_in: Column, tokens_out: Column) -> Column:
 
 
 def preview(c: Column, size: int = 200) -> Column:
-    """The text after its navigation header, on one line, cut to ``size`` characters."""
+    """The text after its navigation header, on one line; beyond ``size`` characters it is cut, and dots tell so."""
     body = F.when(F.instr(c, "]\n\n") > 0, F.substring(c, F.instr(c, "]\n\n") + 3, F.length(c))).otherwise(c)
-    return F.substring(collapse(body), 1, size)
+    line = collapse(body)
+    return F.when(F.length(line) > size, F.concat(F.substring(line, 1, size), F.lit("..."))).otherwise(line)

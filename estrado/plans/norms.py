@@ -180,13 +180,26 @@ def repeal_present(spark: SparkSession, d: str) -> DataFrame:
     return repeal.present(_events(spark, d), docs)
 
 
-def citations(spark: SparkSession, d: str) -> DataFrame:
-    o = _orders(spark, d)
+def _metadata(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    m = o.select(
+    return _orders(spark, d).select(
         k.alias("id"), F.when(k % 7 == 0, "carta_organica").alias("tipo_documento"), F.when(k % 3 == 0, "ordenanza").when(k % 3 == 1, "resolucion").alias("tipo_norma"),
         F.when(k % 21 == 0, "preambulo").otherwise("articulo").alias("tipo_chunk"), k.cast("string").alias("numero"), F.year("o_orderdate").alias("anio"), F.when(k % 4 == 0, k % 50).alias("articulo_num"),
-        F.when(k % 5 == 0, "II").alias("anexo_num"), (k % 10 == 0).alias("es_anexo_vacio"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("titulo_corto"), (k % 11 == 0).alias("es_derogada_por_filename"), F.expr(_URL).alias("url_origen"))
+        F.when(k % 5 == 0, "II").alias("anexo_num"), (k % 10 == 0).alias("es_anexo_vacio"), F.when(k % 2 == 0, F.col("o_orderpriority")).alias("titulo_corto"), (k % 11 == 0).alias("es_derogada_por_filename"), F.expr(_URL).alias("url_origen"), k.alias("chunk_id"))
+
+
+def result_labels(spark: SparkSession, d: str) -> DataFrame:
+    m = _metadata(spark, d)
+    return m.select("id", cite.short_label(m).alias("corta"), cite.charter_label(m).alias("carta"), cite.result_label(m).alias("resultado"))
+
+
+def anomalies_report(spark: SparkSession, d: str) -> DataFrame:
+    rows = _orders(spark, d).where("o_totalprice > 100000").select("o_orderkey", F.lit("sin_tipo_norma_parseado").alias("anomalia"))
+    return audit.anomalies(rows, [F.asc("o_orderkey")])
+
+
+def citations(spark: SparkSession, d: str) -> DataFrame:
+    m = _metadata(spark, d)
     at = cite.derived_link(m)
     return m.select("id", cite.citation(m).alias("cita"), at["url"].alias("link"), at["tipo"].alias("link_tipo"))
 
@@ -359,6 +372,12 @@ SQL = {
     "repeal_by_source": f"WITH {_EVENTS} SELECT doc AS doc_id_derogatorio, count(*) AS n, string_agg(der, ',' ORDER BY encode(der)) AS derogadas FROM ev GROUP BY doc",
     "repeal_present": f"WITH {_EVENTS} SELECT DISTINCT der AS doc_id_derogado FROM ev WHERE der IN (SELECT 'ordenanza_' || o_orderkey || '_' || ({_Y} + 8) FROM orders)",
     "citations": f"SELECT o_orderkey AS id, {_CITA} AS cita, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE {_URL} END AS link, CASE WHEN o_orderkey % 7 = 0 THEN 'carta_organica_local' ELSE {_LINKTYPE} END AS link_tipo FROM orders",
+    "result_labels": f"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN CASE WHEN o_orderkey % 21 = 0 THEN 'CO Preambulo' ELSE 'CO Art.' || CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 50)::VARCHAR ELSE '' END END
+ ELSE CASE o_orderkey % 3 WHEN 0 THEN 'ORDE' WHEN 1 THEN 'RESO' ELSE '?' END || ' ' || o_orderkey || '/' || {_Y} END AS corta, CASE WHEN o_orderkey % 21 = 0 THEN 'PREAMBULO (blindado)' ELSE o_orderkey::VARCHAR END AS carta,
+ CASE WHEN o_orderkey % 7 = 0 THEN 'CARTA ORGANICA - ' || CASE WHEN o_orderkey % 21 = 0 THEN 'Preambulo' ELSE 'Art. ' || CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 50)::VARCHAR ELSE '?' END END
+ ELSE CASE o_orderkey % 3 WHEN 0 THEN 'ORDENANZA' WHEN 1 THEN 'RESOLUCION' ELSE '?' END || ' ' || o_orderkey || '/' || {_Y} || CASE WHEN o_orderkey % 2 = 0 THEN ' - ' || o_orderpriority ELSE '' END
+  || CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 50 <> 0 THEN ' (Art. ' || (o_orderkey % 50) || ')' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN ' [DEROGADA]' ELSE '' END END AS resultado FROM orders""",
+    "anomalies_report": "WITH r AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) SELECT o_orderkey, 'sin_tipo_norma_parseado' AS anomalia, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) > 50 AS truncado FROM r ORDER BY 1 LIMIT 50",
     "acquire_window_antijoin": f"SELECT o_orderkey AS numero, {_Y} AS anio, o_orderdate::DATE AS fecha FROM orders WHERE o_orderdate::DATE >= DATE '2001-06-01' - INTERVAL 360 DAY AND NOT (o_orderkey % 3 = 0 AND o_orderkey % 10 <> 0)",
     "acquire_documents": f"""SELECT o_orderkey || '-' || {_Y} || ' - ' || o_orderpriority || '_ _a_b_.txt' AS nombre, md5('# UNID: SCRAPER-ORD-' || o_orderkey || '-' || {_Y} || chr(10) || '# Descargado-de: ' || {_URL} || chr(10) || '# Fecha-descarga: 2024-01-01T00:00:00' || chr(10) || chr(10)
  || 'Ordenanza N° ' || o_orderkey || ', Año ' || {_Y} || chr(10) || chr(10) || 'Resumen: ' || o_orderpriority || ': "a/b"' || chr(10) || chr(10) || '---' || chr(10) || {_arts('chr(10)')}) AS contenido_md5, o_orderkey::VARCHAR AS numero, NULL::VARCHAR AS unid FROM orders""",

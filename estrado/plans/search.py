@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cite, text
-from ..operators import search
+from ..operators import answer, search
 
 _KIND = "CASE WHEN source = 'src0' THEN 'carta_organica' WHEN source = 'src1' THEN NULL ELSE 'norma' END"
 
@@ -125,6 +125,13 @@ def answer_sources(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("numero", F.col("numero").cast("long"))
 
 
+def rag_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by a synthesizer that repeats the question; the context is what a model would be given."""
+    chunks = _chunks(spark, d).withColumns({"numero": F.col("chunk_id"), "anio": F.lit(2000), "articulo_num": F.col("chunk_id") % 7})
+    told, _ = answer.answer(chunks, search.bm25_index(chunks), _queries(spark, d), lambda q, c: F.concat(F.lit("Sobre: "), q))
+    return told.select("query_id", "respuesta", F.md5("contexto").alias("contexto_md5"))
+
+
 def result_previews(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", text.preview(F.concat(F.lit("[NAV > x]\n\n"), F.col("text"))).alias("vista"))
 
@@ -219,8 +226,10 @@ SELECT query_id, rank, pura_id, hibrida_id, pura_id IS NOT DISTINCT FROM hibrida
 FROM (SELECT query_id, rank, '[' || rank || '] Ordenanza N° ' || chunk_id || '/2000' || chr(10) || regexp_replace(texto, '^\s+|\s+$', '', 'g') AS b FROM best JOIN ch USING (chunk_id) WHERE rank <= 5) GROUP BY query_id""",
     "answer_sources": f"""{_two('true', 12)} SELECT query_id, rank AS numero, chunk_id, {_CITE} AS cita, '' AS link, CASE WHEN tipo_documento = 'carta_organica' THEN 'carta_organica_local' ELSE 'sin_link' END AS link_tipo,
 coalesce(tipo_documento, 'norma') AS tipo_documento, false AS es_derogada, fuente_fase FROM hits JOIN ch USING (chunk_id)""",
-    "result_previews": r"SELECT doc_id, substr(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 1, 200) AS vista FROM documents",
+    "rag_answer": rf"""{_two('true', 12)} SELECT query_id, 'Sobre: ' || any_value(query) || chr(10) || chr(10) || '{answer.DISCLAIMER}' AS respuesta, md5(string_agg(b, chr(10) || chr(10) ORDER BY rank)) AS contexto_md5
+FROM (SELECT query_id, rank, '[' || rank || '] ' || {_CITE} || chr(10) || regexp_replace(texto, '^\s+|\s+$', '', 'g') AS b FROM hits JOIN ch USING (chunk_id)) JOIN q USING (query_id) GROUP BY query_id""",
+    "result_previews": r"SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS vista FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)",
 }
 QUERIES = {f.__name__: f for f in (
     tokenize_counts, bm25_corpus_stats, bm25_idf_floor, bm25_topk, bm25_filtered_topk, dense_topk, dense_filtered_ne, rrf_fusion, hybrid_search, charter_gate,
-    two_phase_search, two_phase_extra_filter, pure_vs_hybrid, numbered_context, answer_sources, result_previews)}
+    two_phase_search, two_phase_extra_filter, pure_vs_hybrid, numbered_context, answer_sources, rag_answer, result_previews)}
