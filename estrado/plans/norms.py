@@ -45,7 +45,9 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _norms(spark: SparkSession, d: str) -> DataFrame:
-    return _orders(spark, d).select(F.col("o_orderkey").alias("id"), F.expr(_RAW).alias("contenido"))
+    # orders may be one small file, while the texts made from it are long: the rows are spread before they grow
+    o = _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").repartition(spark.sparkContext.defaultParallelism)
+    return o.select(F.col("o_orderkey").alias("id"), F.expr(_RAW).alias("contenido"))
 
 
 def header_parse(spark: SparkSession, d: str) -> DataFrame:
