@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from . import filters
-from .sizes import small
+from .sizes import bounded
 
 # List lengths, fusion constant, gate; BM25 parameters.
 K_DENSE, K_SPARSE, RRF_K = 50, 50, 60
@@ -58,7 +58,7 @@ def bm25_index(chunks: DataFrame) -> Bm25:
 def bm25_scores(index: Bm25, queries: DataFrame) -> DataFrame:
     """queries (query_id, query) -> query_id, chunk_id, score of all chunks that share a term. Repeated query terms count as often."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = small(asked.join(index.idf.select("term", "idf"), "term"))
+    weighed = bounded(asked.join(index.idf.select("term", "idf"), "term"), asked)
     hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
@@ -98,17 +98,18 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = K_DENSE, where: d
 
 
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
-    """Rankings (query_id, chunk_id, rank) -> query_id, chunk_id, score_rrf, r0.. (ranks), first_list, first_rank: a full outer join by union."""
+    """Rankings (query_id, chunk_id, rank, maybe similitud) -> query_id, chunk_id, score_rrf, r0.. (ranks), first_list, first_rank, similitud: a full outer join by union."""
     cols = [f"r{i}" for i in range(len(rankings))]
     union = None
     for i, r in enumerate(rankings):
-        part = r.select("query_id", "chunk_id", F.lit(i).alias("list"), F.col("rank"))
+        sim = F.col("similitud") if "similitud" in r.columns else F.lit(None).cast("double")
+        part = r.select("query_id", "chunk_id", F.lit(i).alias("list"), F.col("rank"), sim.alias("similitud"))
         union = part if union is None else union.unionByName(part)
-    wide = union.groupBy("query_id", "chunk_id").agg(*(F.min(F.when(F.col("list") == i, F.col("rank"))).alias(c) for i, c in enumerate(cols)), F.min(F.struct("list", "rank")).alias("first"))
+    wide = union.groupBy("query_id", "chunk_id").agg(*(F.min(F.when(F.col("list") == i, F.col("rank"))).alias(c) for i, c in enumerate(cols)), F.min(F.struct("list", "rank")).alias("first"), F.max("similitud").alias("similitud"))
     score = F.lit(0.0)
     for c in cols:  # in a fixed order, so that sums agree to the last bit
         score = score + F.coalesce(F.lit(1.0) / (k + F.col(c)), F.lit(0.0))
-    return wide.select("query_id", "chunk_id", F.round(score, 12).alias("score_rrf"), *cols, F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"))
+    return wide.select("query_id", "chunk_id", F.round(score, 12).alias("score_rrf"), *cols, F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"), "similitud")
 
 
 def fused_topn(fused: DataFrame, n: int) -> DataFrame:
@@ -124,9 +125,8 @@ def hybrid(chunks: DataFrame, index: Bm25, queries: DataFrame, n: int = 10, wher
     d = dense_topk(chunks, queries, K_DENSE, where)
     s = sparse_topk(index, queries, K_SPARSE, chunks, where)
     best = fused_topn(rrf([d, s]), n)
-    best = best.join(d.select("query_id", "chunk_id", F.col("similitud").alias("similitud_coseno")), ["query_id", "chunk_id"], "left")
-    best = best.select("query_id", "rank", "chunk_id", "score_rrf", F.col("r0").isNotNull().alias("en_denso"), F.col("r1").isNotNull().alias("en_sparse"), "similitud_coseno")
-    return small(best).join(chunks.drop("embedding"), "chunk_id")
+    best = best.select("query_id", "rank", "chunk_id", "score_rrf", F.col("r0").isNotNull().alias("en_denso"), F.col("r1").isNotNull().alias("en_sparse"), F.col("similitud").alias("similitud_coseno"))
+    return bounded(best, queries, n).join(chunks.drop("embedding"), "chunk_id")
 
 
 def charter_gate(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def two_phase(chunks: DataFrame, index: Bm25, queries: DataFrame, n: int = 10, e
     cs = sparse_topk(index, queries, K_CHARTER, chunks, own)
     best = cd.groupBy("query_id").agg(F.max("similitud").alias("best"))
     gate = queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("mejor_coseno_co"))
-    gate = small(gate.withColumn("co_es_relevante", F.col("mejor_coseno_co") >= GATE))
+    gate = bounded(gate.withColumn("co_es_relevante", F.col("mejor_coseno_co") >= GATE), queries)
     rest = {"tipo_documento": {"$ne": CHARTER}}
     d = dense_topk(chunks, queries, K_CORPUS, {"$and": [rest, extra]} if extra else rest)
     charter_ids = chunks.where(filters.dense(own)).select("chunk_id")
@@ -155,13 +155,12 @@ def two_phase(chunks: DataFrame, index: Bm25, queries: DataFrame, n: int = 10, e
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     keep = lambda r: r.join(gate.where("co_es_relevante").select("query_id"), "query_id", "left_semi")
     fused = fused_topn(rrf([d, s, keep(cd), keep(cs)]), n)
-    sims = d.select("query_id", "chunk_id", "similitud").unionByName(cd.select("query_id", "chunk_id", "similitud"))
-    fused = fused.join(sims.withColumnRenamed("similitud", "similitud_coseno"), ["query_id", "chunk_id"], "left").join(gate, "query_id")
+    fused = fused.join(gate, "query_id")
     phase = F.when(F.col("r2").isNotNull() | F.col("r3").isNotNull(), "carta_organica").otherwise("corpus")
     fused = fused.select(
         "query_id", "rank", "chunk_id", "score_rrf", (F.col("r0").isNotNull() | F.col("r2").isNotNull()).alias("en_denso"),
-        (F.col("r1").isNotNull() | F.col("r3").isNotNull()).alias("en_sparse"), "similitud_coseno", phase.alias("fuente_fase"), "mejor_coseno_co", "co_es_relevante")
-    return small(fused).join(chunks.drop("embedding"), "chunk_id")
+        (F.col("r1").isNotNull() | F.col("r3").isNotNull()).alias("en_sparse"), F.col("similitud").alias("similitud_coseno"), phase.alias("fuente_fase"), "mejor_coseno_co", "co_es_relevante")
+    return bounded(fused, queries, n).join(chunks.drop("embedding"), "chunk_id")
 
 
 def check_request(query: str, n_results: int = 10, n_chunks: int = 12) -> None:
