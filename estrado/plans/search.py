@@ -88,7 +88,7 @@ def charter_gate(spark: SparkSession, d: str) -> DataFrame:
     return search.charter_gate(_chunks(spark, d), _queries(spark, d))
 
 
-def _two_phase(spark: SparkSession, d: str, extra: dict | None, vectors: DataFrame | None = None) -> DataFrame:
+def _two_phase(spark: SparkSession, d: str, extra: dict | None) -> DataFrame:
     chunks = _chunks(spark, d)
     hits = search.two_phase(chunks, search.bm25_index(chunks), _queries(spark, d), 10, extra)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score_rrf", "en_denso", "en_sparse", "similitud_coseno", "fuente_fase", "mejor_coseno_co", "co_es_relevante")
