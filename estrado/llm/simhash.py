@@ -190,8 +190,8 @@ def cluster(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) ->
     return marks.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float, found: Sets) -> None:
-    """Unites the rows of a tile that are within ``radius`` bits and whose shingle sets have Jaccard >= ``least``."""
+def _verified(sets: list[np.ndarray], least: float, found: Sets) -> None:
+    """Unites the rows of a tile whose shingle sets have Jaccard >= ``least``."""
     sizes = np.array([len(s) for s in sets])
     every, where = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -212,19 +212,122 @@ def _verified(fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float
             live = np.flatnonzero(x[part].any(axis=0))
             if len(live):
                 inter += x[part][:, live] @ x[:, live].T
-        i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[None, :]) <= radius)
-        both = inter[i, j]
-        ok = both >= least * (sizes[part][i] + sizes[j] - both) - 1e-6
-        found.union(i[ok] + at, j[ok])
+        i, j = np.nonzero(inter >= least / (1 + least) * (sizes[part][:, None] + sizes[None, :]) - 1e-6)
+        found.union(i + at, j)
+
+
+def _rare_first(s: np.ndarray, least: float, hot: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order (level, hash), as many as must hold one of any set with Jaccard >= ``least``."""
+    most = len(s) - math.ceil(least * len(s) - 1e-9) + 1
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        s = s[np.lexsort((s, np.where(hot[at] == s, level[at], 0)))]
+    return s[:most]
+
+
+def _finished(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[list[np.ndarray]]:
+    """The columns of a stream sorted by its first one, in parts of about ``step`` rows that cut no run of equal values."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy() for c in b.columns]
+        cut = np.searchsorted(cols[0], cols[0][-1])
+        if held and (cut or held[-1][0][-1] != cols[0][0]) and sum(len(x[0]) for x in held) + cut >= step:
+            yield [np.concatenate(x) for x in zip(*held, [c[:cut] for c in cols], strict=True)]
+            held, cols = [], [c[cut:] for c in cols]
+        held.append(cols)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def sharing(texts: DataFrame, count: int, words: int, least: float, seed: int, drawn: int = 1 << 14, chunk: int = 8192) -> DataFrame:
+    """texts (_key, text binary, block), ``count`` rows -> u, v: pairs of different blocks, among them all with Jaccard >= ``least``.
+
+    Prefix filter, exact: shingles stand in one order in all sets, and similar sets share one among their first. Those that a sample
+    finds in several blocks come last; the sample shapes the order and deals hot shingles to several cells, never the result. A
+    pair must share as many of its first shingles as its sizes ask for.
+    """
+
+    def sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int]]:
+        for key, t, block in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            yield key, np.unique(shingle_hashes((t.as_py() or b"").lower().split(), words, seed)), block
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, s, block in sets(b):
+                yield pa.record_batch([pa.array(s.view(np.int64)), pa.array(np.full(len(s), block))], names=["token", "block"])
+
+    step = max(1, count // drawn)
+    seen = texts.where(F.pmod(F.xxhash64("_key"), F.lit(step)) == 0).mapInArrow(look, "token long, block long").distinct()
+    seen = seen.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 3").orderBy(F.desc("k"), "token").limit(1 << 17).collect()
+    hot, k = np.array([r[0] for r in seen], np.int64).view(np.uint64), np.array([r[1] for r in seen], np.int64)
+    order = np.argsort(hot)
+    hot, k = hot[order], k[order]
+    level, cuts = np.floor(np.log2(np.maximum(k, 1))).astype(np.int64), -(-k * step // chunk)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # the parts bound a worker's memory
+            cells, keys, blocks, ns, places = [], [], [], [], []
+            for key, s, block in sets(b):
+                if not len(s):
+                    continue
+                cell = _rare_first(s, least, hot, level)
+                place = np.arange(len(cell))
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, cell), len(hot) - 1)
+                    many = np.flatnonzero((hot[at] == cell) & (cuts[at] > 1))
+                    if len(many):  # a hot shingle's rows are cut in chunks, and each pair of chunks is a cell; equal chunks meet in several, which only counts more
+                        more = []
+                        for x in many:
+                            o, c = np.arange(cuts[at[x]]), key % int(cuts[at[x]])
+                            more.append(cell[x] ^ (((np.minimum(o, c) << 32) + np.maximum(o, c) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                        plain = np.setdiff1d(place, many)
+                        place = np.concatenate([plain, *(np.full(len(m), x) for x, m in zip(many, more, strict=True))])
+                        cell = np.concatenate([cell[plain], *more])
+                cells.append(cell)
+                places.append(place)
+                keys.append(np.full(len(cell), key))
+                blocks.append(np.full(len(cell), block))
+                ns.append(np.full(len(cell), len(s)))
+            if cells:
+                cell, block, key, n, place = (np.concatenate(x) for x in (cells, blocks, keys, ns, places))
+                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(block), pa.array(key), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["cell", "block", "key", "n", "place"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, block, key, n, place in _finished(batches, 1 << 14):
+            new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+            part = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]), [True]]))
+            end, other = np.repeat(new[1:], np.diff(new)), np.repeat(part[1:], np.diff(part))
+            rows = np.flatnonzero(end > other)
+            upto = np.cumsum(end[rows] - other[rows])
+            at = 0
+            while at < len(rows):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18), side="right")))
+                r = rows[at:to]
+                m = end[r] - other[r]
+                i = np.repeat(r, m)
+                j = np.repeat(other[r] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                need = least / (1 + least) * (n[i] + n[j].astype(np.int64)) - 1e-6
+                ok = np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6
+                ok &= np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= need
+                i, j = i[ok], j[ok]
+                # beyond the shorter of the two prefixes lie fewer than least * n shingles, so the rest of the overlap lies within
+                need = np.ceil(need[ok]) - np.ceil(least * np.maximum(n[i], n[j]) - 1e-9) + 1
+                yield pa.record_batch([pa.array(np.maximum(key[i], key[j])), pa.array(np.minimum(key[i], key[j])), pa.array(need.astype(np.int32))], names=["u", "v", "need"])
+                at = to
+
+    dealt = texts.select("_key", "text", "block").mapInArrow(deal, "cell long, block long, key long, n int, place int")
+    pairs = dealt.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(match, "u long, v long, need int")
+    return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, radius2: int = 20, seed: int = 42, tile: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text, any more) -> the same columns: one document of each group stays, the one with the smallest doc_id.
 
-    Groups are the components of verified links: equal texts, and texts whose SimHashes over 3-word shingles
-    differ in at most ``radius`` bits, those over ``words``-word shingles in at most ``radius2``, and whose sets of ``words``-word shingles have a
-    Jaccard similarity of ``least`` or more. At a similarity of 0.8 the two distances have means of about 8 and 10 bits and deviations of 3;
-    texts of a few shingles scatter more, and can be missed.
+    Groups are the components of all links: equal texts, and texts whose sets of ``words``-word shingles have a Jaccard similarity
+    of ``least`` or more. Candidates are blocks of texts whose SimHashes over 3-word shingles differ in at most ``radius`` bits and those over
+    ``words``-word shingles in at most ``radius2``, joined to each other by the exact prefix filter of ``sharing``: fingerprints only save work.
     Null texts are one group, texts without words another unless equal. Null doc_ids come last; repeated rows are copies.
     """
     docs = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
@@ -236,22 +339,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     marks = stored(fingerprints(docs, "_key", 3, seed, sets_of=words), "fingerprints")
     points = marks.where("n > 0").join(few(copies), "_key", "left_anti").select(F.col("_key").alias("id"), "fp", "n", "fp2")
     # at this radius no bound prunes random fingerprints, and more leaves only mean more queries: leaves are as large as a task holds
-    block = components(linked(points, radius, leaf_rows=1 << 16, bands=least, radius2=radius2))
-    block = stored(block.join(marks, block["node"] == marks["_key"]).select("_key", F.col("root").alias("block"), "fp", "n"), "blocks")
+    near = stored(components(linked(points, radius, leaf_rows=1 << 16, bands=least, radius2=radius2)), "near")
+    whole = docs.select("_key", F.col("text").cast("binary").alias("text")).join(few(copies), "_key", "left_anti")
+    whole = whole.join(few(near), F.col("_key") == F.col("node"), "left").select("_key", "text", F.coalesce("root", "_key").alias("block"))
+    more = sharing(whole, points.count(), words, least, seed)
+    block = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+    block = stored(block.join(marks, block["node"] == marks["_key"]).select("_key", F.col("root").alias("block"), "n"), "blocks")
     # a block whose shingles don't fit one tile is cut in chunks, and each pair of chunks is a tile
     cuts = block.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(float(tile))).cast("int").alias("cuts"))
     spot = block.join(cuts, "block").withColumn("c", F.pmod(F.xxhash64("_key"), F.col("cuts")).cast("int"))
     spot = spot.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    spot = spot.select("_key", "fp", F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
+    spot = spot.select("_key", F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
     asked = docs.select("_key", F.col("text").cast("binary").alias("text")).join(few(block.select("_key")), "_key", "left_semi")
     texts = spot.join(asked, "_key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in sorted_groups(batches, "cell"):
-            ids, fps = (t.column(c).to_numpy() for c in ("_key", "fp"))
+            ids = t.column("_key").to_numpy()
             sets = [np.unique(shingle_hashes((x.as_py() or b"").lower().split(), words, seed)) for x in t.column("text")]
             found = Sets(len(ids))
-            _verified(fps.view(np.uint64), sets, radius, least, found)
+            _verified(sets, least, found)
             hit = np.flatnonzero(found.root != np.arange(len(ids)))
             yield pa.record_batch([pa.array(ids[hit]), pa.array(ids[found.root[hit]])], names=["u", "v"])
 

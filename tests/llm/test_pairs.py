@@ -156,6 +156,32 @@ def test_near_duplicates_are_verified_in_tiles(spark):
     assert [r["doc_id"] for r in simhash.near_duplicates(docs(spark, rows), tile=6000).collect()] == [0]
 
 
+def test_near_duplicates_find_every_pair_of_the_threshold(spark):
+    rng = random.Random(9)
+    vocabulary = [f"palabra{i}" for i in range(3000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    common = say(12)
+    rows = []
+    for i in range(60):
+        w, line = say(300), say(10)
+        rows += [(10 * i, " ".join(w + line)), (10 * i + 1, " ".join(w + line * rng.randint(10, 100)))]  # one line often
+        w = say(rng.choice([5, 7, 10, 20, 40, 200, 400])) + common * (i % 3)
+        v = list(w)
+        for at in rng.sample(range(len(v)), max(1, len(v) // 50)):  # edits that leave a similarity about the threshold
+            v[at] = rng.choice(vocabulary)
+        rows += [(10 * i + 2, " ".join(w)), (10 * i + 3, " ".join(v)), (10 * i + 4, " ".join(w + say(len(w) // 5))), (10 * i + 5, " ".join(w[: len(w) - len(w) // 6]))]
+    sets = {i: {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, t in rows for w in [t.split()]}
+    ids = sorted(sets)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[:n] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = sorted({x for x in roots(ids, links).values()})
+    df = docs(spark, rows)
+    assert sorted(r["doc_id"] for r in simhash.near_duplicates(df).collect()) == want
+    # without the fingerprints, with hot shingles dealt to several cells, every pair is still among those that share shingles
+    texts = df.select(F.col("doc_id").alias("_key"), F.col("text").cast("binary").alias("text"), F.col("doc_id").alias("block"))
+    got = {(r["u"], r["v"]) for r in simhash.sharing(texts, len(rows), 5, 0.8, 42, chunk=8).collect()}
+    assert set(links) <= got and len(got) < 3 * len(links)
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0])):
