@@ -15,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The masks, all of weight 7.
-MASKS = ("111010111", "1101101011", "11001011011")
+#: Fixed values. Enumeration shows that each way to substitute a fifth of a stretch of 13 to 25 tokens leaves a hit of one of MASKS (longer
+#: stretches hold one of these lengths as good), and of a whole item of 9 to 12 tokens a hit of one of SHORT_MASKS.
+MASKS = ("1101111", "110010001011", "1110001010001", "111111")
+SHORT_MASKS = ("110111", "11001011", "11111")
+LEAST_SEEDED = 9
 TOKENS = re.compile(r"\w+")
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -41,29 +44,30 @@ class Benchmark:
     """Token ids and sorted seeds of benchmark items (item_id, text)."""
 
     def __init__(self, items: list[tuple], masks=MASKS, least_tokens: int = 13, identity: float = 0.8):
-        self.masks, self.least_tokens, self.identity = masks, least_tokens, identity
+        self.least_tokens, self.identity = least_tokens, identity
         self.vocab: dict[str, int] = {}
         self.names, self.tokens = [], []
         for name, text in items:
             w = TOKENS.findall((text or "").lower())
             self.names.append(name)
             self.tokens.append(np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], np.int64))
+        # the shortest items are hashed whole
+        kinds = [(m, 13, None) for m in masks] + [(m, LEAST_SEEDED, 12) for m in SHORT_MASKS] + [("1" * n, n, n) for n in range(1, LEAST_SEEDED)]
         self.index = []
-        for mask in masks:
-            found = [(h, np.full(len(at), i), at) for i, t in enumerate(self.tokens) for at, h in [seeds(t, mask)]]
-            h, item, at = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in range(3))
-            order = np.argsort(h, kind="stable")
-            self.index.append((h[order], item[order], at[order]))
+        for mask, low, high in kinds:
+            found = [(h, np.full(len(at), i), at) for i, t in enumerate(self.tokens) if low <= len(t) and (high is None or len(t) <= high) for at, h in [seeds(t, mask)]]
+            if found:
+                h, item, at = (np.concatenate([x[k] for x in found]) for k in range(3))
+                order = np.argsort(h, kind="stable")
+                self.index.append((mask, h[order], item[order], at[order]))
 
     def leaks(self, text: str) -> list[tuple]:
         """(item_id, start, tokens, equal, coverage) of each item that leaks into the text, by item; start and tokens are of the best stretch."""
         get = self.vocab.get
         ids = np.array([get(w, -1) for w in TOKENS.findall(text.lower())], np.int64)
         pairs = set()
-        for mask, (known, item, at) in zip(self.masks, self.index, strict=True):
+        for mask, known, item, at in self.index:
             p, h = seeds(ids, mask)
-            if not len(p) or not len(known):
-                continue
             lo, hi = np.searchsorted(known, h), np.searchsorted(known, h, side="right")
             for i in np.flatnonzero(hi > lo):
                 pairs.update(zip(item[lo[i] : hi[i]].tolist(), (p[i] - at[lo[i] : hi[i]]).tolist(), strict=True))
@@ -81,6 +85,8 @@ class Benchmark:
         if b - a < least:
             return None
         same = item[a:b] == ids[a + shift : b + shift]
+        if len(item) < LEAST_SEEDED and not same.all():
+            return None
         # sum of (equal - identity) over a stretch is >= 0 just where its share of equal tokens is >= identity
         run = np.concatenate([[0.0], np.cumsum(same - self.identity)])
         low = np.minimum.accumulate(run)
@@ -106,7 +112,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_out: bool = True, blo
     """docs (text, any more), benchmark (item_id, text, any more) -> docs' columns and leaks, an array, empty where there is none.
 
     A leak is a stretch of at least 13 tokens (or the whole item, if it has 9 to 12) that lies on one diagonal of an item and
-    the document with 80% or more of its tokens equal, found by a seed. Items with fewer tokens than a mask are not searched; neither are null texts.
+    the document with 80% or more of its tokens equal. Items of fewer tokens leak where all their tokens follow each other. Items without
+    tokens and null texts are not searched.
     The benchmark is dealt in blocks of at most about ``block_bytes`` of text, each sent to the tasks in turn, so its size isn't limited by memory.
     Repeated and null ids are allowed. Without ``text_out`` the text isn't returned.
     """

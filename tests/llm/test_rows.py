@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import random
 import re
 
@@ -251,6 +252,28 @@ def test_decontamination(spark):
     assert decontam.find_leaks(df, bench.limit(0)).where("size(leaks) > 0").count() == 0
 
 
+def test_decontamination_meets_its_contract():
+    # each pattern of substitutions at the 80% limit, with nothing equal beyond the stretch
+    for least, lengths, masks in ((9, range(9, 13), decontam.SHORT_MASKS), (13, range(13, 21), decontam.MASKS)):
+        for n in lengths:
+            for gone in itertools.combinations(range(n), n // 5):
+                kept = [i not in gone for i in range(n)]
+                assert any(all(kept[at + k] for k, on in enumerate(m) if on == "1") for m in masks for at in range(n - len(m) + 1)), (n, gone)
+    rng = random.Random(6)
+    items = [(n, [f"t{n}_{i}" for i in range(n)]) for n in range(1, 31)]
+    bench = decontam.Benchmark([(n, " ".join(w)) for n, w in items])
+    for n, w in items:
+        for _ in range(200):
+            size = n if n < 13 else rng.randint(13, n)
+            at = rng.randrange(n - size + 1)
+            part = w[at : at + size]
+            for i in rng.sample(range(size), size // 5 if n >= 9 else 0):
+                part[i] = "x"
+            assert [x[0] for x in bench.leaks(" ".join(["y"] * 5 + part + ["z"] * 5))] == [n]
+        if 1 < n < 9:
+            assert not bench.leaks(" ".join([*w[:-1], "x"]))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
