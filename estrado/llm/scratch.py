@@ -2,32 +2,37 @@
 
 Intermediate results that are read more than once, or whose lineage must be cut, are written as
 Parquet below the folder named by ``spark.checkpoint.dir``, which every executor and the driver see.
-Where the setting is missing (local tests), a temporary folder of this process is set instead.
+A local session that names none (tests) gets a temporary folder; a cluster must name one.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder of this application; made up only where the cluster names none."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder of this application."""
+    app, told = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
     if not told:
-        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if app not in _local:
             _local[app] = tempfile.mkdtemp(prefix="estrado-")
         told = _local[app]
-    return f"{told.rstrip('/')}/estrado-{spark.sparkContext.applicationId}"
+    return f"{told.rstrip('/')}/estrado-{app}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +42,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def step(spark: SparkSession, make: Callable[[], DataFrame], name: str, last: str = "") -> tuple[DataFrame, str]:
+    """Stores what ``make`` returns and deletes the tables that were stored on the way, and ``last``, the path of the step before. Returns the table and its path."""
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    start = len(made)
+    out = stored(make(), name)
+    for path in [*made[start:-1], *([last] if last else [])]:
+        _delete(spark, path)
+    del made[start:-1]
+    return out, made[-1]
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has stored. Results that are still lazy can't be read afterwards."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, folder(spark))
+    _made.pop(spark.sparkContext.applicationId, None)

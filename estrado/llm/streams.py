@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stored
+
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
     """(key, table) of each run of equal ``key`` in a stream whose partitions are sorted by it."""
@@ -29,6 +32,32 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple
         yield now, pa.Table.from_batches(held)
 
 
+def numbered(rows: DataFrame, name: str, *order: str | Column) -> DataFrame:
+    """``rows``, stored, with a long ``name`` that counts from 0 in the given order without gaps, whatever the number of rows.
+
+    A distributed sort: ranges are cut by ``order`` and then by row, so that equal rows spread too; a row's number is its place in
+    its part of the range plus the rows of the parts before, of which only the counts reach the driver.
+    """
+    tie, at = fresh(rows, "_tie"), fresh(rows, "_at")
+    by = [*(F.col(c) if isinstance(c, str) else c for c in order), F.col(tie)]
+    spread = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    spread = stored(spread.drop(tie).withColumn(at, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(at, 33)
+    sizes = sorted(tuple(r) for r in spread.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per task
+    starts = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    base = rows.sparkSession.createDataFrame([(p, n) for (p, _), n in zip(sizes, starts, strict=False)], f"{tie} long, {name} long")
+    named = spread.join(F.broadcast(base), part == F.col(tie)).withColumn(name, F.col(name) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
+    return named.select(*rows.columns, name)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or what it takes to differ from every column of ``df``, in upper or lower case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def keyed(rows: DataFrame, name: str = "_key", id_col: str = "doc_id", text_col: str = "text", nulls_first: bool = False) -> DataFrame:
     """``rows`` with a long ``name`` that is unique and rises with the id (null last, or first), then with the text.
 
@@ -39,8 +68,8 @@ def keyed(rows: DataFrame, name: str = "_key", id_col: str = "doc_id", text_col:
     if ids[0] == ids[1] == ids[2]:
         return rows.withColumn(name, F.col(id_col).cast("long"))
     first = F.col(id_col).asc_nulls_first() if nulls_first else F.col(id_col).asc_nulls_last()
-    schema = rows.withColumn(name, F.lit(0).cast("long")).schema
-    return rows.orderBy(first, F.xxhash64(text_col).asc()).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    mark = fresh(rows, "_mark")
+    return numbered(rows.withColumn(mark, F.xxhash64(text_col)), name, first, mark).drop(mark)
 
 
 def few(keys: DataFrame, most: int = 4_000_000) -> DataFrame:
@@ -68,3 +97,16 @@ class Sets:
                 if (up == root).all():
                     break
                 root[:] = up
+
+
+class Hashes(dict):
+    """XXH64 (seed 42) by word, kept once computed; emptied when it has grown large."""
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return out
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
