@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Equal texts form a group. A group that holds more than a small share of the corpus in any of the
-three dimensions is split by ``doc_id`` into pieces; all other groups are gathered by the hash of
-their text into a fixed number of bins. Only the vectors of those bins and pieces, whose number is
+Equal texts form a group. A group that holds more than a 16,384th of the corpus in any of the three dimensions is placed
+by itself, in pieces if it holds a large share; there are few such groups whatever the size of the corpus. All
+others are gathered by the hash of their text into a fixed number of bins. Only the vectors of those groups, pieces and bins, whose number is
 bounded by parameters and never by the corpus, are packed on the driver: largest first, each to the
 shard where the dot product of its vector with the residual capacity is highest.
 """
@@ -41,12 +41,13 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, pieces_per_shard: int = 64) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, pieces_per_shard: int = 64, groups: int = 1 << 14) -> DataFrame:
     """docs (doc_id, text, any more) -> doc_id, size, tokens, text_crc32, shard, slot; one row per input row.
 
     size: UTF-8 bytes of the text plus 1; a null text counts as no bytes, its CRC is 0, and null texts
-    are one group, as are empty ones. Null doc_ids are rows like any other; repeated rows are all placed.
-    slot counts from 0 without gaps in each shard. Other columns are ignored. An empty table gives no rows.
+    are one group, as are empty ones. Null doc_ids are rows like any other. Rows of a group that is cut are dealt to its pieces
+    by their place in the input, repeated rows too. slot counts from 0 without gaps in each shard. Other columns are ignored. An empty table gives no rows.
+    At most 3 * (groups + shards * pieces_per_shard) groups and pieces, and ``bins`` bins, are placed.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = docs.select(
@@ -56,33 +57,31 @@ def assign_shards(docs: DataFrame, shards: int = 16, bins: int = 4096, pieces_pe
         F.crc32(text).alias("text_crc32"),
         F.xxhash64("text", F.col("text").isNull()).alias("grp"),
     )
-    slim = stored(slim, "shard-sizes")
+    slim = stored(slim.withColumn("row", F.monotonically_increasing_id()), "shard-sizes")
     sums = [F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")]
     total = slim.agg(*sums).first()
     if not total["rows"]:
         return slim.select("doc_id", "size", "tokens", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    # At most 3 * shards * pieces_per_shard groups can hold this share of a dimension.
-    parts = shards * pieces_per_shard
     share = F.greatest(*(F.col(k) / F.lit(float(max(total[k], 1))) for k in ("bytes", "tokens", "rows")))
-    heavy = slim.groupBy("grp").agg(*sums).withColumn("pieces", F.ceil(share * F.lit(parts))).where("pieces > 1 and rows > 1").select("grp", "pieces").collect()
+    heavy = slim.groupBy("grp").agg(*sums).where(share * groups > 1).select("grp", F.least("rows", F.ceil(share * F.lit(shards * pieces_per_shard))).alias("pieces")).collect()  # bounded, see above
     at, start = bins, []
     for g, n in sorted(heavy):
         start.append((g, at, int(n)))
         at += int(n)
     spark = docs.sparkSession
-    split = F.broadcast(spark.createDataFrame(start or [(0, 0, 0)], "grp long, first int, pieces int"))  # bounded, see above
+    split = F.broadcast(spark.createDataFrame(start, "grp long, first int, pieces int"))
     binned = slim.join(split, "grp", "left").select(
-        "doc_id", "size", "tokens", "text_crc32",
-        F.when(F.col("pieces") > 0, F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("pieces"))).otherwise(F.pmod("grp", F.lit(bins))).cast("int").alias("bin"),
+        "doc_id", "size", "tokens", "text_crc32", "row",
+        F.when(F.col("pieces") > 0, F.col("first") + F.pmod(F.xxhash64("row"), F.col("pieces"))).otherwise(F.pmod("grp", F.lit(bins))).cast("int").alias("bin"),
     )
-    found = sorted(binned.groupBy("bin").agg(*sums).collect())  # one row per bin or piece
+    found = sorted(binned.groupBy("bin").agg(*sums).collect())  # one row per bin, group or piece
     placed = pack(np.array([[r["bytes"], r["tokens"], r["rows"]] for r in found], dtype=float), shards)
     after, where = [0] * shards, []
     for r, k in zip(found, placed.tolist(), strict=True):
         where.append((r["bin"], k, after[k]))
         after[k] += r["rows"]
     where = F.broadcast(spark.createDataFrame(where, "bin int, shard int, first_slot long"))
-    order = Window.partitionBy("bin").orderBy("doc_id", "text_crc32", "size")
+    order = Window.partitionBy("bin").orderBy("doc_id", "text_crc32", "size", "row")
     ranked = binned.withColumn("rn", F.row_number().over(order))
     return ranked.join(where, "bin").select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("first_slot") + F.col("rn") - 1).cast("long").alias("slot"))
 
