@@ -57,9 +57,7 @@ def op9_dice_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that leaks into it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), text_out=False)
-    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+    return decontam.leaked_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OP4_SQL = r"""
@@ -82,7 +80,7 @@ FROM r
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('42:' || coalesce(doc_id::VARCHAR, '')) AS draw
+         md5('42:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS draw
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
@@ -102,7 +100,7 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t
 ), r AS (
   SELECT d.doc_id, d.size, e.source_size, e.target, e.whole, e.target - e.whole * e.source_size AS part,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 )
 SELECT doc_id, size, source_size, target, ((whole + CASE WHEN part > 0 AND before + size / 2.0 <= part THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
