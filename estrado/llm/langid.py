@@ -126,13 +126,8 @@ def train(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
     return {lang: np.array([c for _, c in sorted(out[lang])]) for lang in sorted(out)}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
-    """docs (text, any more) -> the same columns and lang_pred, score, by the whole text alone.
-
-    lang_pred is ``und`` and score 0 for null texts, texts without a letter, and if there are no profiles. score is 1 for
-    a text ranked exactly as the profile and falls to 0 as its n-grams lie out of place or are missing. Ties go to the first language in code-point order.
-    Rows are judged one by one; columns named lang_pred or score are replaced.
-    """
+def _judged(docs: DataFrame, profiles: dict[str, np.ndarray], top: int) -> DataFrame:
+    """docs (text, any more) -> _row (docs' columns as a struct), lang_pred, score. Rows are packed, so that no name can clash."""
     langs = sorted(profiles, key=lambda x: x.encode())
     table = []
     for lang in langs:
@@ -156,13 +151,28 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [judge(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.record_batch([*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            found = [judge(t.as_py()) for t in b.column(0).field(place)]
+            yield pa.record_batch([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["_row", "lang_pred", "score"])
+
+    place = docs.columns.index("text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    return rows.mapInArrow(run, rows.select("_row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+
+
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
+    """docs (text, any more) -> the same columns and lang_pred, score, by the whole text alone.
+
+    lang_pred is ``und`` and score 0 for null texts, texts without a letter, and if there are no profiles. score is 1 for
+    a text ranked exactly as the profile and falls to 0 as its n-grams lie out of place or are missing. Ties go to the first language in code-point order.
+    Rows are judged one by one; columns named lang_pred or score, in any case, are replaced.
+    """
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    return _judged(docs, profiles, top).select(*(F.col("_row")[c].alias(c) for c in rest), "lang_pred", "score")
+
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    slim = docs.select(*rest, F.col("text").alias("_estrado_text"))
-    schema = slim.drop("_estrado_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return slim.mapInArrow(run, schema)
+def told_rows(docs: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP) -> DataFrame:
+    """The rows of docs whose language can be told, with all their columns: null texts, texts without a letter and texts without an n-gram of any profile go."""
+    return _judged(docs, profiles, top).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > 0)).select("_row.*")
 
 
 def held_out() -> Column:
