@@ -50,6 +50,13 @@ def test_keyed_orders_repeats_and_nulls(spark):
     assert {r["_key"] for r in streams.keyed(docs(spark, [(5, "a"), (9, "b")])).collect()} == {5, 9}
 
 
+def test_numbered_counts_without_gaps(spark):
+    df = docs(spark, [(i % 7, "x") for i in range(300)] + [(None, None)] * 200).repartition(6)
+    got = streams.numbered(df.withColumns({"_tie": F.lit(1), "_at": F.lit(2)}), "n", F.col("doc_id").asc_nulls_last()).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(500)) and [r["doc_id"] for r in got] == sorted([i % 7 for i in range(300)]) + [None] * 200
+    assert streams.numbered(df.limit(0), "n", "doc_id").count() == 0
+
+
 def test_sharding(spark):
     rng = random.Random(2)
     rows = [(i, "w " * rng.randrange(1, 400)) for i in range(600)] + [(600 + i, "same text " * 30) for i in range(400)] + [(1000, None), (None, "x"), (None, ""), (1001, "é" * 5)]
@@ -66,6 +73,40 @@ def test_sharding(spark):
     assert sharding.assign_shards(docs(spark, [])).count() == 0
 
 
+def test_sharding_of_repeated_rows_and_rows_without_ids(spark):
+    rng = random.Random(12)
+    same = "the same row " * 14
+    rows = [(7, same)] * 800 + [(None, same)] * 800 + [(i, "w " * rng.randrange(1, 200)) for i in range(400)]
+    got = sharding.assign_shards(docs(spark, rows).repartition(5)).collect()
+    size = collections.Counter()
+    for r in got:
+        size[r["shard"]] += r["size"]
+    assert len(got) == len(rows) and len(size) == 16 and sharding.spread(list(size.values())) < 0.02
+    long = [(1, "x" * 400_000), (2, None), (2, None)] + [(i, "y") for i in range(3, 40)]
+    assert sorted(r["doc_id"] for r in sharding.assign_shards(docs(spark, long), shards=3).collect()) == sorted(i for i, _ in long)
+
+
+def plain_pack(items, shards):
+    """The same rule one step at a time."""
+    total = [sum(x[d] for x in items) for d in range(3)]
+    unit = [[x[d] * shards / total[d] for d in range(3)] for x in items]
+    room, out = [[1.0] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(items)), key=lambda i: (-sum(unit[i]), i)):
+        score = [sum(a * b for a, b in zip(room[k], unit[i])) for k in range(shards)]
+        fits = [k for k in range(shards) if all(room[k][d] - unit[i][d] >= -1e-9 for d in range(3))]
+        k = max(fits or range(shards), key=lambda k: (score[k], -k))
+        out[i] = k
+        room[k] = [a - b for a, b in zip(room[k], unit[i])]
+    return [out[i] for i in range(len(items))]
+
+
+def test_pack_against_plain_steps():
+    rng = random.Random(13)
+    for n, shards in ((1, 3), (40, 4), (300, 16)):
+        items = [[rng.choice([1, 3, 50, 999]) * rng.random(), rng.random(), rng.choice([1, 2, 9])] for _ in range(n)]
+        assert sharding.pack(np.array(items), shards).tolist() == plain_pack(items, shards)
+
+
 def test_pack_prefers_room():
     items = np.array([[4.0, 1, 1], [1, 4, 1], [4, 1, 1], [1, 4, 1]])
     got = sharding.pack(items, 2)
@@ -178,7 +219,7 @@ def test_near_duplicates_find_every_pair_of_the_threshold(spark):
     assert sorted(r["doc_id"] for r in simhash.near_duplicates(df).collect()) == want
     # without the fingerprints, with hot shingles dealt to several cells, every pair is still among those that share shingles
     texts = df.select(F.col("doc_id").alias("_key"), F.col("text").cast("binary").alias("text"), F.col("doc_id").alias("block"))
-    got = {(r["u"], r["v"]) for r in simhash.sharing(texts, len(rows), 5, 0.8, 42, chunk=8).collect()}
+    got = {(r["u"], r["v"]) for r in simhash.sharing(texts, len(rows), 5, 0.8, chunk=8).collect()}
     assert set(links) <= got and len(got) < 3 * len(links)
 
 
@@ -229,7 +270,7 @@ def test_embeddings_against_brute_force(spark):
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(near, False)
-    for shard_rows in (8192, 150):
+    for shard_rows in (8192, 90):
         out = embed.cluster(df, 0.93, shard_rows).collect()
         got = {r["vec_id"]: r for r in out}
         assert len(out) == len(rows) + len(odd)
@@ -241,3 +282,42 @@ def test_embeddings_against_brute_force(spark):
         assert all(got[i]["kept"] == (got[i]["component_id"] == i) for i in range(1500))
         assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(2000, 2008))
     assert embed.cluster(df.limit(0)).count() == 0
+
+
+def test_embeddings_that_share_an_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 0), (5, [-0.0, 1.0], 0)]
+    got = sorted(tuple(r) for r in embed.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    # (1,0) of label 0 stands twice, with ids 1 and 4; (0,1) with ids 1 and 5
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True), (4, 2, 1, False), (5, 2, 1, False)]
+
+
+def test_small_world_answers_and_is_audited():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(1500, 24))
+    x[700:1000] = x[:300] + 0.1 * rng.normal(size=(300, 24))
+    x[1000:1200] = x[3] + 0.15 * rng.normal(size=(200, 24))  # more partners than a beam is wide
+    x = embed._unit(x)
+    for n in (33, 200, 1500):
+        links = list(embed.SmallWorld.build(x[:n]).links())
+        graph = embed.SmallWorld.from_links(x[:n], np.concatenate(links), np.array([len(a) for a in links]))
+        index = embed.Index(x[:n], graph, 0.93)
+        assert index.audit(x[:n], True) >= 0.98
+        found = {(int(a), int(b)) for r, c in index.partners(x[:n]) for a, b in zip(r, c)}
+        near = {(int(a), int(b)) for a, b in zip(*np.nonzero(x[:n] @ x[:n].T >= 0.93))}
+        assert found <= near and len(found) >= 0.98 * len(near) and index.searches >= n  # every vector asked the graph
+        foreign = embed.Index(x[:n], graph, 0.93)
+        assert foreign.audit(x[700:1000], False) >= 0.98
+
+
+def test_cells_of_a_label_stay_small(spark, monkeypatch):
+    """No group that a task gathers holds more than two shards, however many shards a label has."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(900, 8))
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    sizes = []
+    made = embed.stored
+    monkeypatch.setattr(embed, "stored", lambda d, name: (sizes.append(d), made(d, name))[1])
+    embed.cluster(df, 0.93, shard_rows=60)
+    graphs = made(next(d for d in sizes if "links" in d.columns and "pos" in d.columns), "again")
+    per = [r["n"] for r in graphs.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(per) == 15 and sum(per) == 900 and max(per) < 120
