@@ -1,19 +1,25 @@
 """Hybrid retrieval for a batch of queries: BM25, cosine, reciprocal rank fusion, and two conditional phases.
 
-A lexical query touches only the postings of its terms (an equi-join on the term); the vector side scans the
-vectors once for all queries. Ranks are windows with an explicit tie-break on chunk_id.
+The index is built once and kept: postings carry their weight, so that a query joins its terms to them and sums. The vector side
+scans the vectors once for a block of queries. Ranks are windows with an explicit tie-break on chunk_id.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import shared_folder
 from . import filters
-from .sizes import bounded
+from .sizes import bounded, small
 
 # List lengths, fusion constant, gate; BM25 parameters.
 K_DENSE, K_SPARSE, RRF_K = 50, 50, 60
@@ -23,45 +29,56 @@ CHARTER = "carta_organica"
 DIGITS = 9
 #: Lexical scores are sums over many terms, whose order varies; they are rounded more, so that equal scores stay equal.
 SCORE_DIGITS = 6
+#: Vectors of queries that are sent to the tasks at once.
+BLOCK_BYTES = 32 << 20
 
 
 @dataclass
 class Bm25:
-    """postings (chunk_id, term, tf, dl), idf (term, df, idf), stats (n, avgdl): one row."""
+    """postings (chunk_id, term, weight), idf (term, df, idf), stats (n, avgdl): one row. A posting's weight is its part of a score for a term asked once."""
 
     postings: DataFrame
     idf: DataFrame
     stats: DataFrame
 
-    def write(self, path: str) -> None:
-        for name in ("postings", "idf", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-
     @staticmethod
     def read(spark, path: str) -> Bm25:
         return Bm25(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "stats")))
 
 
-def bm25_index(chunks: DataFrame) -> Bm25:
-    """chunks (chunk_id, texto). A negative idf becomes EPSILON times the mean idf over all terms; texts without tokens count for N."""
-    words = chunks.select("chunk_id", tokens(F.col("texto")).alias("w"))
-    words = words.withColumn("dl", F.size("w"))
-    stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = words.select("chunk_id", "dl", F.explode("w").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
-    raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
-    return Bm25(postings, idf, stats)
+def bm25_index(chunks: DataFrame, path: str | None = None) -> Bm25:
+    """chunks (chunk_id, texto), built and written below ``path`` (a new folder in the shared one by default). Texts are read once.
+
+    A negative idf becomes EPSILON times the mean idf over all terms; texts without tokens count for N.
+    """
+    spark = chunks.sparkSession
+    path = path or f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    # a file may be one large row group: rows are spread before their texts are cut up
+    words = chunks.select("chunk_id", "texto").repartition(spark.sparkContext.defaultParallelism).select("chunk_id", tokens(F.col("texto")).alias("w"))
+    words = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    counts = kept(words.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "counts")
+    n = chunks.count()
+    stats = kept(counts.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(n, 1)))).alias("avgdl")), "stats")
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    terms = kept(terms, "terms")
+    mean = F.broadcast(terms.agg(F.avg("raw").alias("mean")))  # one row
+    idf = kept(terms.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), "idf")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weighed = counts.join(idf.select("term", "idf"), "term").crossJoin(F.broadcast(stats.select("avgdl"))).select("chunk_id", "term", part.alias("weight"))
+    # in the order of their terms, so that a scan for few terms skips row groups
+    return Bm25(kept(weighed.repartitionByRange("term").sortWithinPartitions("term"), "postings"), idf, stats)
 
 
 def bm25_scores(index: Bm25, queries: DataFrame) -> DataFrame:
-    """queries (query_id, query) -> query_id, chunk_id, score of all chunks that share a term. Repeated query terms count as often."""
+    """queries (query_id, query) -> query_id, chunk_id, score of every chunk that shares a term with the query."""
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weighed = bounded(asked.join(index.idf.select("term", "idf"), "term"), asked)
-    hits = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))  # one row
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"))
+    hits = index.postings.join(small(asked), "term")
+    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), SCORE_DIGITS).alias("score"))
 
 
 def _ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -77,26 +94,55 @@ def sparse_topk(index: Bm25, queries: DataFrame, k: int = K_SPARSE, chunks: Data
     return _ranked(scored, [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = K_DENSE, where: dict | None = None) -> DataFrame:
     """chunks (chunk_id, embedding, columns of the filter), queries (query_id, vector) -> query_id, chunk_id, similitud, rank.
 
-    Exact: every vector that passes the filter is scored. The batch of queries is sent to the tasks and must be small;
-    ranks are cut per task before the shuffle.
+    Exact: every vector that passes the filter is scored. Queries are sent to the tasks in blocks of BLOCK_BYTES, one scan of the vectors each; a task keeps
+    the k best sums of a query and passes on only what may still be among them. Vectors that are null, zero, or of another length than the query aren't ranked.
     """
-    asked = F.broadcast(queries.select("query_id", "vector")) if queries.limit(10_001).count() <= 10_000 else queries.select("query_id", "vector")
-    pairs = chunks.where(filters.dense(where)).select("chunk_id", "embedding").join(asked)
-    scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), DIGITS).alias("similitud"))
+    spark = chunks.sparkSession
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").withColumn("dim", F.size("vector"))
+    sizes = asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("dim > 0").collect()  # lengths of vectors
+    held = chunks.where(filters.dense(where)).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = held.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "chunk_id", F.lit(0.0).alias("similitud")).schema
+    out = spark.createDataFrame([], schema)
+    for dim, n in sizes:
+        blocks = -(-n * dim * 8 // BLOCK_BYTES)
+        rows = held.where(F.size("embedding") == dim)
+        for b in range(blocks):
+            block = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "vector").toArrow().combine_chunks()
+            out = out.unionByName(rows.mapInArrow(_best(spark.sparkContext.broadcast(block), dim, k), schema))
+    scored = out.withColumn("similitud", F.round("similitud", DIGITS))
     return _ranked(scored, [F.desc("similitud"), F.asc("chunk_id")], k)
 
 
+def _best(asked: Broadcast, dim: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = asked.value.column("query_id").combine_chunks() if asked.value.num_rows else None
+        q = unit(asked.value.column("vector").combine_chunks(), dim) if ids is not None else None
+        best = None
+        for whole in batches:
+            for b in (whole.slice(at, 4096) for at in range(0, whole.num_rows, 4096)):
+                if ids is None:
+                    continue
+                s = q @ unit(b.column(1), dim).T
+                s = np.where(np.isfinite(s), s, -2.0)
+                top = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
+                best = top if best is None else -np.sort(-np.concatenate([best, top], axis=1), axis=1)[:, :k]
+                least = np.maximum(best[:, -1] if best.shape[1] == k else -1.5, -1.5) - 1e-8  # ties after rounding are kept
+                i, j = np.nonzero(s >= np.reshape(least, (-1, 1)))
+                yield pa.record_batch([ids.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "chunk_id", "similitud"])
+
+    return run
+
+
+def unit(column: pa.ListArray, dim: int) -> np.ndarray:
+    """Vectors scaled to length 1; nulls and zeros give no number."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+
+
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Rankings (query_id, chunk_id, rank, maybe similitud) -> query_id, chunk_id, score_rrf, r0.. (ranks), first_list, first_rank, similitud: a full outer join by union."""
     cols = [f"r{i}" for i in range(len(rankings))]

@@ -1,45 +1,51 @@
-"""Keyed tables of Parquet versions: idempotent upsert, sanitised export, query history."""
+"""Keyed tables of plain Parquet, partitioned by a hash of the key: idempotent upsert, sanitised export, query history."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 
 def merged(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id", order: str | None = None) -> DataFrame:
-    """Existing rows without a newer one, and the incoming rows; of incoming rows with one key the last by ``order`` wins."""
-    if order:
-        w = Window.partitionBy(key).orderBy(F.desc(order))
-        incoming = incoming.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", order)
-    else:
-        incoming = incoming.dropDuplicates([key])
+    """Existing rows without a newer one, and the incoming rows; of incoming rows with one key the last by ``order``, or else by their place in the input, wins."""
+    last = F.desc(order) if order else F.desc("_place")
+    w = Window.partitionBy(key).orderBy(last)
+    incoming = incoming.withColumn("_place", F.monotonically_increasing_id()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_place", *([order] if order else []))
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
 class Collection:
-    """A table kept as numbered versions in one folder of any store that Spark writes to; readers see the last one that is complete."""
+    """A keyed table in one folder: plain Parquet in partitions by a hash of the key. An upsert reads and replaces only the partitions that its keys fall in."""
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id"):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
-    def versions(self) -> list[int]:
+    def _table(self) -> DataFrame | None:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [x.getPath() for x in fs.listStatus(p)] if fs.exists(p) else []
-        done = [x for x in names if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-        return sorted(int(x.getName()[1:]) for x in done if x.getName().startswith("v"))
+        there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path) if there else None
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.versions()[-1]}")
+        return self._table().drop("_bucket")
 
     def upsert(self, incoming: DataFrame, order: str | None = None) -> int:
-        """Writes a new version with ``incoming`` merged in and returns its number of rows."""
-        have = self.versions()
-        new = merged(self.read() if have else incoming.limit(0).drop(*([order] if order else [])), incoming, self.key, order)
-        path = f"{self.path}/v{(have[-1] if have else 0) + 1}"
-        new.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path).count()
+        """Merges ``incoming`` into the table and returns the table's number of rows. A run that is repeated gives the same table."""
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        incoming, have = incoming.withColumn("_bucket", bucket), self._table()
+        touched = [r[0] for r in incoming.select("_bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return have.count() if have else 0
+        old = have.where(F.col("_bucket").isin(touched)) if have else incoming.limit(0).drop(*([order] if order else []))
+        staged = f"{shared_folder(self.spark)}/upsert-{uuid.uuid4().hex}"  # the partitions that are read can't be written over
+        merged(old, incoming, self.key, order).write.parquet(staged)
+        new = self.spark.read.parquet(staged).repartition("_bucket")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        return self._table().count()
 
 
 def sanitized(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -64,10 +70,19 @@ def metadata_json(df: DataFrame) -> DataFrame:
 
 
 def history_rows(history: DataFrame, asked: DataFrame, now: str) -> DataFrame:
-    """asked (username, query, ord) -> rows to append: id goes on from the largest, fecha is ``now``. One batch of user queries at a time."""
-    top = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.orderBy("ord"))
-    return asked.withColumn("n", n).crossJoin(F.broadcast(top)).select((F.col("top") + F.col("n")).cast("long").alias("id"), "username", "query", F.lit(now).alias("fecha"))
+    """asked (username, query, ord) -> rows to append: id goes on from the largest in the order of ``ord``, fecha is ``now``.
+
+    Numbers are counted by range of ``ord``, each in a task of its own, and then offset by the ranges before.
+    """
+    top = history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    parts = f"{shared_folder(asked.sparkSession)}/asked-{uuid.uuid4().hex}"
+    asked.repartitionByRange("ord").withColumn("_p", F.spark_partition_id()).write.parquet(parts)
+    rows = asked.sparkSession.read.parquet(parts)
+    sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per range
+    n = F.row_number().over(Window.partitionBy("_p").orderBy("ord"))
+    numbered = rows.withColumn("_n", n).join(F.broadcast(before), "_p")
+    return numbered.select((F.lit(top) + F.col("_before") + F.col("_n")).cast("long").alias("id"), "username", "query", F.lit(now).alias("fecha"))
 
 
 def latest_per_user(history: DataFrame, n: int = 20, user: str = "username", order: str = "id") -> DataFrame:

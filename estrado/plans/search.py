@@ -1,12 +1,18 @@
-"""Retrieval queries. The corpus is documents joined to embeddings on their ids; the batch of queries is the whole benchmark table, each item with the vector of its id."""
+"""Retrieval queries. The corpus is all documents, with the embedding of their id where there is one; the batch of queries is the whole benchmark table, likewise.
+
+The collection and its lexical index are built once for an application and a set of input files, and read by every query.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cite, text
 from ..operators import answer, search
+from ..session import shared_folder
 
 _KIND = "CASE WHEN source = 'src0' THEN 'carta_organica' WHEN source = 'src1' THEN NULL ELSE 'norma' END"
 
@@ -19,16 +25,34 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("texto"), "lang", F.expr(_KIND).alias("tipo_documento"))
 
 
+_built: dict[tuple, str] = {}
+
+
+def _kept(spark: SparkSession, d: str, name: str, build) -> str:
+    """The folder of a table made from these input files; ``build(folder)`` makes it the first time."""
+    key = (spark.sparkContext.applicationId, name, d, *sorted(x for t in ("documents", "embeddings") for x in _table(spark, d, t).inputFiles()))
+    if key not in _built:
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        build(path)
+        _built[key] = path
+    return _built[key]
+
+
+def _index(spark: SparkSession, d: str) -> search.Bm25:
+    return search.Bm25.read(spark, _kept(spark, d, "bm25", lambda path: search.bm25_index(_documents(spark, d), path)))
+
+
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, with a vector or without: the lexical side searches all, the other one those that have it."""
     v = _table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return _documents(spark, d).join(v, "chunk_id")
+    return spark.read.parquet(_kept(spark, d, "chunks", _documents(spark, d).join(v, "chunk_id", "left").write.parquet))
 
 
 def _queries(spark: SparkSession, d: str, vectors: bool = True) -> DataFrame:
     q = _table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     if not vectors:
         return q
-    return q.join(_table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
+    return q.join(_table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
 
 
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -37,22 +61,22 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    index = search.bm25_index(_documents(spark, d))
+    index = _index(spark, d)
     terms = index.idf.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").cast("long").alias("n_postings"), F.max("df").alias("max_df"))
     return index.stats.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
 
 
 def bm25_idf_floor(spark: SparkSession, d: str) -> DataFrame:
-    return search.bm25_index(_documents(spark, d)).idf.select("term", "df", F.round("idf", 9).alias("idf"))
+    return _index(spark, d).idf.select("term", "df", F.round("idf", 9).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.sparse_topk(search.bm25_index(_documents(spark, d)), _queries(spark, d, False)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return search.sparse_topk(_index(spark, d), _queries(spark, d, False)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def bm25_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    return search.sparse_topk(search.bm25_index(docs), _queries(spark, d, False), 10, docs, {"lang": "es"}).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    return search.sparse_topk(_index(spark, d), _queries(spark, d, False), 10, docs, {"lang": "es"}).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -74,13 +98,13 @@ def dense_filtered_ne(spark: SparkSession, d: str) -> DataFrame:
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
     q = _queries(spark, d)
-    fused = search.rrf([search.dense_topk(chunks, q), search.sparse_topk(search.bm25_index(chunks), q)])
+    fused = search.rrf([search.dense_topk(chunks, q), search.sparse_topk(_index(spark, d), q)])
     return fused.select("query_id", "chunk_id", "score_rrf", F.col("r0").cast("long").alias("r0"), F.col("r1").cast("long").alias("r1"))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    hits = search.hybrid(chunks, search.bm25_index(chunks), _queries(spark, d), 10)
+    hits = search.hybrid(chunks, _index(spark, d), _queries(spark, d), 10)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score_rrf", "en_denso", "en_sparse", "similitud_coseno", F.md5("texto").alias("texto_md5"))
 
 
@@ -90,7 +114,7 @@ def charter_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def _two_phase(spark: SparkSession, d: str, extra: dict | None) -> DataFrame:
     chunks = _chunks(spark, d)
-    hits = search.two_phase(chunks, search.bm25_index(chunks), _queries(spark, d), 10, extra)
+    hits = search.two_phase(chunks, _index(spark, d), _queries(spark, d), 10, extra)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score_rrf", "en_denso", "en_sparse", "similitud_coseno", "fuente_fase", "mejor_coseno_co", "co_es_relevante")
 
 
@@ -106,13 +130,13 @@ def pure_vs_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Side by side: the five best by vectors alone and by both."""
     chunks, q = _chunks(spark, d), _queries(spark, d)
     pure = search.dense_topk(chunks, q, 5).select("query_id", "rank", F.col("chunk_id").alias("pura_id"))
-    both = search.hybrid(chunks, search.bm25_index(chunks), q, 5).select("query_id", "rank", F.col("chunk_id").alias("hibrida_id"))
+    both = search.hybrid(chunks, _index(spark, d), q, 5).select("query_id", "rank", F.col("chunk_id").alias("hibrida_id"))
     return pure.join(both, ["query_id", "rank"], "full_outer").withColumn("rank", F.col("rank").cast("long")).withColumn("igual", F.col("pura_id").eqNullSafe(F.col("hibrida_id")))
 
 
 def numbered_context(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d).drop("tipo_documento")
-    hits = search.hybrid(chunks, search.bm25_index(chunks), _queries(spark, d), 5)
+    hits = search.hybrid(chunks, _index(spark, d), _queries(spark, d), 5)
     hits = hits.withColumns({"tipo_norma": F.lit("ordenanza"), "numero": F.col("chunk_id"), "anio": F.lit(2000)})
     c = cite.numbered_context(hits)
     return c.select("query_id", F.md5("contexto").alias("contexto_md5"), F.length("contexto").cast("long").alias("largo"))
@@ -120,7 +144,7 @@ def numbered_context(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_sources(spark: SparkSession, d: str) -> DataFrame:
     chunks = _chunks(spark, d)
-    hits = search.two_phase(chunks, search.bm25_index(chunks), _queries(spark, d), 12)
+    hits = search.two_phase(chunks, _index(spark, d), _queries(spark, d), 12)
     s = cite.sources(hits.withColumns({"numero": F.col("chunk_id"), "anio": F.lit(2000), "articulo_num": F.col("chunk_id") % 7}))
     return s.withColumn("numero", F.col("numero").cast("long"))
 
@@ -128,7 +152,7 @@ def answer_sources(spark: SparkSession, d: str) -> DataFrame:
 def rag_answer(spark: SparkSession, d: str) -> DataFrame:
     """Answers by a synthesizer that repeats the question; the context is what a model would be given."""
     chunks = _chunks(spark, d).withColumns({"numero": F.col("chunk_id"), "anio": F.lit(2000), "articulo_num": F.col("chunk_id") % 7})
-    told, _ = answer.answer(chunks, search.bm25_index(chunks), _queries(spark, d), lambda q, c: F.concat(F.lit("Sobre: "), q))
+    told, _ = answer.answer(chunks, _index(spark, d), _queries(spark, d), lambda q, c: F.concat(F.lit("Sobre: "), q))
     return told.select("query_id", "respuesta", F.md5("contexto").alias("contexto_md5"))
 
 
@@ -140,22 +164,24 @@ def result_previews(spark: SparkSession, d: str) -> DataFrame:
 _TOK = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1)"
 
 
-def _index(corpus: str) -> str:
+def _lexical(corpus: str) -> str:
     return f"""
-w AS (SELECT chunk_id, {_TOK.format('texto')} AS w FROM {corpus}),
-st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
-po AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY ALL),
-rw AS (SELECT term, count(*) AS df, ln((SELECT n FROM st) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM po GROUP BY term),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM rw) ELSE raw END AS idf FROM rw)"""
+w AS MATERIALIZED (SELECT chunk_id, {_TOK.format('texto')} AS w FROM {corpus}),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
+po AS MATERIALIZED (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY ALL),
+df AS MATERIALIZED (SELECT term, count(*) AS df FROM po GROUP BY term),
+rw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+me AS MATERIALIZED (SELECT avg(raw) AS mean FROM rw),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25::DOUBLE * mean ELSE raw END AS idf FROM rw, me)"""
 
 
 _DOCS = f"docs AS (SELECT doc_id AS chunk_id, text AS texto, lang, {_KIND} AS tipo_documento FROM documents)"
-_CHUNKS = f"{_DOCS}, ch AS (SELECT d.*, e.embedding::DOUBLE[] AS v FROM docs d JOIN embeddings e ON d.chunk_id = e.vec_id)"
-_Q = "q AS (SELECT item_id AS query_id, text AS query, e.embedding::DOUBLE[] AS v FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id)"
+_CHUNKS = f"{_DOCS}, ch AS (SELECT d.*, e.embedding::DOUBLE[] AS v FROM docs d LEFT JOIN embeddings e ON d.chunk_id = e.vec_id)"
+_Q = "q AS (SELECT item_id AS query_id, text AS query, e.embedding::DOUBLE[] AS v FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id)"
 _QT = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _SCORE = f"""
-qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.format('query')}) AS term FROM q) GROUP BY ALL),
-sc AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
+qt AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({_TOK.format('query')}) AS term FROM q) GROUP BY ALL),
+sc AS MATERIALIZED (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
        FROM qt JOIN idf USING (term) JOIN po USING (term), st GROUP BY query_id, chunk_id HAVING score > 0)"""
 
 
@@ -165,7 +191,7 @@ def _cos(a: str, b: str) -> str:
 
 def _dense(name: str, where: str, k: int, corpus: str = "ch") -> str:
     return f"""{name} AS (SELECT * FROM (SELECT query_id, chunk_id, similitud, row_number() OVER (PARTITION BY query_id ORDER BY similitud DESC, chunk_id) AS rank
-      FROM (SELECT q.query_id, c.chunk_id, {_cos('c.v', 'q.v')} AS similitud FROM {corpus} c, q WHERE {where})) WHERE rank <= {k})"""
+      FROM (SELECT q.query_id, c.chunk_id, {_cos('c.v', 'q.v')} AS similitud FROM {corpus} c, q WHERE {where} AND c.v IS NOT NULL AND q.v IS NOT NULL)) WHERE rank <= {k})"""
 
 
 def _sparse(name: str, where: str, k: int) -> str:
@@ -183,12 +209,12 @@ fu AS (SELECT *, round({score}, 12) AS score_rrf FROM wide),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score_rrf DESC, first, chunk_id) AS rank FROM fu)"""
 
 
-_HYBRID = f"WITH {_CHUNKS}, {_index('ch')}, {_Q}, {_SCORE}, {_dense('dn', 'true', 50)}, {_sparse('sp', 'true', 50)}, {_rrf(['dn', 'sp'])}"
+_HYBRID = f"WITH {_CHUNKS}, {_lexical('ch')}, {_Q}, {_SCORE}, {_dense('dn', 'true', 50)}, {_sparse('sp', 'true', 50)}, {_rrf(['dn', 'sp'])}"
 
 
 def _two(extra: str, n: int = 10) -> str:
     co = "c.tipo_documento = 'carta_organica'"
-    return f"""WITH {_CHUNKS}, {_index('ch')}, {_Q}, {_SCORE},
+    return f"""WITH {_CHUNKS}, {_lexical('ch')}, {_Q}, {_SCORE},
 {_dense('cd', co, 20)}, {_sparse('cs', "chunk_id IN (SELECT chunk_id FROM ch WHERE tipo_documento = 'carta_organica')", 20)},
 gate AS (SELECT q.query_id, coalesce(max(similitud), 0) AS mejor_coseno_co FROM q LEFT JOIN cd USING (query_id) GROUP BY q.query_id),
 {_dense('dn', f"c.tipo_documento IS DISTINCT FROM 'carta_organica' AND {extra}", 50)}, {_sparse('s0', 'true', 50)},
@@ -208,10 +234,10 @@ _CITE = "CASE WHEN tipo_documento = 'carta_organica' THEN 'Carta Orgánica Munic
 
 SQL = {
     "tokenize_counts": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)",
-    "bm25_corpus_stats": f"WITH {_DOCS}, {_index('docs')} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf) AS n_terms, (SELECT sum(df)::BIGINT FROM idf) AS n_postings, (SELECT max(df) FROM idf) AS max_df FROM st",
-    "bm25_idf_floor": f"WITH {_DOCS}, {_index('docs')} SELECT term, df, round(idf, 9) AS idf FROM idf",
-    "bm25_topk": f"WITH {_DOCS}, {_index('docs')}, {_QT}, {_SCORE}, {_sparse('sp', 'true', 50)} SELECT query_id, chunk_id, score, rank FROM sp",
-    "bm25_filtered_topk": f"WITH {_DOCS}, {_index('docs')}, {_QT}, {_SCORE}, {_sparse('sp', 'chunk_id IN (SELECT chunk_id FROM docs WHERE lang = ' + chr(39) + 'es' + chr(39) + ')', 10)} SELECT query_id, chunk_id, score, rank FROM sp",
+    "bm25_corpus_stats": f"WITH {_DOCS}, {_lexical('docs')} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf) AS n_terms, (SELECT sum(df)::BIGINT FROM idf) AS n_postings, (SELECT max(df) FROM idf) AS max_df FROM st",
+    "bm25_idf_floor": f"WITH {_DOCS}, {_lexical('docs')} SELECT term, df, round(idf, 9) AS idf FROM idf",
+    "bm25_topk": f"WITH {_DOCS}, {_lexical('docs')}, {_QT}, {_SCORE}, {_sparse('sp', 'true', 50)} SELECT query_id, chunk_id, score, rank FROM sp",
+    "bm25_filtered_topk": f"WITH {_DOCS}, {_lexical('docs')}, {_QT}, {_SCORE}, {_sparse('sp', 'chunk_id IN (SELECT chunk_id FROM docs WHERE lang = ' + chr(39) + 'es' + chr(39) + ')', 10)} SELECT query_id, chunk_id, score, rank FROM sp",
     "dense_topk": f"WITH {_LABELLED}, {_dense('dn', 'true', 50)} SELECT query_id, chunk_id, similitud, rank FROM dn",
     "dense_filtered_ne": f"WITH {_LABELLED}, {_dense('dn', 'c.tipo_documento IS DISTINCT FROM ' + chr(39) + 'carta_organica' + chr(39), 20)} SELECT query_id, chunk_id, similitud, rank FROM dn",
     "rrf_fusion": f"{_HYBRID} SELECT query_id, chunk_id, score_rrf, r0, r1 FROM fu",

@@ -80,7 +80,39 @@ def test_collection(spark, tmp_path):
     assert table.upsert(spark.createDataFrame([("a", 1), ("b", 1)], "chunk_id string, v int")) == 2
     assert table.upsert(spark.createDataFrame([("b", 2), ("c", 2)], "chunk_id string, v int")) == 3
     assert {tuple(r) for r in table.read().collect()} == {("a", 1), ("b", 2), ("c", 2)}
-    assert table.versions() == [1, 2]
+    assert table.upsert(spark.createDataFrame([("c", 3, 1), ("c", 4, 0)], "chunk_id string, v int, at int"), "at") == 3
+    assert {tuple(r) for r in table.read().collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    twice = spark.createDataFrame([("d", 1), ("d", 2), ("d", 3)], "chunk_id string, v int").coalesce(1)
+    assert table.upsert(twice) == 4 and table.read().where("chunk_id = 'd'").first()["v"] == 3
+    files = {p.parent.name for p in (tmp_path / "t").rglob("*.parquet")}
+    assert all(len(list((tmp_path / "t" / b).glob("*.parquet"))) == 1 for b in files)  # nothing old is left
+
+
+def test_history_goes_on(spark):
+    had = spark.createDataFrame([(7, "u", "q", "f")], "id long, username string, query string, fecha string")
+    asked = spark.createDataFrame([("u", f"q{i}", i) for i in range(50)], "username string, query string, ord int").repartition(5)
+    got = upsert.history_rows(had, asked, "now").orderBy("id").collect()
+    assert [(r["id"], r["query"]) for r in got] == [(8 + i, f"q{i}") for i in range(50)]
+
+
+def test_dense_search_against_plain_cosines(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)] + [(400 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(900, None), (901, [0.0] * 4), (902, [1.0, 2.0])]
+    asked = [(f"q{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(9)] + [("one", [2.0, 0.0, 0.0, 0.0]), ("none", None)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    chunks, queries = spark.createDataFrame(rows, "chunk_id int, embedding array<float>"), spark.createDataFrame(asked, "query_id string, vector array<double>")
+    exact = {r["chunk_id"]: r["embedding"] for r in chunks.collect() if r["chunk_id"] < 900}
+    for block in (search.BLOCK_BYTES, 100):
+        monkeypatch.setattr(search, "BLOCK_BYTES", block)
+        got = {}
+        for r in search.dense_topk(chunks, queries, 20).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"]))
+        for q, v in asked[:-1]:
+            want = sorted(exact, key=lambda i: (-round(cos(exact[i], v), 9), i))[:20]
+            assert [c for _, c in sorted(got[q])] == want
+        assert "none" not in got
 
 
 def test_corpus_sources(spark, tmp_path):
