@@ -73,11 +73,13 @@ def full_year(c: Column) -> Column:
 
 
 def spanish_date(c: Column) -> Column:
-    """Date of a short Spanish date such as ``19 mar. 2026``; null where it isn't one."""
-    p = r"(?i)^\s*(\d{1,2})\s+([a-záéíóú]{3})[a-záéíóú]*\.?\s+(\d{4})\s*$"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.regexp_extract(c, p, 2)))
-    ok = c.rlike(p) & (month > 0)
-    return F.when(ok, F.try_to_date(F.concat_ws("-", F.regexp_extract(c, p, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(c, p, 1), 2, "0")), "yyyy-MM-dd"))
+    """Date of a short Spanish date such as ``19 mar. 2026`` at the start of a text; null where there is none."""
+    p = r"^(\d+)\s+([a-z]{3})\.?\s+(\d{4})"
+    c = F.lower(c)
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(c, p, 2))
+    day, year = F.regexp_extract(c, p, 1).try_cast("int"), F.regexp_extract(c, p, 3)
+    ok = c.rlike(p) & (month > 0) & day.between(1, 31) & (year != "0000")
+    return F.when(ok, F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), "yyyy-MM-dd"))
 
 
 def file_name(number: Column, year: Column, summary: Column) -> Column:

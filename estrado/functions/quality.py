@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 # Words that may begin a text in lower case, junk markers, kinds of chunk that should be whole.
 COMMON = (
     "el", "la", "los", "las", "un", "una", "unos", "unas", "de", "del", "en", "por", "para", "que", "se", "su", "sus",
     "al", "lo", "le", "les", "me", "te", "no", "si", "con", "sin", "y", "o", "u", "e", "es", "son", "ser",
 )
-JUNK = (
-    ("Volver", r"(?iU)\bVolver\b"),
-    ("Imprimir", r"(?iU)\bImprimir\b"),
-    ("Versión para Imprimir", r"(?iu)Versi[óo]n para Imprimir"),
-    ("Información Adicional", r"(?iu)Informaci[óo]n Adicional"),
-    ("Zona no Nuclear (slogan)", r"(?iu)Zona no Nuclear"),
-    ("HTML tags", r"(?iu)<[a-z]+[^>]*>"),
-    ("Mojibake", "(?iu)Ã[©³­¡]"),
-    ("Dada en la Sala (colado)", r"(?iu)Dada en la Sala de Sesiones"),
+JUNK = (  # name, expression, whether it stands for a whole word; letter case doesn't matter
+    ("Volver", "Volver", True),
+    ("Imprimir", "Imprimir", True),
+    ("Versión para Imprimir", "Versi[óo]n para Imprimir", False),
+    ("Información Adicional", "Informaci[óo]n Adicional", False),
+    ("Zona no Nuclear (slogan)", "Zona no Nuclear", False),
+    ("HTML tags", "<[a-z]+[^>]*>", False),
+    ("Mojibake", "Ã[©³­¡]", False),
+    ("Dada en la Sala (colado)", "Dada en la Sala de Sesiones", False),
 )
 WHOLE = ("articulo", "anexo", "doc_completo")
 PARTS = ("articulo_largo_parte", "anexo_parte", "fallback_caracteres")
@@ -38,7 +38,10 @@ def ends_cut(t: Column) -> Column:
 
 
 def junk(t: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in JUNK)))
+    """Names of the junk markers in a text. One expression tells clean texts, which are most, before each marker is looked for."""
+    each = [(name, rf"(?iU)\b{p}\b" if word else f"(?iu){p}") for name, p, word in JUNK]
+    some = "|".join(f"(?:{p})" for _, p in each)
+    return F.when(t.rlike(some), F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(name)) for name, p in each)))).otherwise(F.array().cast("array<string>"))
 
 
 def is_middle_part(kind: Column, part: Column) -> Column:
@@ -47,12 +50,11 @@ def is_middle_part(kind: Column, part: Column) -> Column:
 
 def flags(t: Column, chars: Column, kind: Column) -> Column:
     """Array of reasons to look at a chunk, empty where there is none; an empty text has no other reason."""
-    found = junk(t)
     size = chars.cast("string")
     rest = F.array_compact(F.array(
         F.when(kind.isin(*WHOLE) & starts_cut(t), F.lit("empieza_mid_word_estricto")),
         F.when(kind.isin(*WHOLE) & ends_cut(t), F.lit("termina_mid_word_estricto")),
-        F.when(F.size(found) > 0, F.concat(F.lit("basura: "), F.array_join(found, ","))),
+        let(junk(t), lambda found: F.when(F.size(found) > 0, F.concat(F.lit("basura: "), F.array_join(found, ",")))),
         F.when(chars < 20, F.concat(F.lit("muy_corto ("), size, F.lit(" chars)"))),
         F.when(chars > 2500, F.concat(F.lit("muy_largo ("), size, F.lit(" chars)"))),
         F.when((kind == "articulo") & (chars < 30), F.lit("articulo_minusculo")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks as c
@@ -46,5 +46,21 @@ def status_counts(docs: DataFrame, status: str = "status") -> DataFrame:
 
 
 def write_texts(docs: DataFrame, path: str) -> None:
-    """One text file per row would be a file sink of its own; texts are kept as rows (nombre, contenido) of Parquet by year of the name."""
-    docs.withColumn("anio", F.coalesce(c.file_year(F.col("nombre")), F.lit(0))).write.mode("append").partitionBy("anio").parquet(path)
+    """docs (nombre, contenido) as text files, each in a folder of its name (``nombre=...``), with the name read back as a column."""
+    docs.select("nombre", "contenido").repartition("nombre").write.mode("append").option("lineSep", "\n").partitionBy("nombre").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """nombre, contenido of what ``write_texts`` has written; the line separator at a file's end is not part of the text."""
+    d = spark.read.option("wholetext", True).text(path)
+    return d.select(F.col("nombre").cast("string").alias("nombre"), F.regexp_replace("value", r"\n$", "").alias("contenido"))
+
+
+def copy_selected(selected: DataFrame, path: str) -> DataFrame:
+    """Writes the files that ``selected`` (path) names as texts below ``path`` and returns ``selected`` with path_destino. Contents are read and written by the tasks."""
+    spark = selected.sparkSession
+    names = [r[0] for r in selected.select("path").collect()]  # a sample by quotas
+    if names:
+        texts = spark.read.option("wholetext", True).text(names).select(F.col("_metadata.file_name").alias("nombre"), F.col("value").alias("contenido"))
+        write_texts(texts.withColumn("nombre", F.url_decode("nombre")), path)
+    return selected.withColumn("path_destino", F.concat(F.lit(path.rstrip("/") + "/nombre="), F.element_at(F.split("path", "/"), -1)))

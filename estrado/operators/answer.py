@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,29 @@ def embed(df: DataFrame, embedder: Callable[[Column], Column], text: str = "text
     return df.withColumn(out, embedder(F.col(text)))
 
 
+def embed_in_batches(df: DataFrame, fetch: Callable[[list[str]], list], text: str = "texto", out: str = "embedding", batch_size: int = 200, retries: int = 5, first_wait: float = 1.0) -> DataFrame:
+    """Adds a vector column from a service: ``fetch`` takes a list of at most ``batch_size`` texts and returns as many vectors.
+
+    A call that fails with an OSError is tried again after waits that double, ``retries`` times in all; then the task fails. Null texts have null vectors.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(at, batch_size) for b in batches for at in range(0, b.num_rows, batch_size)):
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            asked = [t for t in texts if t is not None]
+            for attempt in range(1, retries + 1):
+                try:
+                    got = iter(fetch(asked) if asked else [])
+                    break
+                except OSError:
+                    if attempt == retries:
+                        raise
+                    time.sleep(first_wait * 2 ** (attempt - 1))
+            yield pa.record_batch([*b.columns, pa.array([None if t is None else next(got) for t in texts], pa.list_(pa.float64()))], names=[*b.schema.names, out])
+
+    return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("array<double>")).schema)
+
+
 def answer(chunks: DataFrame, index: Bm25, queries: DataFrame, synthesizer: Callable[[Column, Column], Column], n_chunks: int = 12, extra: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """queries (query_id, query, vector) -> answers (query_id, respuesta, contexto) and sources. Queries without hits get a fixed text."""
     hits = two_phase(chunks, index, queries, n_chunks, extra)

@@ -31,6 +31,21 @@ def routes(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return d.select(key, F.when(F.col("a"), "camino_1_corto").when(F.col("b"), "camino_2_articulos_o_anexos").when(F.col("c"), "camino_3_fallback").otherwise("indefinido").alias("camino"))
 
 
+def shares(rows: DataFrame, by: str) -> DataFrame:
+    """by, n, pct: rows of each value and their share of all in percent, one decimal."""
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    return n.crossJoin(F.broadcast(total)).select(by, "n", F.round(F.col("n") * 100.0 / F.col("total"), 1).alias("pct"))
+
+
+def suspicious(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: total_chunks, sospechosos, pct_sospechosos, of chunks and those among them that ``flagged`` gives."""
+    a = chunks.agg(F.count(F.lit(1)).alias("total_chunks"))
+    b = found.agg(F.count(F.lit(1)).alias("sospechosos"))
+    pct = F.when(F.col("total_chunks") > 0, F.round(F.col("sospechosos") * 100.0 / F.col("total_chunks"), 1)).otherwise(0.0)
+    return a.crossJoin(b).withColumn("pct_sospechosos", pct)
+
+
 def bucket(n: Column) -> Column:
     out = F.when(n <= BUCKETS[0][0], BUCKETS[0][1])
     for most, name in BUCKETS[1:]:
@@ -55,8 +70,10 @@ def anomalies(rows: DataFrame, order: list, n: int = 50) -> DataFrame:
 
 def flagged(chunks: DataFrame) -> DataFrame:
     """chunks (chunk_id, texto, char_count, tipo_chunk) -> those with reasons: chunk_id, razones, gravedad."""
-    d = chunks.withColumn("razones", quality.flags(F.col("texto"), F.col("char_count"), F.col("tipo_chunk"))).where(F.size("razones") > 0)
-    return d.select("chunk_id", "razones", quality.severity(F.col("razones")).alias("gravedad"))
+    found = quality.flags(F.col("texto"), F.col("char_count"), F.col("tipo_chunk"))
+    # a condition on what an explode gives isn't moved below it, so that the reasons are found once
+    d = chunks.select("chunk_id", F.explode(F.array(F.struct(found.alias("razones")))).alias("x")).where(F.size("x.razones") > 0)
+    return d.select("chunk_id", "x.razones", quality.severity(F.col("x.razones")).alias("gravedad"))
 
 
 def reasons(found: DataFrame) -> DataFrame:

@@ -98,6 +98,14 @@ def char_chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(c.pieces(F.col(text))).alias("i", "texto")).select(key, (F.col("i") + 1).alias("parte"), "texto")
 
 
+def processing_log(docs: DataFrame, key: str = "path", text: str = "contenido") -> DataFrame:
+    """docs -> key, n_chunks, error: null, or why a document gave no chunk. Documents without text are told, and the others go on."""
+    made = chunk_documents(docs.select(key, text).where(F.col(text).isNotNull()), key, text).groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"))
+    log = docs.select(key, F.col(text).isNull().alias("_none")).join(made, key, "left")
+    error = F.when(F.col("_none"), "texto ilegible").when(F.col("n_chunks").isNull(), "cero chunks generados")
+    return log.select(key, F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), error.alias("error"))
+
+
 def validated(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs -> key, status: ``ok``, or why a text can't be taken: too short, no kind of norm in its header, or no chunk."""
     d = docs.withColumn("_ok", F.length(strip(F.coalesce(F.col(text), F.lit("")))) >= 50).withColumn("_kind", parse.header(F.col(text))["tipo_norma"])

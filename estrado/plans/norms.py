@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks as c
-from ..functions import cite, parse
-from ..operators import acquire, audit, chunking, repeal, upsert
+from ..functions import cite, parse, quality, sql
+from ..operators import acquire, audit, chunking, repeal, report, upsert
+from ..sources import corpus
 
 # Parts of a norm, as SQL for Spark and DuckDB alike; k: o_orderkey, y: year of o_orderdate, n: number of articles.
 _N = "(2 + o_orderkey % 3)"
@@ -83,15 +84,18 @@ def chunk_router_counts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("camino", F.explode("p").alias("x")).groupBy("camino").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("x")).alias("chars"))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    # a file may be one large row group: rows are spread before the work on their texts
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
+
+
 def char_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    k = chunking.char_chunks(docs, "doc_id", "text")
+    k = chunking.char_chunks(_texts(spark, d), "doc_id", "text")
     return k.select("doc_id", F.col("parte").cast("long").alias("parte"), F.md5("texto").alias("texto_md5"))
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    k = chunking.char_chunks(docs, "doc_id", "text")
+    k = chunking.char_chunks(_texts(spark, d), "doc_id", "text")
     return k.withColumns({"chunk_id": F.concat(F.lit("d_"), F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("parte").cast("string")), "char_count": F.length("texto"), "tipo_chunk": F.when(F.col("parte") == 1, "articulo").otherwise("fallback_caracteres")})
 
 
@@ -196,7 +200,7 @@ def result_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anomalies_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = _orders(spark, d).where("o_totalprice > 100000").select("o_orderkey", F.lit("sin_tipo_norma_parseado").alias("anomalia"))
+    rows = chunking.validated(_norms_with_faults(spark, d), "id", "contenido").where("status <> 'ok'").select(F.col("id").alias("o_orderkey"), F.col("status").alias("anomalia"))
     return audit.anomalies(rows, [F.asc("o_orderkey")])
 
 
@@ -208,7 +212,7 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 def acquire_window_antijoin(spark: SparkSession, d: str) -> DataFrame:
     o = _orders(spark, d).select(F.col("o_orderkey").alias("numero"), F.year("o_orderdate").alias("anio"), F.to_date("o_orderdate").alias("fecha"))
-    held = acquire.held_from_names(_files(spark, d).where("o_orderkey % 3 = 0")).withColumn("numero", F.col("numero").cast("long"))
+    held = acquire.held_from_names(_files(spark, d)).withColumn("numero", F.col("numero").cast("long"))
     return acquire.not_held(acquire.in_window(o, 12, F.lit("2001-06-01").cast("date")), held).withColumn("anio", F.col("anio").cast("long"))
 
 
@@ -219,13 +223,47 @@ def acquire_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def norm_validation(spark: SparkSession, d: str) -> DataFrame:
-    n = _norms(spark, d).withColumn("contenido", F.when(F.col("id") % 5 == 0, F.lit("corto")).when(F.col("id") % 5 == 1, F.regexp_replace("contenido", "Ordenanza N°", "Norma")).otherwise(F.col("contenido")))
-    return acquire.status_counts(chunking.validated(n, "id", "contenido"))
+    return acquire.status_counts(chunking.validated(_norms_with_faults(spark, d), "id", "contenido"))
+
+
+def _norms_with_faults(spark: SparkSession, d: str) -> DataFrame:
+    return _norms(spark, d).withColumn("contenido", F.when(F.col("id") % 5 == 0, F.lit("corto")).when(F.col("id") % 5 == 1, F.regexp_replace("contenido", "Ordenanza N°", "Norma")).otherwise(F.col("contenido")))
+
+
+def processing_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every norm's number of chunks and error; some have no text, some have nothing but a blank one."""
+    n = _norms(spark, d).withColumn("contenido", F.when(F.col("id") % 11 != 0, F.when(F.col("id") % 13 == 0, F.lit(" \n ")).otherwise(F.col("contenido"))))
+    return chunking.processing_log(n, "id", "contenido").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("n_chunks") > 0).cast("long")).alias("con_chunks"))
+
+
+def audit_shares(spark: SparkSession, d: str) -> DataFrame:
+    return audit.shares(audit.routes(chunking.chunk_documents(_norms(spark, d), "id"), "id"), "camino")
+
+
+def suspicious_share(spark: SparkSession, d: str) -> DataFrame:
+    k = _pieces(spark, d)
+    return audit.suspicious(k, audit.flagged(k))
+
+
+def events_json(spark: SparkSession, d: str) -> DataFrame:
+    return report.json_rows(repeal_events(spark, d).select("doc_id_derogatorio", "doc_id_derogado", "verbo"))
+
+
+def first_documents(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.first_documents(_files(spark, d).select("nombre", "o_orderkey"), 25, "nombre")
+
+
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The registered SQL functions over all documents."""
+    sql.register(spark)
+    _texts(spark, d).createOrReplaceTempView("estrado_docs")
+    return spark.sql("""SELECT doc_id, cast(size(estrado_tokens(text)) AS BIGINT) AS n_tokens, cast(size(estrado_pieces(text)) AS BIGINT) AS n_pieces,
+      md5(array_join(estrado_pieces(text), '|')) AS piezas_md5, estrado_norm_label('ordenanza', cast(doc_id AS STRING), 2000, cast(doc_id % 7 AS INT)) AS etiqueta FROM estrado_docs""")
 
 
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "lang", F.col("n_chars").cast("long").alias("n"))
-    news = docs.where("chunk_id % 3 = 0").select((F.col("chunk_id") + 6).alias("chunk_id"), F.lit("xx").alias("lang"), (F.col("n") + 1).alias("n"))
+    news = docs.select((F.col("chunk_id") + 6).alias("chunk_id"), F.lit("xx").alias("lang"), (F.col("n") + 1).alias("n"))
     twice = news.withColumn("v", F.lit(1)).unionByName(news.withColumns({"lang": F.lit("yy"), "v": F.lit(2)}))
     return upsert.merged(docs, twice, "chunk_id", "v")
 
@@ -293,10 +331,9 @@ _PIECES = rf"""p AS (SELECT doc_id, i + 1 AS parte, CASE WHEN length(text) <= 15
   FROM (SELECT doc_id, text, unnest(range({_PC.format('text')})) AS i FROM documents WHERE length(text) > 0)),
 k AS (SELECT *, 'd_' || doc_id || '_chunk_' || row_number() OVER (PARTITION BY doc_id ORDER BY parte) AS chunk_id, length(texto) AS char_count, CASE WHEN row_number() OVER (PARTITION BY doc_id ORDER BY parte) = 1 THEN 'articulo' ELSE 'fallback_caracteres' END AS tipo_chunk FROM p WHERE texto <> '')"""
 _LET = "[a-záéíóúñüA-ZÁÉÍÓÚÑÜ]"
-_COMMON = "('el','la','los','las','un','una','unos','unas','de','del','en','por','para','que','se','su','sus','al','lo','le','les','me','te','no','si','con','sin','y','o','u','e','es','son','ser')"
-_JUNK = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(texto, '{p}') THEN '{n}' END" for n, p in (
-    ("Volver", r"(?i)(^|[^\p{L}\p{N}_])Volver([^\p{L}\p{N}_]|$)"), ("Imprimir", r"(?i)(^|[^\p{L}\p{N}_])Imprimir([^\p{L}\p{N}_]|$)"), ("Versión para Imprimir", "(?i)Versi[óo]n para Imprimir"),
-    ("Información Adicional", "(?i)Informaci[óo]n Adicional"), ("Zona no Nuclear (slogan)", "(?i)Zona no Nuclear"), ("HTML tags", "(?i)<[a-z]+[^>]*>"), ("Mojibake", "(?i)Ã[©³­¡]"), ("Dada en la Sala (colado)", "(?i)Dada en la Sala de Sesiones"))) + "], lambda x: x IS NOT NULL), ',')"
+_COMMON = "(" + ",".join(f"'{w}'" for w in quality.COMMON) + ")"
+_WORD = r"(?i)(^|[^\p{{L}}\p{{N}}_]){0}([^\p{{L}}\p{{N}}_]|$)"
+_JUNK = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(texto, '{_WORD.format(p) if word else '(?i)' + p}') THEN '{n}' END" for n, p, word in quality.JUNK) + "], lambda x: x IS NOT NULL), ',')"
 _FLAGS = rf"""WITH {_PIECES},
 g AS (SELECT *, lower(regexp_extract(texto, '^\s*({_LET}+)', 1)) AS a, regexp_extract(texto, '({_LET}+)\s*$', 1) AS z, {_JUNK} AS junk FROM k),
 f AS (SELECT chunk_id, list_filter([
@@ -379,12 +416,19 @@ SQL = {
  CASE WHEN o_orderkey % 7 = 0 THEN 'CARTA ORGANICA - ' || CASE WHEN o_orderkey % 21 = 0 THEN 'Preambulo' ELSE 'Art. ' || CASE WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 50)::VARCHAR ELSE '?' END END
  ELSE CASE o_orderkey % 3 WHEN 0 THEN 'ORDENANZA' WHEN 1 THEN 'RESOLUCION' ELSE '?' END || ' ' || o_orderkey || '/' || {_Y} || CASE WHEN o_orderkey % 2 = 0 THEN ' - ' || o_orderpriority ELSE '' END
   || CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 50 <> 0 THEN ' (Art. ' || (o_orderkey % 50) || ')' ELSE '' END || CASE WHEN o_orderkey % 11 = 0 THEN ' [DEROGADA]' ELSE '' END END AS resultado FROM orders""",
-    "anomalies_report": "WITH r AS (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) SELECT o_orderkey, 'sin_tipo_norma_parseado' AS anomalia, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) > 50 AS truncado FROM r ORDER BY 1 LIMIT 50",
-    "acquire_window_antijoin": f"SELECT o_orderkey AS numero, {_Y} AS anio, o_orderdate::DATE AS fecha FROM orders WHERE o_orderdate::DATE >= DATE '2001-06-01' - INTERVAL 360 DAY AND NOT (o_orderkey % 3 = 0 AND o_orderkey % 10 <> 0)",
+    "anomalies_report": "WITH r AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'texto_corto' ELSE 'sin_tipo_norma' END AS anomalia FROM orders WHERE o_orderkey % 5 <= 1) SELECT o_orderkey, anomalia, (SELECT count(*) FROM r) AS total, (SELECT count(*) FROM r) > 50 AS truncado FROM r ORDER BY 1 LIMIT 50",
+    "acquire_window_antijoin": f"SELECT o_orderkey AS numero, {_Y} AS anio, o_orderdate::DATE AS fecha FROM orders WHERE o_orderdate::DATE >= DATE '2001-06-01' - INTERVAL 360 DAY AND o_orderkey % 10 = 0",
     "acquire_documents": f"""SELECT o_orderkey || '-' || {_Y} || ' - ' || o_orderpriority || '_ _a_b_.txt' AS nombre, md5('# UNID: SCRAPER-ORD-' || o_orderkey || '-' || {_Y} || chr(10) || '# Descargado-de: ' || {_URL} || chr(10) || '# Fecha-descarga: 2024-01-01T00:00:00' || chr(10) || chr(10)
  || 'Ordenanza N° ' || o_orderkey || ', Año ' || {_Y} || chr(10) || chr(10) || 'Resumen: ' || o_orderpriority || ': "a/b"' || chr(10) || chr(10) || '---' || chr(10) || {_arts('chr(10)')}) AS contenido_md5, o_orderkey::VARCHAR AS numero, NULL::VARCHAR AS unid FROM orders""",
     "norm_validation": "SELECT CASE o_orderkey % 5 WHEN 0 THEN 'texto_corto' WHEN 1 THEN 'sin_tipo_norma' ELSE 'ok' END AS status, count(*) AS n FROM orders GROUP BY 1",
-    "upsert_merge": "WITH n AS (SELECT doc_id + 6 AS chunk_id, n_chars + 1 AS n FROM documents WHERE doc_id % 3 = 0) SELECT doc_id AS chunk_id, lang, n_chars AS n FROM documents WHERE doc_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT chunk_id, 'yy', n FROM n",
+    "processing_errors": "SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'texto ilegible' WHEN o_orderkey % 13 = 0 THEN 'cero chunks generados' END AS error, count(*) AS n, count(CASE WHEN o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 THEN 1 END) AS con_chunks FROM orders GROUP BY 1",
+    "audit_shares": f"WITH r AS (SELECT CASE WHEN length({_BODY}) < 2000 THEN 'camino_1_corto' ELSE 'camino_2_articulos_o_anexos' END AS camino, count(*) AS n FROM orders GROUP BY 1) SELECT camino, n, round(n * 100.0::DOUBLE / sum(n) OVER (), 1) AS pct FROM r",
+    "suspicious_share": f"{_FLAGS} SELECT a.n AS total_chunks, b.n AS sospechosos, round(b.n * 100.0::DOUBLE / a.n, 1) AS pct_sospechosos FROM (SELECT count(*) AS n FROM k) a, (SELECT count(*) AS n FROM s) b",
+    "events_json": f"""SELECT '{{"doc_id_derogatorio":"' || {_ID} || '","doc_id_derogado":"ordenanza_' || (1000 + o_orderkey % 9000) || '_' || CASE WHEN o_orderkey % 100 >= 60 THEN 1900 + o_orderkey % 100 ELSE 2000 + o_orderkey % 100 END || '","verbo":"DERÓGASE"}}' AS json FROM orders""",
+    "first_documents": f"SELECT {_NAME} AS nombre, o_orderkey FROM orders ORDER BY encode({_NAME}) LIMIT 25",
+    "sql_functions": rf"""WITH {_PIECES} SELECT d.doc_id, len(list_filter(regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1))::BIGINT AS n_tokens, count(p.texto) AS n_pieces, md5(coalesce(string_agg(p.texto, '|' ORDER BY p.parte), '')) AS piezas_md5,
+ 'Ordenanza N° ' || d.doc_id || '/2000, Art. ' || (d.doc_id % 7) AS etiqueta FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND p.texto <> '' GROUP BY d.doc_id, d.text""",
+    "upsert_merge": "WITH n AS (SELECT doc_id + 6 AS chunk_id, n_chars + 1 AS n FROM documents) SELECT doc_id AS chunk_id, lang, n_chars AS n FROM documents WHERE doc_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT chunk_id, 'yy', n FROM n",
     "metadata_sanitize": f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '[' || o_orderkey || ',7]' ELSE '' END AS refs, CASE WHEN o_orderkey % 3 = 0 THEN 'x' END AS t, {_Y} AS anio FROM orders",
     "metadata_as_json": """SELECT '{"o_orderkey":' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ',"t":"x"' ELSE '' END || '}' AS metadata FROM orders""",
     "token_cost_estimate": "SELECT floor(sum(length(text)) / 3.5)::BIGINT AS tokens, round(floor(sum(length(text)) / 3.5) / 1e6 * 0.02::DOUBLE, 9) AS usd FROM documents",

@@ -15,6 +15,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("carpeta"), F.col("_metadata.file_name").alias("nombre"), F.col("value").alias("contenido"))
 
 
+def first_documents(docs: DataFrame, n: int, path: str = "path") -> DataFrame:
+    """The first ``n`` documents in the order of their paths; the others aren't sorted."""
+    return docs.orderBy(path).limit(n)
+
+
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """path, tipo, nombre, bytes, anio of all text files below ``folder``, at any depth; tipo is the first folder. Contents aren't read."""
     root = folder.rstrip("/")

@@ -1,12 +1,14 @@
-"""A paged listing as a Spark data source: one partition per page, fetched by the tasks.
+"""A paged listing as a Spark data source, fetched by the tasks.
 
 The page fetcher is given by name (``module:function``), so that tests and other sites plug in their own; it takes the page number and
-the options and returns a list of rows. Reading stops being useful after the last page, which the options name.
+the options and returns a list of rows, or a dictionary with ``rows`` and, if the answer tells it, ``last_page``. Where the last page is told by the
+options or by the first answer there is a partition per page; else one partition walks on until a page is empty.
 """
 
 from __future__ import annotations
 
 import importlib
+import time
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,33 +17,51 @@ SCHEMA = "id_pdf string, numero int, anio int, fecha_texto string, resumen strin
 
 
 class Page(InputPartition):
-    def __init__(self, number: int):
-        self.value = number
+    """A page, or with ``walk`` all pages from it on."""
+
+    def __init__(self, number: int, walk: bool = False):
+        self.value, self.walk = number, walk
 
 
 class ListingReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
 
-    def partitions(self) -> list[Page]:
-        return [Page(i) for i in range(int(self.options.get("firstpage", 1)), int(self.options.get("lastpage", 1)) + 1)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def fetch(self, page: int) -> tuple[list, int | None]:
+        """Rows of a page and the last page, if told. Three attempts, with growing waits in between."""
         module, _, name = self.options["fetcher"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        for attempt in range(3):
+        get, wait = getattr(importlib.import_module(module), name), float(self.options.get("wait", 2))
+        for attempt in range(1, 4):
             try:
-                rows = fetch(partition.value, dict(self.options))
-                break
+                got = get(page, dict(self.options))
+                return (got["rows"], got.get("last_page")) if isinstance(got, dict) else (got, None)
             except OSError:
-                if attempt == 2:
+                if attempt == 3:
                     raise
-        for r in rows:
-            yield tuple(r.get(k) for k in ("id_pdf", "numero", "anio", "fecha_texto", "resumen", "url_pdf", "raw"))
+                time.sleep(wait * attempt)
+        raise AssertionError
+
+    def partitions(self) -> list[Page]:
+        first, last = int(self.options.get("firstpage", 1)), self.options.get("lastpage")
+        if last is None:
+            rows, last = self.fetch(first)
+            if not rows:
+                return []
+        return [Page(first, True)] if last is None else [Page(i) for i in range(first, int(last) + 1)]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        page = partition.value
+        while True:
+            rows, last = self.fetch(page)
+            for r in rows:
+                yield tuple(r.get(k) for k in ("id_pdf", "numero", "anio", "fecha_texto", "resumen", "url_pdf", "raw"))
+            if not partition.walk or not rows or (last is not None and page >= last):
+                return
+            page += 1
 
 
 class Listing(DataSource):
-    """``spark.dataSource.register(Listing)``, then ``spark.read.format("norm_listing").option("fetcher", ...).option("lastPage", n).load()``."""
+    """``spark.dataSource.register(Listing)``, then ``spark.read.format("norm_listing").option("fetcher", ...).load()``; lastPage is optional."""
 
     @classmethod
     def name(cls) -> str:
