@@ -2,35 +2,23 @@
 
 Intermediate results that are read more than once, or whose lineage must be cut, are written as
 Parquet below the folder named by ``spark.checkpoint.dir``, which every executor and the driver see.
-A local session that names none (tests) gets a temporary folder; a cluster must name one.
+See ``session.shared_folder``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
-_made: dict[str, list[str]] = {}
-
+from ..session import shared_folder
 
-def folder(spark: SparkSession) -> str:
-    """The shared folder of this application."""
-    app, told = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if app not in _local:
-            _local[app] = tempfile.mkdtemp(prefix="estrado-")
-        told = _local[app]
-    return f"{told.rstrip('/')}/estrado-{app}"
+_made: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -60,5 +48,5 @@ def step(spark: SparkSession, make: Callable[[], DataFrame], name: str, last: st
 
 def release(spark: SparkSession) -> None:
     """Deletes what this application has stored. Results that are still lazy can't be read afterwards."""
-    _delete(spark, folder(spark))
+    _delete(spark, shared_folder(spark))
     _made.pop(spark.sparkContext.applicationId, None)
