@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick automaton finds anchors: at-signs, schemes, plus signs, digits followed by a dot, digits, and cues of
-account identifiers. Around an anchor a deterministic parser expands the span to its bounds and validates it. Spans of
+One Aho-Corasick automaton finds anchors: at-signs, schemes, plus signs, digits followed by a dot, digits, cues of
+account identifiers and of secrets. Around an anchor a deterministic parser expands the span to its bounds and validates it: by check digits
+where an identifier has them, by its form where it has not. Spans of
 a kind are leftmost and don't overlap; a span that fails its check is dropped and not tried again at a later start.
 """
 
@@ -17,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The kinds in the order in which spans at one start are listed; the first four are the base kinds.
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = 4
-#: Schemes that open an address, and cues before an account identifier.
+#: Schemes that open an address, cues before an account identifier, cues before a secret, and what keys of some services begin with.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("iban", "account", "acct", "passport", "ssn")
+SECRETS = ("token", "api key", "api_key", "api-key", "apikey", "secret", "password", "passwd", "access key", "access_key", "private key", "private_key", "bearer")
+PREFIXES = {"akia": re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), "ghp_": re.compile(r"ghp_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), "sk-": re.compile(r"sk-[A-Za-z0-9_-]{20,}")}
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -29,7 +32,15 @@ DOTTED = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
-ACCOUNT = re.compile(r"(?:[\x20]*(?:no\.?|number|id|[:#=-])){0,3}[\x20]*([A-Za-z]{0,2}[0-9](?:[\x20-]?[A-Za-z0-9]){5,33})", re.IGNORECASE)
+SAID = re.compile(r"(?:[\x20]*(?:no\.?|number|id|[:#=-])){0,3}[\x20]*", re.IGNORECASE)
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){11,30}")
+FORMS = {
+    "ssn": re.compile(r"(?!000|666|9)[0-9]{3}[\x20-]?(?!00)[0-9]{2}[\x20-]?(?!0000)[0-9]{4}(?![A-Za-z0-9])"),
+    "passport": re.compile(r"[A-Za-z]{0,2}[0-9]{6,9}(?![A-Za-z0-9])"),
+    "account": re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![A-Za-z0-9])"),
+}
+FORMS["acct"] = FORMS["account"]
+SECRET = re.compile(r"(?:[_-]?(?:id|value))?[\x20]*[\"']?[\x20]*(?:[:=]|is|->|=>)?[\x20]*[\"']?([A-Za-z0-9+/_=.~-]{16,})")
 DIGITS = frozenset("0123456789")
 DOTS = DIGITS | {"."}
 
@@ -40,8 +51,9 @@ def automaton() -> ahocorasick.Automaton:
     a.add_word("+", "+")
     for d in "0123456789":
         a.add_word(d, "d")
-    for word, what in (*((s, "s") for s in SCHEMES), *((c, "c") for c in CUES)):
-        a.add_word(word, what)
+    for words, what in ((SCHEMES, "s"), (CUES, "c"), (SECRETS, "k"), (PREFIXES, "p")):
+        for word in words:
+            a.add_word(word, what)
     a.make_automaton()
     return a
 
@@ -54,11 +66,42 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def account(cue: str, text: str, at: int) -> tuple[int, int] | None:
+    """The identifier that follows a cue: an IBAN by its check digits, others by their form."""
+    start = SAID.match(text, at).end()
+    if cue != "iban":
+        m = FORMS[cue].match(text, start)
+        return (start, m.end()) if m else None
+    m = IBAN.match(text, start)
+    stop = m.end() if m else 0
+    while stop - start >= 15:
+        if (stop == len(text) or not text[stop].isalnum()) and iban(text[start:stop]):
+            return start, stop
+        stop -= 1
+        while text[stop - 1] in " -":
+            stop -= 1
+    return None
+
+
+def iban(text: str) -> bool:
+    """Whether the number made from an IBAN, its first four characters put last, leaves 1 when divided by 97."""
+    t = text.replace(" ", "").replace("-", "")
+    return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def secret(text: str, at: int) -> tuple[int, int] | None:
+    """The value that follows a cue: 16 characters or more, with a digit and eight different ones."""
+    m = SECRET.match(text, at)
+    if not m or len(set(m[1])) < 8 or not any(c in DIGITS for c in m[1]):
+        return None
+    return m.start(1), m.start(1) + len(m[1].rstrip(".="))
+
+
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of every span of a text, code points, end exclusive, sorted."""
     out: list[tuple[int, int, int]] = []
     # ends of what each kind has consumed, dropped spans included
-    email = ip = card = phone = url = account = 0
+    email = ip = card = phone = url = told = hidden = 0
     low = text.lower()
     if len(low) != len(text):  # a few letters grow when lower-cased; the cues are ASCII
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -103,11 +146,22 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 if stop > end + 1:
                     url = stop
                     out.append((start, 4, stop))
-        elif what == "c" and end >= account:
-            start = next(end + 1 - len(c) for c in CUES if low.endswith(c, 0, end + 1))
-            if (start == 0 or not text[start - 1].isalnum()) and (m := ACCOUNT.match(text, end + 1)) and sum(c in DIGITS for c in m[1]) >= 6:
-                account = m.end(1)
-                out.append((m.start(1), 5, account))
+        elif what == "c" and end >= told:
+            cue = next(c for c in CUES if low.endswith(c, 0, end + 1))
+            start = end + 1 - len(cue)
+            if (start == 0 or not text[start - 1].isalnum()) and (span := account(cue, text, end + 1)):
+                told = span[1]
+                out.append((span[0], 5, told))
+        elif what == "k" and end >= hidden:
+            if span := secret(text, end + 1):
+                hidden = span[1]
+                out.append((span[0], 6, hidden))
+        elif what == "p":
+            word = next(p for p in PREFIXES if low.endswith(p, 0, end + 1))
+            start = end + 1 - len(word)
+            if start >= hidden and (start == 0 or not text[start - 1].isalnum()) and (m := PREFIXES[word].match(text, start)):
+                hidden = m.end()
+                out.append((start, 6, hidden))
     out.sort()
     return out
 
@@ -119,7 +173,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any more) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row per input row.
 
-    Base spans (email, ip, card, phone) are counted and digested; spans also lists urls and accounts. A null text counts as
+    Base spans (email, ip, card, phone) are counted and digested; spans also lists urls, accounts and secrets. A null text counts as
     empty: no spans, the digest of nothing. Null doc_ids and repeated rows are scanned like others; empty tables give no rows.
     """
 
