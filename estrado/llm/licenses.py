@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,16 +23,24 @@ TEMPLATES = (
     ("MIT", "statement", "Released under the MIT License."),
     ("MIT", "statement-2", "Licensed under the MIT License."),
     ("MIT", "permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "disclaimer", "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("Apache-1.1", "statement", "Licensed under the Apache License, Version 1.1."),
     ("Apache-2.0", "statement", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "header", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "statement", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "statement", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-2.0", "notice", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "notice", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
     ("AGPL-3.0", "notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "conditions", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("BSD-2-Clause", "conditions", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("ISC", "permission", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("EPL-2.0", "notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "notice", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("Zlib", "permission", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "statement", "Distributed under the Boost Software License, Version 1.0."),
     ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "statement", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "sentence", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -74,7 +83,7 @@ class Templates:
 
     def stretches(self, bigrams: np.ndarray) -> Iterator[tuple[str, str, float, int, int]]:
         """(licence, template, Dice, first bigram, last bigram): of overlapping stretches over the threshold the best, ties to the
-        leftmost and shortest; of templates that claim the same place the one with the highest Dice, ties to the first listed."""
+        leftmost and shortest; of templates that claim the same place the one with the highest Dice, ties to the longest and then to the first listed."""
         at = np.flatnonzero(self.any[bigrams])
         found = []
         for rank, (licence, name, have, size, need, span, of) in enumerate(self.items):
@@ -95,12 +104,15 @@ class Templates:
                         common += 1
                         dice = 2 * common / (width + size)
                         if dice >= self.least - 1e-12:
-                            found.append((-dice, rank, int(p[i]), int(p[j])))
+                            found.append((-dice, -size, rank, int(p[i]), int(p[j])))
         found.sort()
-        taken: list[tuple[int, int]] = []
-        for dice, rank, a, b in found:
-            if all(b < x or a > y for x, y in taken):
-                taken.append((a, b))
+        starts: list[int] = []  # of what is taken, ascending, and the ends beside them: these stretches don't overlap
+        ends: list[int] = []
+        for dice, _, rank, a, b in found:
+            k = bisect_left(starts, a)
+            if (k == len(starts) or starts[k] > b) and (k == 0 or ends[k - 1] < a):
+                starts.insert(k, a)
+                ends.insert(k, b)
                 yield *self.items[rank][:2], -dice, a, b
 
 
