@@ -238,6 +238,36 @@ def test_pii_finds_more_kinds():
     assert any(k == "account" and x.startswith("DE89 3704") for k, x in found)
 
 
+def test_pii_checks_digits_and_finds_secrets(spark):
+    found = lambda t: [(pii.KINDS[k], t[a:b]) for a, k, b in pii.find(t, pii.automaton()) if k >= pii.BASE]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 is mine") == [("account", "DE89 3704 0044 0532 0130 00")]
+    assert found("IBAN DE88 3704 0044 0532 0130 00") == [] and found("SSN 666-12-3456, SSN: 123-00-4567") == []
+    assert found("ssn 123-45-6789.") == [("account", "123-45-6789")] and found("Account no 1234567 is closed") == [("account", "1234567")]
+    assert found("passport: AB1234567;") == [("account", "AB1234567")] and found("accountability 1234567") == []
+    assert found('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x') == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    assert found("a token of friendship and a secret understanding") == [] and found("password: aaaaaaaaaaaaaaaaaaaa1") == []
+    assert found("AKIA" + "Q7" * 8 + ".") == [("secret", "AKIA" + "Q7" * 8)]
+    src = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # every planted secret is found, and clean texts have none
+    hex_ = r'token = "([0-9a-f]{40})"'
+    rows = pii.scan(src).select("doc_id", F.col("spans").contains("secret:").alias("told")).join(src, "doc_id").select("told", F.col("text").rlike(hex_).alias("planted")).collect()
+    assert any(r["planted"] for r in rows) and all(r["told"] == r["planted"] for r in rows)
+
+
+def test_neighbouring_licenses_are_told_apart(spark):
+    text = {(i, n): t for i, n, t in licenses.TEMPLATES}
+    rows = [(k, "Intro words. " + t + " And then the rest.") for k, t in enumerate(text.values())]
+    got = {r["doc_id"]: (r["license_id"], r["template"], r["dice"]) for r in licenses.scan(docs(spark, rows)).collect()}
+    for k, (licence, name) in enumerate(text):
+        assert got[k][0] == licence and got[k][2] == 1.0, (licence, name, got[k])
+    many = licenses.Templates()
+    words = ("x y z released under the mit license " * 3000).split()
+    ids = [many.ids.get(w, 0) for w in words]
+    import numpy as np
+
+    found = list(many.stretches(np.array([a * many.side + b if a and b else 0 for a, b in zip(ids, ids[1:])])))
+    assert len(found) == 3000 and all(a[4] < b[3] for a, b in zip(sorted(found, key=lambda x: x[3]), sorted(found, key=lambda x: x[3])[1:]))
+
+
 def test_licenses(spark):
     notice = next(t for i, n, t in licenses.TEMPLATES if (i, n) == ("GPL-3.0", "notice"))
     swapped = notice.replace("GNU General", "ACME General", 1).replace("terms", "rules")
