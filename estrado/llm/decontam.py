@@ -131,6 +131,24 @@ def bloom(known: DataFrame, most_power: int = 27) -> Bloom:
     return Bloom(power, words.column(0).to_numpy(), words.column(1).to_numpy())
 
 
+def _passing(rows: list[int], texts: list[np.ndarray], kinds: list[int], held: Bloom) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(row, seed, position in its text) of the seeds of texts that the filter lets through."""
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    ids, out = np.concatenate(texts), [[np.zeros(0, int)], [np.zeros(0, np.uint64)], [np.zeros(0, int)]]
+    for k in kinds:
+        h = seeds(ids, k)
+        p = held.hits(h)
+        text = np.searchsorted(ends, p, side="right")
+        inside = p + len(KINDS[k][0]) <= ends[text]  # windows lie within one text
+        p, text = p[inside], text[inside]
+        out[0].append(np.asarray(rows)[text])
+        out[1].append(h[p])
+        out[2].append(p - (ends - sizes)[text])
+    row, seed, place = (np.concatenate(x) for x in out)
+    return pa.array(row), pa.array(seed.view(np.int64)), pa.array(place)
+
+
 def _text_key(name1: str, name2: str) -> list:
     """Equal texts by two hashes of 64 bits."""
     return [F.xxhash64("text").alias(name1), F.xxhash64(F.lit(1), "text").alias(name2)]
@@ -153,18 +171,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most: int = 1_000_000) -> DataF
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = Hashes(), sieve.value
         for b in batches:
-            row, seed, at = [np.zeros(0, int)], [np.zeros(0, np.uint64)], [np.zeros(0, int)]
+            waiting, size = [], 0
             for i, t in enumerate(b.column(2)):
-                ids = tokens(t.as_py(), hashes)
-                for k in kinds:
-                    h = seeds(ids, k)
-                    p = held.hits(h)
-                    if len(p):
-                        row.append(np.full(len(p), i))
-                        seed.append(h[p])
-                        at.append(p)
-            r = pa.array(np.concatenate(row))
-            yield pa.record_batch([b.column(0).take(r), b.column(1).take(r), pa.array(np.concatenate(seed).view(np.int64)), pa.array(np.concatenate(at))], names=["t1", "t2", "seed", "place"])
+                waiting.append((i, tokens(t.as_py(), hashes)))
+                size += len(waiting[-1][1])
+                if size >= 1 << 16 or i == b.num_rows - 1:  # the seeds of many texts are made at once
+                    row, seed, place = _passing([x[0] for x in waiting], [x[1] for x in waiting], kinds, held)
+                    yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), seed, place], names=["t1", "t2", "seed", "place"])
+                    waiting, size = [], 0
 
     slim = docs.select(*_text_key("t1", "t2"), "text").where("text is not null")
     hits = slim.mapInArrow(look, "t1 long, t2 long, seed long, place long")
