@@ -10,6 +10,10 @@ anchors at equal places, and a text has about one anchor in (length - q) / 2 byt
    identifiers, of an offset and of a later one: 8-grams give 16-grams, those 32-grams, and so on up to the whole length,
    each round reusing the identifiers of the round before. In the last buckets every window but the first is a repeat.
 
+No bucket is gathered in one task. In the first round, buckets that a sample finds to be large are dealt by region and by part of the
+corpus; the firsts of all parts are refined, so the sample shapes the work and never the result. In the second round, buckets that
+are counted to hold very many regions are left by their windows: these are grouped by their hash, and the first of each is found by partial aggregation.
+
 Documents are ordered by doc_id; offsets, lengths and spans are in UTF-8 bytes. Equal texts are found beforehand.
 """
 
@@ -108,8 +112,20 @@ def _sampled(z: DataFrame, q: int, length: int) -> DataFrame:
     return z.mapInArrow(run, "bucket long, region long, key long, lo long, more int")
 
 
-def _first_round(rows: DataFrame) -> DataFrame:
-    """bucket, region, key, lo, more -> key, lo, more, bucket: bucket is null for windows known to be repeats, else they must be refined."""
+def _large(raw: DataFrame, q: int, length: int, share: float, drawn: int = 4096) -> list[int]:
+    """Buckets that hold more than ``share`` of the anchors of a sample of about ``drawn`` texts: at most 1 / share of them."""
+    step = max(1, raw.count() // drawn)
+    seen = _sampled(raw.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0), q, length).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    seen = stored(seen, "anchor-sample")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return sorted(r[0] for r in seen.where(F.col("n") > max(8.0, share * total)).select("bucket").collect())
+
+
+def _first_round(rows: DataFrame, large: list[int], parts: int = 64) -> DataFrame:
+    """bucket, region, key, lo, more -> key, lo, more, bucket: bucket is null for windows known to be repeats, else they must be refined.
+
+    Large buckets are dealt by region and in ``parts``: a part's first of each region is refined, whatever the other parts hold.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_bucket = last_region = None
@@ -117,14 +133,15 @@ def _first_round(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            bucket, region, key, lo, more = (c.to_numpy() for c in b.columns)
+            bucket, region, key, lo, more = (c.to_numpy() for c in b.columns[:5])
+            hot = b.column(5).to_numpy(zero_copy_only=False)
             new_b, new_r = np.ones(len(bucket), bool), np.ones(len(bucket), bool)
             new_b[1:] = bucket[1:] != bucket[:-1]
             new_r[1:] = new_b[1:] | (region[1:] != region[:-1])
             new_b[0] = bucket[0] != last_bucket
             new_r[0] = new_b[0] or region[0] != last_region
             group = np.cumsum(new_b)
-            several = np.bincount(group, new_r & ~new_b, minlength=group[-1] + 1) > 0
+            several = np.bincount(group, (new_r & ~new_b) | hot, minlength=group[-1] + 1) > 0
             refine = new_r & (~new_b | several[group])
             mark = np.where(refine, bucket, -1)
             out = refine | ~new_r
@@ -140,7 +157,9 @@ def _first_round(rows: DataFrame) -> DataFrame:
             arrays = [*map(pa.array, cols[:3]), pa.array(cols[3], mask=cols[3] < 0)]
             yield pa.record_batch(arrays, names=["key", "lo", "more", "bucket"])
 
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "region", "key", "lo")
+    hot = F.col("bucket").isin(large) if large else F.lit(False)
+    spot = F.when(F.col("hot"), F.xxhash64("bucket", "region", F.pmod(F.xxhash64("key"), F.lit(parts)))).otherwise(F.col("bucket"))
+    dealt = rows.withColumn("hot", hot).repartition(spot).sortWithinPartitions("bucket", "region", "key", "lo")
     return dealt.mapInArrow(run, "key long, lo long, more int, bucket long")
 
 
@@ -184,6 +203,33 @@ def refine(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, los: np.ndarra
     return keys[of[first]], place[first], place[last] + length
 
 
+def _by_windows(todo: DataFrame, z: DataFrame, length: int) -> DataFrame:
+    """As ``_second_round``, for buckets of any size: every window of every region is a row (bucket, hash, key, lo)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up, down = _powers()
+        for b in batches:
+            for key, text, spots in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                text = zstandard.decompress(text)
+                for p in spots:
+                    data = np.frombuffer(text[p["lo"] : p["lo"] + p["more"] + length], np.uint8)
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+                    n = len(data) - length + 1
+                    h = _mixed((total[length:] - total[:n]) * down[:n], 0xC2B2AE3D27D4EB4F)
+                    yield pa.record_batch([pa.array(np.full(n, p["bucket"])), pa.array(h.view(np.int64)), pa.array(np.full(n, key)), pa.array(p["lo"] + np.arange(n))], names=["bucket", "hash", "key", "lo"])
+
+    windows = stored(_spots(todo, z).mapInArrow(cut, "bucket long, hash long, key long, lo long"), "windows")
+    firsts = windows.groupBy("bucket", "hash").agg(F.min(F.struct("key", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = windows.join(firsts, ["bucket", "hash"]).where(F.struct("key", "lo") != F.col("first"))
+    return again.select("key", "lo", (F.col("lo") + length).alias("hi"))
+
+
+def _spots(todo: DataFrame, z: DataFrame) -> DataFrame:
+    """key, z, spots: each text with its regions."""
+    spots = todo.groupBy("key").agg(F.collect_list(F.struct("lo", "more", "bucket")).alias("spots"))  # bounded by the length of one text
+    return z.join(spots, "key").select("key", "z", "spots")
+
+
 def _second_round(todo: DataFrame, z: DataFrame, length: int, chunk: int = 1 << 21) -> DataFrame:
     """todo (key, lo, more, bucket), z (key, z) -> key, lo, hi: spans of repeated windows."""
 
@@ -229,8 +275,7 @@ def _second_round(todo: DataFrame, z: DataFrame, length: int, chunk: int = 1 <<
         if held:
             yield solved(held)
 
-    spots = todo.groupBy("key").agg(F.collect_list(F.struct("lo", "more", "bucket")).alias("spots"))  # bounded by the length of one text
-    parts = z.join(spots, "key").select("key", "z", "spots").mapInArrow(cut, "bucket long, key long, lo long, part binary")
+    parts = _spots(todo, z).mapInArrow(cut, "bucket long, key long, lo long, part binary")
     return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "key long, lo long, hi long")
 
 
@@ -246,11 +291,12 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("t")).mapInArrow(run, "key long, doc_id long, z binary")
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, most_copies: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, most_copies: int = 4_000_000, share: float = 0.001, most_regions: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """docs (_key, doc_id, text) -> spans (key, lo, hi), overlapping ones included, and the packed texts (key, doc_id, z).
 
     A later copy of an equal text is one span over all of it. Copies' keys are broadcast if there are at most ``most_copies``
-    (8 bytes each), else joined by a shuffle.
+    (8 bytes each), else joined by a shuffle. Buckets of more than ``share`` of a sample's anchors are split in the first round, those of
+    more than ``most_regions`` regions are left by windows in the second.
     """
     same = (F.xxhash64("text"), F.crc32("text"), F.octet_length("text"))
     slim = docs.where(F.octet_length("text") >= length).select("_key", F.struct(*same).alias("same"))
@@ -258,22 +304,28 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, q: int = Q, most_copie
     copies = stored(slim.join(firsts, "same").where("_key <> first").select("_key"), "copies")
     texts = docs.where(F.octet_length("text") >= length).join(few(copies, most_copies), "_key", "left_anti")
     raw = texts.select(F.col("_key").alias("key"), F.col("text").cast("binary").alias("t"))
-    found = stored(_first_round(_sampled(raw, q, length)), "first-round")
+    found = stored(_first_round(_sampled(raw, q, length), _large(raw, q, length, share)), "first-round")
     z = _packed(texts)
-    finer = _second_round(found.where("bucket is not null"), z, length)
+    todo = found.where("bucket is not null")
+    many = stored(todo.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_regions).select("bucket"), "large-buckets")
+    if many.isEmpty():
+        finer = _second_round(todo, z, length)
+    else:
+        finer = _second_round(todo.join(few(many), "bucket", "left_anti").select(*todo.columns), z, length)
+        finer = finer.unionByName(_by_windows(todo.join(few(many), "bucket", "left_semi").select(*todo.columns), z, length))
     sure = found.where("bucket is null").select("key", "lo", (F.col("lo") + F.col("more") + length).alias("hi"))
     whole = copies.select(F.col("_key").alias("key"), F.lit(0).cast("long").alias("lo"), F.lit(2**62).alias("hi"))
     return sure.unionByName(finer).unionByName(whole), _packed(docs)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False, **settings) -> DataFrame:
     """docs (doc_id, text, any more) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, kept (what is left, binary).
 
     A byte goes if it is covered by a string of ``length`` bytes that also starts earlier: in a smaller doc_id, or in the same document. Documents
     with a null doc_id come last; documents that share a doc_id are ordered by a hash of their text. Null texts are empty. Empty tables give no rows.
     """
     keys = keyed(docs.select("doc_id", "text"))
-    spans, z = repeated_spans(keys, length)
+    spans, z = repeated_spans(keys, length, **settings)
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # bounded by the length of one text
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
 
