@@ -257,6 +257,18 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, piece):
     assert suffix.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_suffix_dedup_splits_large_buckets(spark):
+    rng = random.Random(17)
+    common = "".join(rng.choices("abcdefgh ", k=130))
+    short = "".join(rng.choices("abcdefgh ", k=70))
+    filler = lambda n: "".join(rng.choices("stuvwxyz ", k=n))
+    rows = [(i, filler(rng.randint(0, 60)) + (common if i % 3 else short) + filler(rng.randint(0, 90))) for i in range(400)] + [(900, common * 3), (901, None), (None, common)]
+    want = brute_repeats(rows, 100)
+    for settings in ({}, {"share": 0.001, "most_regions": 3}):
+        got = suffix.remove_repeats(docs(spark, rows), **settings).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 16))
