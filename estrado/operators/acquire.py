@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +54,21 @@ def write_texts(docs: DataFrame, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """nombre, contenido of what ``write_texts`` has written; the line separator at a file's end is not part of the text."""
-    d = spark.read.option("wholetext", True).text(path)
+    d = spark.read.text(path, wholetext=True)
     return d.select(F.col("nombre").cast("string").alias("nombre"), F.regexp_replace("value", r"\n$", "").alias("contenido"))
 
 
 def copy_selected(selected: DataFrame, path: str) -> DataFrame:
-    """Writes the files that ``selected`` (path) names as texts below ``path`` and returns ``selected`` with path_destino. Contents are read and written by the tasks."""
+    """Writes the files that ``selected`` (path, URL-encoded or not) names as texts below ``path`` and returns ``selected`` with path_destino.
+    Contents are read and written by the tasks."""
     spark = selected.sparkSession
-    names = [r[0] for r in selected.select("path").collect()]  # a sample by quotas
+    names = [unquote(r[0]) for r in selected.select("path").collect()]  # a sample by quotas
     if names:
-        texts = spark.read.option("wholetext", True).text(names).select(F.col("_metadata.file_name").alias("nombre"), F.col("value").alias("contenido"))
-        write_texts(texts.withColumn("nombre", F.url_decode("nombre")), path)
-    return selected.withColumn("path_destino", F.concat(F.lit(path.rstrip("/") + "/nombre="), F.element_at(F.split("path", "/"), -1)))
+        d = spark.read.text(names, wholetext=True).select(_plain(F.col("_metadata.file_path")).alias("nombre"), F.col("value").alias("contenido"))
+        write_texts(d, path)
+    return selected.withColumn("path_destino", F.concat(F.lit(path.rstrip("/") + "/nombre="), _plain(F.col("path"))))
+
+
+def _plain(path: Column) -> Column:
+    """The last part of a path, decoded; a plus sign stays one."""
+    return F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))

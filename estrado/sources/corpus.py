@@ -10,7 +10,7 @@ from ..functions.chunks import file_year
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """path, carpeta, nombre, contenido of the text files one level of folders below ``folder``, whole."""
-    d = spark.read.option("wholetext", True).text(f"{folder.rstrip('/')}/*/*.txt")
+    d = spark.read.text(f"{folder.rstrip('/')}/*/*.txt", wholetext=True)
     path = F.col("_metadata.file_path")
     return d.select(path.alias("path"), F.element_at(F.split(path, "/"), -2).alias("carpeta"), F.col("_metadata.file_name").alias("nombre"), F.col("value").alias("contenido"))
 

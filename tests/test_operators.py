@@ -116,14 +116,14 @@ def test_dense_search_against_plain_cosines(spark, monkeypatch):
 
 
 def test_corpus_sources(spark, tmp_path):
-    for name, text in (("Ordenanza/1-2001 - a.txt", "uno"), ("Ordenanza/sub/2-2002 - b.txt", "dos"), ("Resolución/3-1950 - c.txt", "tres")):
+    for name, text in (("Ordenanza/1-2001 - a.txt", "uno\nmás"), ("Ordenanza/sub/2-2002 - b.txt", "dos"), ("Resolución/3-1950 - c.txt", "tres")):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
     d = corpus.documents(spark, str(tmp_path)).collect()
-    assert sorted(r["contenido"] for r in d) == ["tres", "uno"]
+    assert sorted(r["contenido"] for r in d) == ["tres", "uno\nmás"]
     f = {r["nombre"]: r for r in corpus.files(spark, str(tmp_path)).collect()}
-    assert len(f) == 3 and f["2-2002 - b.txt"]["tipo"] == "Ordenanza" and f["3-1950 - c.txt"]["anio"] is None and f["1-2001 - a.txt"]["bytes"] == 3
+    assert len(f) == 3 and f["2-2002 - b.txt"]["tipo"] == "Ordenanza" and f["3-1950 - c.txt"]["anio"] is None and f["1-2001 - a.txt"]["bytes"] == 8
 
 
 def fetch(page, options):
@@ -136,6 +136,120 @@ def test_paged_listing(spark):
     assert df.count() == 12 and df.rdd.getNumPartitions() == 4
 
 
+def told(page, options):
+    return {"rows": fetch(page, options), "last_page": 3}
+
+
+def until_empty(page, options):
+    return fetch(page, options) if page <= 5 else []
+
+
+tries = []
+
+
+def flaky(page, options):
+    tries.append(page)
+    if len(tries) < 3:
+        raise OSError("busy")
+    return []
+
+
+def test_paged_listing_finds_its_end(spark):
+    spark.dataSource.register(listing.Listing)
+    read = lambda name: spark.read.format("norm_listing").option("fetcher", f"tests.test_operators:{name}").option("wait", 0).load()
+    assert read("told").count() == 9 and read("told").rdd.getNumPartitions() == 3
+    assert read("until_empty").count() == 15
+    tries.clear()
+    assert listing.ListingReader({"fetcher": "tests.test_operators:flaky", "wait": "0"}).fetch(1) == ([], None) and len(tries) == 3
+
+
+def test_spanish_dates_at_the_start(spark):
+    from estrado.functions import chunks as c
+
+    said = ["19 mar. 2026", "5 ENE 2020 y más", " 19 mar. 2026", "19 marzo 2026", "31 feb. 2020", "100 ene 2020", "7 set. 2020", None, "007 dic 1999"]
+    got = [r[0] and r[0].isoformat() for r in spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").orderBy("i").select(c.spanish_date(F.col("t"))).collect()]
+    assert got == ["2026-03-19", "2020-01-05", None, None, None, None, None, None, "1999-12-07"]
+
+
+def test_text_files_and_copies(spark, tmp_path):
+    from estrado.operators import acquire
+
+    rows = [("1-2001 - a.txt", "uno\ndos"), ("2-2002 - b c.txt", "")]
+    acquire.write_texts(spark.createDataFrame(rows, "nombre string, contenido string"), str(tmp_path / "w"))
+    assert sorted(tuple(r) for r in acquire.read_texts(spark, str(tmp_path / "w")).collect()) == sorted(rows)
+    (tmp_path / "src").mkdir()
+    for name in ("1-2001 - a.txt", "2-2002 - b.txt", "3-2003 - c.txt"):
+        (tmp_path / "src" / name).write_text(f"texto de {name}")
+    picked = corpus.first_documents(corpus.documents(spark, str(tmp_path)).select("path"), 2)
+    out = acquire.copy_selected(picked, str(tmp_path / "copy"))
+    assert out.columns == ["path", "path_destino"] and out.count() == 2
+    assert {r["contenido"] for r in acquire.read_texts(spark, str(tmp_path / "copy")).collect()} == {"texto de 1-2001 - a.txt", "texto de 2-2002 - b.txt"}
+
+
+def test_events_as_json(spark, tmp_path):
+    import json
+
+    from estrado.operators import report
+
+    ev = spark.createDataFrame([("b", "x", "v"), ("a", "x", "v"), ("a", None, "v")], "doc_id_derogatorio string, doc_id_derogado string, verbo string")
+    total = report.events_report(ev, str(tmp_path / "r")).first()
+    assert (total["total_eventos"], total["docs_derogatorios"], total["docs_derogados"]) == (3, 2, 1)
+    lines = [json.loads(x) for p in (tmp_path / "r" / "eventos").glob("*.json") for x in p.read_text().splitlines()]
+    assert len(lines) == 3 and {"doc_id_derogatorio": "a", "doc_id_derogado": None, "verbo": "v"} in lines
+    assert [r[0] for r in spark.read.json(str(tmp_path / "r" / "docs_derogatorios")).collect()] == ["a", "b"]
+
+
+def test_embedding_in_batches_retries(spark):
+    from estrado.operators import answer
+
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(7)], "i int, texto string").coalesce(1)
+    seen = {"fails": 2}
+
+    def service(texts):
+        assert len(texts) <= 2
+        if seen["fails"]:
+            seen["fails"] -= 1
+            raise ConnectionError("rate limit")
+        return [[float(len(t))] for t in texts]
+
+    got = answer.embed_in_batches(df, service, batch_size=2, first_wait=0.0).orderBy("i").collect()
+    assert [r["embedding"] for r in got] == [None if i == 3 else [float(i)] for i in range(7)]
+
+    def down(texts):
+        raise ConnectionError("down")
+
+    with pytest.raises(Exception, match="down"):
+        answer.embed_in_batches(df, down, retries=2, first_wait=0.0).collect()
+
+
+def test_processing_goes_on_after_bad_documents(spark):
+    from estrado.operators import chunking
+
+    rows = [("a", "Ordenanza N° 5, Año 2001\nTitulo\nARTÍCULO 1º.- Algo que dice."), ("b", None), ("c", "  "), ("d", "")]
+    got = {r["path"]: (r["n_chunks"], r["error"]) for r in chunking.processing_log(spark.createDataFrame(rows, "path string, contenido string")).collect()}
+    assert got == {"a": (1, None), "b": (0, "texto ilegible"), "c": (0, "cero chunks generados"), "d": (0, "cero chunks generados")}
+
+
+def test_sql_functions(spark):
+    from estrado.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT estrado_tokens('La Ley y N° 5 de 2001') t, estrado_tokens(NULL) n, estrado_pieces('') e, size(estrado_pieces(repeat('ab ', 1000))) p, estrado_norm_label('ordenanza', '7', 2001, NULL) l").first()
+    assert (r["t"], r["n"], r["e"], r["p"], r["l"]) == (["la", "ley", "de", "2001"], [], [], 3, "Ordenanza N° 7/2001")
+
+
+def test_new_norms_stream(spark, tmp_path):
+    from estrado.streaming.ingest import new_norms
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, numbers in enumerate(([1, 2], [2, 3])):
+        (src / f"{k}.json").write_text("\n".join(f'{{"numero": {n}, "anio": 2020, "visto": "2024-01-0{k + 1}T00:00:00Z"}}' for n in numbers))
+    stream = spark.readStream.schema("numero int, anio int, visto timestamp").option("maxFilesPerTrigger", 1).json(str(src))
+    new_norms(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r["numero"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
 def test_stream_ingest(spark, tmp_path):
     from estrado.streaming.ingest import ingest
 
