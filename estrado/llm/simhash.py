@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import stored
-from .streams import Sets, few, keyed, sorted_groups
+from .streams import Hashes, Sets, few, keyed, sorted_groups
 
 BITS = 64
 
@@ -44,25 +44,48 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0]) if len(hashes) else 0
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", words: int = 3, seed: int = 42, sets_of: int = 0) -> DataFrame:
-    """docs (id_col, text) -> id_col, fp long, n int, fp2 long: a row per document, whole texts, A-Z lower-cased.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", words: int = 3, seed: int = 42) -> DataFrame:
+    """docs (id_col, text) -> id_col, fp long: a row per document, whole texts, A-Z lower-cased. A null text is as an empty one: no words, fingerprint 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [fingerprint(shingle_hashes(_words(t), words, seed)) for t in b.column(1)]
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
+
+    slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(run, f"{id_col} long, fp long")
 
-    n is the number of distinct shingles of ``sets_of`` words and fp2 their SimHash (0: neither is made). A null text is as an
-    empty one: no words, fingerprint 0.
-    """
+
+def _words(text: pa.BinaryScalar) -> list[bytes]:
+    return (text.as_py() or b"").lower().split()  # bytes: only A-Z change, and only \x20 \x09-\x0D part words
+
+
+def mixed_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k-word shingle, made from the hashes of its words; of the whole sequence where there are fewer words."""
+    k = min(k, len(ids)) or 1
+    h = np.full(max(0, len(ids) - k + 1), k, np.uint64)
+    for j in range(k):
+        h ^= ids[j : j + len(h)]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """docs (_key, text binary) -> _key, fp long (SimHash of 3-word shingles), n int and fp2 long (number and SimHash of the distinct shingles of ``words`` words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in batches:
             out = []
             for t in b.column(1):
-                w = (t.as_py() or b"").lower().split()  # bytes: only A-Z change, and only \x20 \x09-\x0D part words
-                more = np.unique(shingle_hashes(w, sets_of, seed)) if sets_of else np.zeros(0, np.uint64)
-                out.append((fingerprint(shingle_hashes(w, words, seed)), len(more), fingerprint(more)))
+                ids = known.of(_words(t))
+                more = np.unique(mixed_hashes(ids, words))
+                out.append((fingerprint(mixed_hashes(ids, 3)), len(more), fingerprint(more)))
             fps, ns, seconds = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(seconds, pa.int64())], names=[id_col, "fp", "n", "fp2"])
+            yield pa.record_batch([b.column(0), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), pa.array(seconds, pa.int64())], names=["_key", "fp", "n", "fp2"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(run, f"{id_col} long, fp long, n int, fp2 long")
+    return docs.select("_key", "text").mapInArrow(run, "_key long, fp long, n int, fp2 long")
 
 
 def grow(sample: np.ndarray, depth: int, radius: int, seed: int = 7) -> list:
@@ -241,7 +264,7 @@ def _finished(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[list[np.
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def sharing(texts: DataFrame, count: int, words: int, least: float, seed: int, drawn: int = 1 << 14, chunk: int = 8192) -> DataFrame:
+def sharing(texts: DataFrame, count: int, words: int, least: float, drawn: int = 1 << 14, chunk: int = 8192) -> DataFrame:
     """texts (_key, text binary, block), ``count`` rows -> u, v: pairs of different blocks, among them all with Jaccard >= ``least``.
 
     Prefix filter, exact: shingles stand in one order in all sets, and similar sets share one among their first. Those that a sample
@@ -249,13 +272,14 @@ def sharing(texts: DataFrame, count: int, words: int, least: float, seed: int, d
     pair must share as many of its first shingles as its sizes ask for.
     """
 
-    def sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, int]]:
+    def sets(b: pa.RecordBatch, known: Hashes) -> Iterator[tuple[int, np.ndarray, int]]:
         for key, t, block in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-            yield key, np.unique(shingle_hashes((t.as_py() or b"").lower().split(), words, seed)), block
+            yield key, np.unique(mixed_hashes(known.of(_words(t)), words)), block
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in batches:
-            for _, s, block in sets(b):
+            for _, s, block in sets(b, known):
                 yield pa.record_batch([pa.array(s.view(np.int64)), pa.array(np.full(len(s), block))], names=["token", "block"])
 
     step = max(1, count // drawn)
@@ -267,9 +291,10 @@ def sharing(texts: DataFrame, count: int, words: int, least: float, seed: int, d
     level, cuts = np.floor(np.log2(np.maximum(k, 1))).astype(np.int64), -(-k * step // chunk)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for b in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # the parts bound a worker's memory
             cells, keys, blocks, ns, places = [], [], [], [], []
-            for key, s, block in sets(b):
+            for key, s, block in sets(b, known):
                 if not len(s):
                     continue
                 cell = _rare_first(s, least, hot, level)
@@ -322,7 +347,7 @@ def sharing(texts: DataFrame, count: int, words: int, least: float, seed: int, d
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, radius2: int = 20, seed: int = 42, tile: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, radius2: int = 20, tile: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text, any more) -> the same columns: one document of each group stays, the one with the smallest doc_id.
 
     Groups are the components of all links: equal texts, and texts whose sets of ``words``-word shingles have a Jaccard similarity
@@ -336,13 +361,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     reps = slim.groupBy("t1", "t2", "t3").agg(F.min("_key").alias("_key")).select("_key")
     copies = stored(slim.select("_key").join(reps, "_key", "left_anti"), "copies")
     # texts are marked where they lie; only keys and fingerprints are moved
-    marks = stored(fingerprints(docs, "_key", 3, seed, sets_of=words), "fingerprints")
+    marks = stored(sketches(docs.select("_key", F.col("text").cast("binary").alias("text")), words), "fingerprints")
     points = marks.where("n > 0").join(few(copies), "_key", "left_anti").select(F.col("_key").alias("id"), "fp", "n", "fp2")
     # at this radius no bound prunes random fingerprints, and more leaves only mean more queries: leaves are as large as a task holds
     near = stored(components(linked(points, radius, leaf_rows=1 << 16, bands=least, radius2=radius2)), "near")
     whole = docs.select("_key", F.col("text").cast("binary").alias("text")).join(few(copies), "_key", "left_anti")
     whole = whole.join(few(near), F.col("_key") == F.col("node"), "left").select("_key", "text", F.coalesce("root", "_key").alias("block"))
-    more = sharing(whole, points.count(), words, least, seed)
+    more = sharing(whole, points.count(), words, least)
     block = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     block = stored(block.join(marks, block["node"] == marks["_key"]).select("_key", F.col("root").alias("block"), "n"), "blocks")
     # a block whose shingles don't fit one tile is cut in chunks, and each pair of chunks is a tile
@@ -354,9 +379,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     texts = spot.join(asked, "_key")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for _, t in sorted_groups(batches, "cell"):
             ids = t.column("_key").to_numpy()
-            sets = [np.unique(shingle_hashes((x.as_py() or b"").lower().split(), words, seed)) for x in t.column("text")]
+            sets = [np.unique(mixed_hashes(known.of(_words(x)), words)) for x in t.column("text")]
             found = Sets(len(ids))
             _verified(sets, least, found)
             hit = np.flatnonzero(found.root != np.arange(len(ids)))
