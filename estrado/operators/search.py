@@ -30,7 +30,7 @@ DIGITS = 9
 #: Lexical scores are sums over many terms, whose order varies; they are rounded more, so that equal scores stay equal.
 SCORE_DIGITS = 6
 #: Vectors of queries that are sent to the tasks at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass
@@ -122,9 +122,10 @@ def _best(asked: Broadcast, dim: int, k: int):
         q = unit(asked.value.column("vector").combine_chunks(), dim) if ids is not None else None
         best = None
         for whole in batches:
-            for b in (whole.slice(at, 4096) for at in range(0, whole.num_rows, 4096)):
-                if ids is None:
-                    continue
+            if ids is None:
+                continue
+            step = min(4096, max(16, (1 << 22) // len(q)))  # bounds the block of cosines
+            for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
                 s = q @ unit(b.column(1), dim).T
                 s = np.where(np.isfinite(s), s, -2.0)
                 top = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
