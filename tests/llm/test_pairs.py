@@ -41,6 +41,19 @@ def test_components(spark):
     real = [(a, b) for a, b in links if a != b]
     assert got == roots({x for p in real for x in p}, real)
     assert components.components(df.limit(0)).count() == 0
+    spread = df.repartition(7)  # forests of several tasks are joined by rounds
+    chunks = list(components._forest(iter([])))
+    assert chunks == [] and {r["node"]: r["root"] for r in components.components(spread).collect()} == got
+
+
+def test_components_of_a_long_chain_over_many_parts(spark):
+    df = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components.components(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 3001 and {r["root"] for r in got} == {0}
 
 
 def test_keyed_orders_repeats_and_nulls(spark):

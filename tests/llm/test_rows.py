@@ -10,7 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from estrado.llm import decontam, langid, licenses, mixing, pii, warc
+from estrado.llm import decontam, langid, licenses, mixing, pii, sharding, simhash, suffix, warc
 from estrado.llm.streams import Hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -388,6 +388,28 @@ def test_decontamination_meets_its_contract():
             assert not leaks([*w[:-1], "x"])
 
 
+CLASHES = ("fp", "key", "bucket", "cell", "node", "root", "size", "shard", "slot", "spans", "score", "lang_pred", "leaks", "t1", "seed", "_key", "_row", "_at", "_tie", "row", "times", "n")
+
+
+def test_operators_take_repeated_rows_long_texts_and_clashing_names(spark):
+    """Each row is answered, equal rows alike; further columns, whatever their names, change nothing."""
+    long = "palabra rara número 42 de la lista, " * 6000
+    rows = [(7, "uno dos tres cuatro", "es", "a")] * 3 + [(None, "uno dos tres cuatro", "es", None)] * 2 + [(8, None, None, None), (8, "", "es", "a"), (9, long, "es", "b"), (10, long + "x", "es", "b"), (11, " ", "es", "b")]
+    plain = docs(spark, rows)
+    df = plain.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    bench = spark.createDataFrame([(1, "uno dos tres cuatro"), (1, None), (None, "número 42 de la lista palabra rara número 42 de la lista palabra rara")], "item_id long, text string")
+    profiles = langid.train(plain)
+    for name, op, whole in (
+        ("simhash", simhash.cluster, True), ("suffix", suffix.remove_repeats, True), ("langid", lambda d: langid.identify(d, profiles).select("doc_id", "text", "lang_pred", "score"), True),
+        ("pii", pii.scan, True), ("licenses", licenses.scan, False), ("decontam", lambda d: decontam.leaked_rows(d, bench), False), ("mixing", mixing.plan_mix, True), ("sharding", lambda d: sharding.assign_shards(d, shards=2).drop("slot", "shard"), True)):
+        got, want = (sorted(map(repr, op(x).collect())) for x in (df, plain))
+        assert got == want, name
+        assert not whole or len(got) == len(rows), name
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaked_rows(df, bench).collect()} == {(7, 1), (None, 1), (9, None), (10, None)}
+    kept = simhash.near_duplicates(df)
+    assert kept.columns == df.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect() if r["text"]) == [(7, rows[0][1]), (9, long), (11, " ")]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, None), (None, None)]])
 def test_pipeline_stages_on_odd_tables(spark, tmp_path, rows):
     import corpus_pipeline
