@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .streams import Hashes, few, fresh, numbered
+from .streams import Hashes, few, fresh, numbered, small_batches
 
 #: Fixed values. Enumeration shows that each way to substitute a fifth of a stretch of 13 to 25 tokens leaves a hit of one of MASKS (longer
 #: stretches hold one of these lengths as good), and of a whole item of 9 to 12 tokens a hit of one of SHORT_MASKS.
@@ -163,6 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most: int = 1_000_000) -> DataF
     keys and of the benchmark are broadcast up to ``most`` rows and joined by shuffles beyond.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark_tokens(benchmark)
     known = benchmark_seeds(items)
     kinds = sorted(r[0] for r in known.select("kind").distinct().collect())  # of the few masks

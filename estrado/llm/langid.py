@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .streams import small_batches
+
 TOP = 300
 UNKNOWN = "und"
 PIECE = 1 << 21
@@ -116,6 +118,7 @@ def train(docs: DataFrame, top: int = TOP) -> dict[str, np.ndarray]:
                 u, n = _merge(parts)
                 yield pa.record_batch([pa.array([lang] * len(u), pa.string()), pa.array(u), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
+    small_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select("lang", "text")
     total = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     # rows per language here: distinct n-grams, not texts
@@ -154,6 +157,7 @@ def _judged(docs: DataFrame, profiles: dict[str, np.ndarray], top: int) -> DataF
             found = [judge(t.as_py()) for t in b.column(0).field(place)]
             yield pa.record_batch([b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["_row", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     place = docs.columns.index("text")
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     return rows.mapInArrow(run, rows.select("_row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)

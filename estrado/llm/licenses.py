@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .streams import small_batches
+
 #: Licence id, template name, text (public licence notices).
 TEMPLATES = (
     ("MIT", "statement", "Released under the MIT License."),
@@ -147,5 +149,6 @@ def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:
             cols = zip(*out, strict=True) if out else [[]] * 6
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "license_id", "template", "dice", "start", "end"])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return slim.mapInArrow(run, "doc_id long, license_id string, template string, dice double, start long, end long")

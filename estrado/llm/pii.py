@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .streams import small_batches
+
 #: The kinds in the order in which spans at one start are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = 4
@@ -190,5 +192,6 @@ def scan(docs: DataFrame) -> DataFrame:
             longs = [pa.array([c[k] for c in counts], pa.int64()) for k in range(BASE)]
             yield pa.record_batch([b.column(0), *longs, pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS[:BASE]), "base_sha256", "spans"])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return slim.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import stored
-from .streams import Hashes, Sets, few, keyed, sorted_groups
+from .streams import Hashes, Sets, few, keyed, small_batches, sorted_groups
 
 BITS = 64
 
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", words: int = 3, seed:
             fps = [fingerprint(shingle_hashes(_words(t), words, seed)) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(fps, pa.int64())], names=[id_col, "fp"])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col("text").cast("binary").alias("text"))
     return slim.mapInArrow(run, f"{id_col} long, fp long")
 
@@ -228,9 +229,9 @@ def _verified(sets: list[np.ndarray], least: float, found: Sets) -> None:
     for at in range(0, len(sets), step):
         part = slice(at, min(at + step, len(sets)))
         inter = np.zeros((part.stop - at, len(sets)), np.float32)
-        for c in range(0, width, 2048):
-            lo, hi = np.searchsorted(cols, [c, c + 2048])
-            x = np.zeros((len(sets), min(2048, width - c)), np.float32)
+        for c in range(0, width, 512):
+            lo, hi = np.searchsorted(cols, [c, c + 512])
+            x = np.zeros((len(sets), min(512, width - c)), np.float32)
             x[rows[lo:hi], cols[lo:hi] - c] = 1
             live = np.flatnonzero(x[part].any(axis=0))
             if len(live):
@@ -355,6 +356,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     ``words``-word shingles in at most ``radius2``, joined to each other by the exact prefix filter of ``sharing``: fingerprints only save work.
     Null texts are one group, texts without words another unless equal. Null doc_ids come last; repeated rows are copies.
     """
+    small_batches(docs.sparkSession)
     docs = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
     same = [F.xxhash64("text").alias("t1"), F.crc32("text").alias("t2"), F.octet_length("text").alias("t3")]
     slim = stored(docs.select("_key", *same), "texts")
@@ -371,7 +373,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     block = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     block = stored(block.join(marks, block["node"] == marks["_key"]).select("_key", F.col("root").alias("block"), "n"), "blocks")
     # a block whose shingles don't fit one tile is cut in chunks, and each pair of chunks is a tile
-    cuts = block.groupBy("block").agg(F.ceil(F.sum("n") / F.lit(float(tile))).cast("int").alias("cuts"))
+    cuts = block.groupBy("block").agg(F.ceil(F.greatest(F.sum("n") / F.lit(float(tile)), F.count(F.lit(1)) / F.lit(8192.0))).cast("int").alias("cuts"))
     spot = block.join(cuts, "block").withColumn("c", F.pmod(F.xxhash64("_key"), F.col("cuts")).cast("int"))
     spot = spot.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     spot = spot.select("_key", F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import stored
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
     """(key, table) of each run of equal ``key`` in a stream whose partitions are sorted by it."""
@@ -72,6 +74,12 @@ def keyed(rows: DataFrame, name: str = "_key", id_col: str = "doc_id", text_col:
     return numbered(rows.withColumn(mark, F.xxhash64(text_col)), name, first, mark).drop(mark)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of whole texts reach the Python workers in batches of ``rows``, unless the session sets another number than Spark's default: a batch is held in memory twice."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(rows))
+
+
 def few(keys: DataFrame, most: int = 4_000_000) -> DataFrame:
     """A stored table of long keys with a broadcast hint if it has at most ``most`` rows (32 MB); as it is beyond, so that joins shuffle."""
     return F.broadcast(keys) if keys.count() <= most else keys
@@ -103,7 +111,7 @@ class Hashes(dict):
     """XXH64 (seed 42) by word, kept once computed; emptied when it has grown large."""
 
     def __missing__(self, word: str | bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word, 42)
         return out

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import stored
-from .streams import few, keyed
+from .streams import few, keyed, small_batches
 
 LENGTH = 100
 Q = 24
@@ -324,6 +324,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = False, *
     A byte goes if it is covered by a string of ``length`` bytes that also starts earlier: in a smaller doc_id, or in the same document. Documents
     with a null doc_id come last; documents that share a doc_id are ordered by a hash of their text. Null texts are empty. Empty tables give no rows.
     """
+    small_batches(docs.sparkSession)
     keys = keyed(docs.select("doc_id", "text"))
     spans, z = repeated_spans(keys, length, **settings)
     lists = spans.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # bounded by the length of one text
