@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .streams import keyed
+from .scratch import stored
+from .streams import few, keyed
 
 CRLF = "\r\n"
 END = "\r\n\r\n"
@@ -52,10 +53,11 @@ def plan_captures(pages: DataFrame, least: int = 0) -> DataFrame:
     p = keyed(pages.select("page_id", "url", "html"), id_col="page_id", text_col="html", nulls_first=True)
     p = p.select("_key", F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
-    heads = p.where(F.col("bytes") >= least).groupBy("digest").agg(F.max(F.struct("_key", "page_id")).alias("h"))
-    own = F.col("h._key").isNull() | (F.col("h._key") == F.col("_key"))
-    joined = p.join(heads, "digest", "left")
-    return joined.select("_key", "page_id", "url", "payload", "bytes", "digest", F.when(~own, F.col("h._key")).alias("head"), F.when(~own, F.col("h.page_id")).alias("head_page"))
+    # who revisits whom is found from digests; payloads stay where they lie
+    slim = stored(p.where(F.col("bytes") >= least).select("_key", "page_id", "digest"), "digests")
+    heads = slim.groupBy("digest").agg(F.max(F.struct("_key", "page_id")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "h")
+    revisits = slim.select("_key", "digest").join(heads, "digest").where(F.col("h._key") != F.col("_key")).select("_key", F.col("h._key").alias("head"), F.col("h.page_id").alias("head_page"))
+    return p.join(few(stored(revisits, "revisits"), 1_000_000), "_key", "left").select("_key", "page_id", "url", "payload", "bytes", "digest", "head", "head_page")
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 100_000) -> None:
