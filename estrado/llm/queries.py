@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, embed, langid, licenses, mixing, pii, sharding, simhash, suffix, warc
+from . import decontam, divergence, embed, langid, licenses, mixing, pii, sharding, simhash, suffix, warc
 from .scratch import new_path
 
 
@@ -60,6 +60,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaked_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, best=10)
+
+
 OP4_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload FROM pages
@@ -126,13 +130,45 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE u = vec_id)::BIGINT AS n_links,
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), kept AS MATERIALIZED (
+  SELECT lang, term, count(*) AS total FROM d GROUP BY lang, term HAVING count(DISTINCT k) >= 10
+), c AS MATERIALIZED (
+  SELECT lang, source, term, count(*) AS n FROM d JOIN kept USING (lang, term) GROUP BY lang, source, term
+), l AS (
+  SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang
+), g AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(s.size, 0) AS size, coalesce(l.v, 0) AS v, coalesce(l.size, 0) AS lang_size
+  FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS size FROM c GROUP BY lang, source) s USING (lang, source) LEFT JOIN l USING (lang)
+), p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + ((1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.size + 2 * g.v)) AS p, 1 + ((1000000000::HUGEINT * (k.total + 2)) // (g.lang_size + 2 * g.v)) AS q
+  FROM g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+    ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q
+)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank FROM found) WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict:
     found = (
         op1_vector_bin_packing, op2_simhash_vp_tree, op3_bucket_pointer_refinement, op4_transaction_assembly, op5_water_filling,
         op6_rank_order_profiles, op7_anchor_expansion, op8_hnsw_shards, op9_dice_bigrams, op10_spaced_seeds,
+        op11_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_transaction_assembly": OP4_SQL, "op5_water_filling": OP5_SQL, "op8_hnsw_shards": OP8_SQL}
+    return {"op4_transaction_assembly": OP4_SQL, "op5_water_filling": OP5_SQL, "op8_hnsw_shards": OP8_SQL, "op11_source_divergence": OP11_SQL}
