@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, embed, langid, licenses, mixing, pii, sharding, simhash, suffix, warc
+from . import decontam, divergence, embed, langid, licenses, mixing, pii, prefixes, sharding, simhash, suffix, warc
 from .scratch import new_path
 
 
@@ -64,6 +64,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, best=10)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(prefixes.rebuilt(prefixes.turns(table(spark, sf_dir, "conversations"))))
+
+
 OP4_SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload FROM pages
@@ -161,14 +165,45 @@ SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORD
 """
 
 
+# the checksum is computed bit by bit; sequences of turns are compared by the digest of their JSON
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, turns, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, c: list_reduce(list_concat([xor(crc, c)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, i: xor(v >> 1, 3988292384::BIGINT * (v & 1)))), 4294967295::BIGINT) % 6 AS h
+  FROM t
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 100
+), p AS MATERIALIZED (
+  SELECT conv_id, d, md5(to_json(turns[1:d])::VARCHAR) AS id, CASE WHEN d > 0 THEN md5(to_json(turns[1:d - 1])::VARCHAR) END AS up,
+         CASE WHEN d > 0 THEN length(turns[d].t) ELSE 0 END AS size, d = len(turns) AS ends
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)
+), n AS MATERIALIZED (
+  SELECT id, any_value(up) AS up, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM p GROUP BY id
+), k AS (
+  SELECT up AS id, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up
+), m AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (id)
+), s AS (
+  SELECT a.id, sum((m.n_children = 0)::INTEGER) AS n_leaves, sum((m.n_convs - 1) * m.size) AS saved_tokens
+  FROM m JOIN p a ON a.conv_id = m.conv_id AND a.d <= m.depth GROUP BY a.id
+)
+SELECT m.conv_id, m.depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+FROM m JOIN s USING (id) LEFT JOIN n u ON u.id = m.up
+"""
+
+
 def queries() -> dict:
     found = (
         op1_vector_bin_packing, op2_simhash_vp_tree, op3_bucket_pointer_refinement, op4_transaction_assembly, op5_water_filling,
         op6_rank_order_profiles, op7_anchor_expansion, op8_hnsw_shards, op9_dice_bigrams, op10_spaced_seeds,
-        op11_source_divergence,
+        op11_source_divergence, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_transaction_assembly": OP4_SQL, "op5_water_filling": OP5_SQL, "op8_hnsw_shards": OP8_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op4_transaction_assembly": OP4_SQL, "op5_water_filling": OP5_SQL, "op8_hnsw_shards": OP8_SQL, "op11_source_divergence": OP11_SQL, "op13_prefix_trie": OP13_SQL}
