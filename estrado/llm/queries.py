@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, divergence, embed, langid, licenses, mixing, pii, prefixes, sharding, simhash, suffix, warc
+from . import bilinear, decontam, divergence, embed, langid, licenses, mixing, pii, prefixes, sharding, simhash, suffix, warc
 from .scratch import new_path
 
 
@@ -64,6 +64,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=10, best=10)
 
 
+def op12_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bilinear.score(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.trie(prefixes.rebuilt(prefixes.turns(table(spark, sf_dir, "conversations"))))
 
@@ -200,7 +204,7 @@ def queries() -> dict:
     found = (
         op1_vector_bin_packing, op2_simhash_vp_tree, op3_bucket_pointer_refinement, op4_transaction_assembly, op5_water_filling,
         op6_rank_order_profiles, op7_anchor_expansion, op8_hnsw_shards, op9_dice_bigrams, op10_spaced_seeds,
-        op11_source_divergence, op13_prefix_trie,
+        op11_source_divergence, op12_log_bilinear, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
