@@ -30,11 +30,12 @@ PREFIXES = {"akia": re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"), "ghp_": re.c
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-DOTTED = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[A-Za-z0-9._~:/?#\[\]@!$&'()*+,;=%-]+")
-SAID = re.compile(r"(?:[\x20]*(?:no\.?|number|id|[:#=-])){0,3}[\x20]*", re.IGNORECASE)
+SAID = re.compile(r"((?:[\x20]*(?:no\.?|number|id|[:#=-])){0,3})[\x20]*", re.IGNORECASE)
+#: Eight digits that are a date, year first or last.
+DATE = re.compile(r"(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])(?:0[1-9]|1[0-2])(?:19|20)[0-9]{2}|(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:19|20)[0-9]{2}")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){11,30}")
 FORMS = {
     "ssn": re.compile(r"(?!000|666|9)[0-9]{3}[\x20-]?(?!00)[0-9]{2}[\x20-]?(?!0000)[0-9]{4}(?![A-Za-z0-9])"),
@@ -69,11 +70,19 @@ def luhn(digits: str) -> bool:
 
 
 def account(cue: str, text: str, at: int) -> tuple[int, int] | None:
-    """The identifier that follows a cue: an IBAN by its check digits, others by their form."""
-    start = SAID.match(text, at).end()
+    """The identifier that follows a cue: an IBAN by its check digits, others by their form.
+
+    Dates are none. Without a mark in between (a colon, a number sign, "no", "number", "id") account and passport numbers need 8 digits, or 6 after a passport's letters.
+    """
+    said = SAID.match(text, at)
+    start = said.end()
     if cue != "iban":
         m = FORMS[cue].match(text, start)
-        return (start, m.end()) if m else None
+        if not m:
+            return None
+        plain = m[0].replace(" ", "").replace("-", "")
+        bare = not said[1].strip() and plain[0].isdigit()
+        return None if cue != "ssn" and (DATE.fullmatch(plain) or bare and len(plain) < 8) else (start, m.end())
     m = IBAN.match(text, start)
     stop = m.end() if m else 0
     while stop - start >= 15:
@@ -91,19 +100,32 @@ def iban(text: str) -> bool:
     return 15 <= len(t) <= 34 and int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
-def secret(text: str, at: int) -> tuple[int, int] | None:
-    """The value that follows a cue: 16 characters or more, with a digit and eight different ones."""
+def dotted(text: str, at: int, stop: int) -> Iterator[tuple[int, int, int]]:
+    """Spans of four numbers of at most 255 each within a run of digits and dots. Numbers are taken four by four, each once, so that a run takes linear time."""
+    held: list[tuple[int, str]] = []
+    for part in text[at:stop].split("."):
+        held = [*held, (at, part)] if part else []
+        at += len(part) + 1
+        if len(held) == 4:
+            if all(len(d := p.lstrip("0")) < 4 and int(d or "0") < 256 for _, p in held):
+                yield held[0][0], 1, at - 1
+            held = []
+
+
+def secret(text: str, at: int) -> tuple[int, int, bool] | None:
+    """(start, end, whether it is one) of the value that follows a cue: 16 characters or more, with a digit and eight different ones."""
     m = SECRET.match(text, at)
-    if not m or len(set(m[1])) < 8 or not any(c in DIGITS for c in m[1]):
+    if not m:
         return None
-    return m.start(1), m.start(1) + len(m[1].rstrip(".="))
+    good = len(set(m[1])) >= 8 and any(c in DIGITS for c in m[1])
+    return m.start(1), m.start(1) + len(m[1].rstrip(".=")) if good else m.end(1), good
 
 
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) of every span of a text, code points, end exclusive, sorted."""
     out: list[tuple[int, int, int]] = []
     # ends of what each kind has consumed, dropped spans included
-    email = ip = card = phone = url = told = hidden = 0
+    email = ip = card = phone = url = told = hidden = failed = 0
     low = text.lower()
     if len(low) != len(text):  # a few letters grow when lower-cased; the cues are ASCII
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -124,10 +146,7 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                     while stop < len(text) and text[stop] in DOTS:
                         stop += 1
                     ip = stop
-                    if stop - end >= 7:
-                        for m in DOTTED.finditer(text, end, stop):
-                            if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split(".")):
-                                out.append((m.start(), 1, m.end()))
+                    out += dotted(text, end, stop)
         elif what == "@":
             start = end
             while start > email and text[start - 1] in LOCAL:
@@ -154,10 +173,13 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
             if (start == 0 or not text[start - 1].isalnum()) and (span := account(cue, text, end + 1)):
                 told = span[1]
                 out.append((span[0], 5, told))
-        elif what == "k" and end >= hidden:
+        elif what == "k" and end >= max(hidden, failed):
             if span := secret(text, end + 1):
-                hidden = span[1]
-                out.append((span[0], 6, hidden))
+                if span[2]:
+                    hidden = span[1]
+                    out.append((span[0], 6, hidden))
+                else:
+                    failed = span[1]  # what ends a run that is no secret is none either
         elif what == "p":
             word = next(p for p in PREFIXES if low.endswith(p, 0, end + 1))
             start = end + 1 - len(word)
@@ -176,7 +198,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, any more) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans; one row per input row.
 
     Base spans (email, ip, card, phone) are counted and digested; spans also lists urls, accounts and secrets. A null text counts as
-    empty: no spans, the digest of nothing. Null doc_ids and repeated rows are scanned like others; empty tables give no rows.
+    empty: no spans, the digest of nothing. Very long texts and runs of digits are read whole, in time that grows with their length. Null doc_ids and
+    repeated rows are scanned like others; empty tables give no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
