@@ -44,28 +44,33 @@ def _record(kind: Column, rid: Column, uri: Column, date: str, content_type: str
     return F.concat(head, F.lit(END), block)
 
 
-def plan_captures(pages: DataFrame, least: int = 0) -> DataFrame:
+def plan_captures(pages: DataFrame, least: int = 0) -> tuple[DataFrame, int]:
     """pages (page_id, url, html) -> _key, page_id, url, payload, bytes, digest, head, head_page: what each capture refers to.
 
     Of equal payloads of at least ``least`` bytes the one with the largest page_id is the head (null ids come first; of
-    repeated rows one is the head); head is null for captures that are written as responses.
+    repeated rows one is the head); head is null for captures that are written as responses. Also returns the bytes of all payloads.
     """
     p = keyed(pages.select("page_id", "url", "html"), id_col="page_id", text_col="html", nulls_first=True)
     p = p.select("_key", F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     p = p.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
     # who revisits whom is found from digests; payloads stay where they lie
-    slim = stored(p.where(F.col("bytes") >= least).select("_key", "page_id", "digest"), "digests")
+    slim = stored(p.select("_key", "page_id", "digest", "bytes"), "digests")
+    total = slim.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    slim = slim.where(F.col("bytes") >= least)
     heads = slim.groupBy("digest").agg(F.max(F.struct("_key", "page_id")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "h")
     revisits = slim.select("_key", "digest").join(heads, "digest").where(F.col("h._key") != F.col("_key")).select("_key", F.col("h._key").alias("head"), F.col("h.page_id").alias("head_page"))
-    return p.join(few(stored(revisits, "revisits"), 1_000_000), "_key", "left").select("_key", "page_id", "url", "payload", "bytes", "digest", "head", "head_page")
+    joined = p.join(few(stored(revisits, "revisits"), 1_000_000), "_key", "left")
+    return joined.select("_key", "page_id", "url", "payload", "bytes", "digest", "head", "head_page"), total
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 100_000) -> None:
+def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = "2024-01-01T00:00:00Z", bytes_per_file: int = 64 << 20, records_per_file: int = 100_000) -> None:
     """Writes the captures of ``pages`` (page_id, url, html, any more) as gzip-compressed WARC files below ``path``.
 
+    Captures are dealt by a hash of their keys to as many files as give each about half of ``bytes_per_file`` before compression; a very long page adds its own length.
     Null html is an empty payload, a null url gives records without target. An empty table gives an empty archive.
     """
-    p = plan_captures(pages, least)
+    p, total = plan_captures(pages, least)
+    p = p.repartition(max(1, -(-2 * total // bytes_per_file)), F.xxhash64("_key"))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
     status = F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: ")
     http = F.concat(status, F.col("bytes").cast("string"), F.lit(END))
