@@ -186,7 +186,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, most: int = 1_000_000) -> DataF
     spots = hits.join(few(known.select("seed", "item", "at"), most), "seed").select("t1", "t2", "item", (F.col("place") - F.col("at")).alias("shift"))
     spots = stored(spots.distinct(), "diagonals")
     texts = slim.join(few(stored(spots.select("t1", "t2").distinct(), "hit-texts"), most), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
-    asked = spots.join(few(items, most // 10), "item").select("t1", "t2", F.lit(1).alias("kind"), "item", "item_id", "shift", "tokens", F.lit(None).cast("string").alias("text"))
+    asked = spots.join(few(items, most, 8 * F.size("tokens") + 32), "item").select("t1", "t2", F.lit(1).alias("kind"), "item", "item_id", "shift", "tokens", F.lit(None).cast("string").alias("text"))
     none = [F.lit(None).cast(c).alias(n) for n, c in (("item", "long"), ("item_id", "long"), ("shift", "long"), ("tokens", "array<long>"))]
     both = asked.unionByName(texts.select("t1", "t2", F.lit(0).alias("kind"), *none, "text"))
 
@@ -232,7 +232,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = 1_000_000) ->
     found = leaks(docs, benchmark, most).groupBy(F.col("t1").alias(a), F.col("t2").alias(b)).agg(F.array_sort(F.collect_list(parts)).alias("leaks"))  # at most a row per item
     bare = F.transform(F.coalesce("leaks", F.array().cast("array<struct<item: bigint, item_id: bigint, start: bigint, tokens: bigint, equal: bigint, coverage: double>>")), lambda x: x.dropFields("item"))
     rest = docs.select(*[c for c in docs.columns if c.lower() != "leaks"], *_text_key(a, b))
-    return rest.join(few(found, most), [a, b], "left").select(*[c for c in rest.columns if c not in (a, b)], bare.alias("leaks"))
+    return rest.join(few(found, most, 56 * F.size("leaks") + 32), [a, b], "left").select(*[c for c in rest.columns if c not in (a, b)], bare.alias("leaks"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -166,7 +166,7 @@ def linked(points: DataFrame, radius: int, leaf_rows: int = 4096, most_leaves: i
     depth = min(int(math.log2(most_leaves)), max(0, math.ceil(math.log2(max(1, count / leaf_rows / (8 if bands else 1))))))
     wanted = 64 << depth  # bounded by 64 * most_leaves
     drawn = points.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, count // wanted))) == 0).select("fp").limit(2 * wanted) if depth else None
-    tree = grow(np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64), depth, radius) if depth else []
+    tree = grow(drawn.toArrow().column("fp").to_numpy().view(np.uint64), depth, radius) if depth else []
     width = math.log(1 / bands) if bands else 0.0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -75,14 +75,19 @@ def keyed(rows: DataFrame, name: str = "_key", id_col: str = "doc_id", text_col:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows of whole texts reach the Python workers in batches of ``rows``, unless the session sets another number than Spark's default: a batch is held in memory twice."""
+    """Rows of whole texts reach the Python workers in batches of ``rows``, unless the session sets another number than Spark's default, 10,000: a batch is held in memory twice. The setting stays with the session, as plans are lazy."""
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, str(rows))
 
 
-def few(keys: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """A stored table of long keys with a broadcast hint if it has at most ``most`` rows (32 MB); as it is beyond, so that joins shuffle."""
-    return F.broadcast(keys) if keys.count() <= most else keys
+#: Bytes of a table that may be broadcast.
+MOST_BYTES = 32 << 20
+
+
+def few(keys: DataFrame, most: int = 4_000_000, width: Column | None = None) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most ``most`` rows and its rows' ``width`` (8 bytes by default) is 32 MB at most; as it is beyond, so that joins shuffle."""
+    rows, size = keys.agg(F.count(F.lit(1)), F.sum(F.lit(8) if width is None else width)).first()
+    return F.broadcast(keys) if rows <= most and (size or 0) <= MOST_BYTES else keys
 
 
 class Sets:
