@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -151,16 +152,18 @@ class Model:
         return np.log(np.maximum(total, 1e-37)) + x + y.T
 
 
-def _add(rows: np.ndarray, by: np.ndarray, held: np.ndarray, seen: np.ndarray) -> None:
-    """Adagrad with a rate for each row: gradients ``by`` of rows that may repeat are summed first."""
+def _add(rows: np.ndarray, *parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Adagrad with a rate for each row: gradients of rows that may repeat are summed first. parts: gradients, what they change, and their squares so far."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    total, rows = np.add.reduceat(by[order], first, axis=0), rows[first]
-    square = (total**2).mean(axis=1) if total.ndim > 1 else total**2
-    seen[rows] += square
-    rate = RATE / np.sqrt(seen[rows] + 1e-8)
-    held[rows] += total * (rate[:, None] if total.ndim > 1 else rate)
+    rows = rows[first]
+    for by, held, seen in parts:
+        total = np.add.reduceat(by[order], first, axis=0)
+        square = seen[rows] + (np.einsum("nd,nd->n", total, total) / total.shape[1] if total.ndim > 1 else total**2)
+        seen[rows] = square
+        rate = RATE / np.sqrt(square + 1e-8)
+        held[rows] += total * (rate[:, None] if total.ndim > 1 else rate)
 
 
 class Trainer:
@@ -174,6 +177,16 @@ class Trainer:
         self.places = np.zeros((2, 2), np.float32)
         self.used = [np.zeros(len(x), np.float32) for x in (self.m.context, self.m.target)]
 
+    def steps(self, ids: np.ndarray, before: int) -> None:
+        """Learns from a stream of ids: all but the first two, and but for those that stand before a text, are tokens."""
+        at = np.flatnonzero(ids[2:] != before) + 2
+        with np.errstate(over="ignore"):  # an infinite odd is a probability of 0
+            for lo in range(0, len(at), BATCH):
+                i = at[lo : lo + BATCH]
+                self.step(ids[i], ids[i - 1], ids[i - 2])
+        for used, i in ((self.used[0], at - 1), (self.used[0], at - 2), (self.used[1], at)):
+            used += np.bincount(ids[i], minlength=len(used))
+
     def step(self, w: np.ndarray, a: np.ndarray, e: np.ndarray) -> None:
         m = self.m
         near, far = m.context[a], m.context[e]
@@ -182,17 +195,16 @@ class Trainer:
         own, other = m.target[w], m.target[noise]
         good = np.einsum("nd,nd->n", h, own) + m.bias[w] - self.offset[w]
         bad = h @ other.T + (m.bias[noise] - self.offset[noise])
-        g, gn = 1 / (1 + np.exp(np.clip(good, -30, 30))), -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
+        g, gn = 1 / (1 + np.exp(good)), np.exp(np.negative(bad, out=bad), out=bad)
+        gn += 1
+        np.divide(-1, gn, out=gn)
         back = g[:, None] * own + gn @ other
         near_by, far_by = (back * near).sum(axis=0), (back * far).sum(axis=0)
-        _add(np.concatenate([w, noise]), np.concatenate([g[:, None] * h, gn.T @ h]), m.target, self.seen[1])
-        _add(np.concatenate([w, noise]), np.concatenate([g, gn.sum(axis=0)]), m.bias, self.seen[2])
-        _add(np.concatenate([a, e]), np.concatenate([back * m.near, back * m.far]), m.context, self.seen[0])
+        _add(np.concatenate([w, noise]), (np.concatenate([g[:, None] * h, gn.T @ h]), m.target, self.seen[1]), (np.concatenate([g, gn.sum(axis=0)]), m.bias, self.seen[2]))
+        _add(np.concatenate([a, e]), (np.concatenate([back * m.near, back * m.far]), m.context, self.seen[0]))
         for place, by, i in ((m.near, near_by, 0), (m.far, far_by, 1)):
             self.places[i, 0] += (by**2).mean()
             place += 0.3 * RATE * by / np.sqrt(self.places[i, 0] + 1e-8)
-        for used, ids in ((self.used[0], a), (self.used[0], e), (self.used[1], w)):
-            used += np.bincount(ids, minlength=len(used))
 
 
 class Numbers:
@@ -205,13 +217,13 @@ class Numbers:
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 for those whose count isn't held."""
-        got = self.rank.get
-        return np.fromiter((got(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
 
     def of(self, words: list[bytes], ranks: np.ndarray) -> np.ndarray:
         ids = self.number[ranks]
-        for i in np.flatnonzero(ranks < 0).tolist():
-            ids[i] = self.first_class + words[i][-1]
+        lost = np.flatnonzero(ranks < 0)
+        if len(lost):
+            ids[lost] = [self.first_class + words[i][-1] for i in lost.tolist()]
         return ids
 
 
@@ -219,7 +231,7 @@ class Numbers:
 ROWS = 64
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, size: int = SIZE) -> Model:
+def train(docs: DataFrame, v: Vocabulary, words: Broadcast | None = None, rounds: int = ROUNDS, size: int = SIZE) -> Model:
     """docs (text) -> a model. Every text is learned from once: each round takes a share of the texts by their hash, and every task its part of them.
 
     A task sends its copy of the rows that it has seen, weighted by how often; copies are added up by blocks of rows, as a stream, and
@@ -227,7 +239,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, size: int = SIZE
     """
     spark, share = docs.sparkSession, v.frequencies()
     model = Model.start(share, size)
-    words = spark.sparkContext.broadcast(v)
+    words = words or spark.sparkContext.broadcast(v)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select(F.col("text").cast("binary").alias("text"))
@@ -252,13 +264,6 @@ def _learn(sent: Broadcast, words: Broadcast, r: int):
         numbers, t, flow, waiting = Numbers(v), None, [], 0
         start = np.array([numbers.before] * 2, np.int32)
 
-        def steps() -> None:
-            ids = np.concatenate(flow)
-            at = np.flatnonzero(ids[2:] != numbers.before) + 2
-            for lo in range(0, len(at), BATCH):
-                i = at[lo : lo + BATCH]
-                t.step(ids[i], ids[i - 1], ids[i - 2])
-
         for b in batches:
             for text in b.column(0):
                 data = text.as_py() or b""
@@ -268,12 +273,12 @@ def _learn(sent: Broadcast, words: Broadcast, r: int):
                     flow.append(numbers.of(part, numbers.ranks(part)))
                     waiting += len(part)
                     if waiting >= FLOW:
-                        steps()
+                        t.steps(np.concatenate(flow), numbers.before)
                         flow, waiting = [np.concatenate(flow)[-2:]], 0  # what the text goes on from
                 flow.append(np.array([numbers.end], np.int32))
                 waiting += 1
         if t:
-            steps()
+            t.steps(np.concatenate(flow), numbers.before)
             yield from _sums(t)
 
     return run
@@ -375,13 +380,14 @@ def score(docs: DataFrame, held: Column | None = None, words: int = WORDS, head:
     learned = rows.where(~F.col("held_out")).select("text")
     counted = counts(learned)
     v = vocabulary(counted, words, head)
-    model = train(learned, v)
-    sent = spark.sparkContext.broadcast((model, normalisers(spark, model), v))
+    known = spark.sparkContext.broadcast(v)  # bounded by ``head``
+    model = train(learned, v, known)
+    sent = spark.sparkContext.broadcast((model, normalisers(spark, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for b in batches:
-            scorer = scorer or Scorer(*sent.value)
+            scorer = scorer or Scorer(*sent.value, known.value)
             found = [scorer.text(t.as_py()) for t in b.column(3)]
             rare = [[{"word": w.decode(), "n": n} for w, n in x[4].items()] for x in found]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
