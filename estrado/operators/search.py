@@ -1,147 +1,46 @@
 """Hybrid retrieval for a batch of queries: BM25, cosine, reciprocal rank fusion, and two conditional phases.
 
-The index is built once and kept: postings carry their weight, so that a query joins its terms to them and sums. The vector side
-scans the vectors once for a block of queries. Ranks are windows with an explicit tie-break on chunk_id.
+The lexical side is ``lexical.Bm25``, a stored index that takes updates; the vector side scores tiles of queries and vectors (``vectors``), each vector once for
+all lists of a search. Ranks are windows with an explicit tie-break on chunk_id.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..session import shared_folder
-from . import filters
-from .sizes import bounded, small
+from . import filters, vectors
+from .lexical import Asked, Bm25, bm25_index, ranked
+from .sizes import bounded
 
-# List lengths, fusion constant, gate; BM25 parameters.
+__all__ = ["Bm25", "bm25_index", "bm25_scores", "charter_gate", "check_request", "dense_topk", "fused_topn", "hybrid", "rrf", "sparse_topk", "two_phase"]
+
+# List lengths, fusion constant, gate.
 K_DENSE, K_SPARSE, RRF_K = 50, 50, 60
 GATE, K_CHARTER, K_CORPUS = 0.46, 20, 50
-K1, B, EPSILON = 1.5, 0.75, 0.25
 CHARTER = "carta_organica"
-DIGITS = 9
-#: Lexical scores are sums over many terms, whose order varies; they are rounded more, so that equal scores stay equal.
-SCORE_DIGITS = 6
-#: Vectors of queries that are sent to the tasks at once.
-BLOCK_BYTES = 8 << 20
-
-
-@dataclass
-class Bm25:
-    """postings (chunk_id, term, weight), idf (term, df, idf), stats (n, avgdl): one row. A posting's weight is its part of a score for a term asked once."""
-
-    postings: DataFrame
-    idf: DataFrame
-    stats: DataFrame
-
-    @staticmethod
-    def read(spark, path: str) -> Bm25:
-        return Bm25(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "stats")))
-
-
-def bm25_index(chunks: DataFrame, path: str | None = None) -> Bm25:
-    """chunks (chunk_id, texto), built and written below ``path`` (a new folder in the shared one by default). Texts are read once.
-
-    A negative idf becomes EPSILON times the mean idf over all terms; texts without tokens count for N.
-    """
-    spark = chunks.sparkSession
-    path = path or f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
-
-    # a file may be one large row group: rows are spread before their texts are cut up
-    words = chunks.select("chunk_id", "texto").repartition(spark.sparkContext.defaultParallelism).select("chunk_id", tokens(F.col("texto")).alias("w"))
-    words = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    counts = kept(words.groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "counts")
-    n = chunks.count()
-    stats = kept(counts.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(float(max(n, 1)))).alias("avgdl")), "stats")
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    terms = kept(terms, "terms")
-    mean = F.broadcast(terms.agg(F.avg("raw").alias("mean")))  # one row
-    idf = kept(terms.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")), "idf")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    weighed = counts.join(idf.select("term", "idf"), "term").crossJoin(F.broadcast(stats.select("avgdl"))).select("chunk_id", "term", part.alias("weight"))
-    # in the order of their terms, so that a scan for few terms skips row groups
-    return Bm25(kept(weighed.repartitionByRange("term").sortWithinPartitions("term"), "postings"), idf, stats)
 
 
 def bm25_scores(index: Bm25, queries: DataFrame) -> DataFrame:
-    """queries (query_id, query) -> query_id, chunk_id, score of every chunk that shares a term with the query."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = index.postings.join(small(asked), "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), SCORE_DIGITS).alias("score"))
-
-
-def _ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """queries (query_id, query) -> query_id, chunk_id, score of every chunk that shares a term with the query, if it is positive."""
+    return Asked(index, queries).scores()
 
 
 def sparse_topk(index: Bm25, queries: DataFrame, k: int = K_SPARSE, chunks: DataFrame | None = None, where: dict | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank of the k best with a positive score; the filter applies before the count, on ``chunks``' columns."""
-    scored = bm25_scores(index, queries).where("score > 0")
-    if where:
-        scored = scored.join(chunks.where(filters.sparse(where)).select("chunk_id"), "chunk_id", "left_semi")
-    return _ranked(scored, [F.desc("score"), F.asc("chunk_id")], k)
+    return Asked(index, queries).topk(k, _passing(chunks, where))
 
 
-def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = K_DENSE, where: dict | None = None) -> DataFrame:
-    """chunks (chunk_id, embedding, columns of the filter), queries (query_id, vector) -> query_id, chunk_id, similitud, rank.
+def _passing(chunks: DataFrame | None, where: dict | None) -> DataFrame | None:
+    return chunks.where(filters.sparse(where)).select("chunk_id") if where else None
 
-    Exact: every vector that passes the filter is scored. Queries are sent to the tasks in blocks of BLOCK_BYTES, one scan of the vectors each; a task keeps
-    the k best sums of a query and passes on only what may still be among them. Vectors that are null, zero, or of another length than the query aren't ranked.
-    """
-    spark = chunks.sparkSession
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null").withColumn("dim", F.size("vector"))
-    sizes = asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where("dim > 0").collect()  # lengths of vectors
-    held = chunks.where(filters.dense(where)).select("chunk_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    schema = held.select(F.lit(None).cast(asked.schema["query_id"].dataType).alias("query_id"), "chunk_id", F.lit(0.0).alias("similitud")).schema
-    out = spark.createDataFrame([], schema)
-    for dim, n in sizes:
-        blocks = -(-n * dim * 8 // BLOCK_BYTES)
-        rows = held.where(F.size("embedding") == dim)
-        for b in range(blocks):
-            block = asked.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).select("query_id", "vector").toArrow().combine_chunks()
-            out = out.unionByName(rows.mapInArrow(_best(spark.sparkContext.broadcast(block), dim, k), schema))
-    scored = out.withColumn("similitud", F.round("similitud", DIGITS))
-    return _ranked(scored, [F.desc("similitud"), F.asc("chunk_id")], k)
-
-
-def _best(asked: Broadcast, dim: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = asked.value.column("query_id").combine_chunks() if asked.value.num_rows else None
-        q = unit(asked.value.column("vector").combine_chunks(), dim) if ids is not None else None
-        best = None
-        for whole in batches:
-            if ids is None:
-                continue
-            step = min(4096, max(16, (1 << 22) // len(q)))  # bounds the block of cosines
-            for b in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
-                s = q @ unit(b.column(1), dim).T
-                s = np.where(np.isfinite(s), s, -2.0)
-                top = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-                best = top if best is None else -np.sort(-np.concatenate([best, top], axis=1), axis=1)[:, :k]
-                least = np.maximum(best[:, -1] if best.shape[1] == k else -1.5, -1.5) - 1e-8  # ties after rounding are kept
-                i, j = np.nonzero(s >= np.reshape(least, (-1, 1)))
-                yield pa.record_batch([ids.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(s[i, j])], names=["query_id", "chunk_id", "similitud"])
-
-    return run
-
-
-def unit(column: pa.ListArray, dim: int) -> np.ndarray:
-    """Vectors scaled to length 1; nulls and zeros give no number."""
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+
+def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = K_DENSE, where: dict | None = None) -> DataFrame:
+    """chunks (chunk_id, embedding, columns of the filter), queries (query_id, vector) -> query_id, chunk_id, similitud, rank. See ``vectors.dense_lists``."""
+    return vectors.dense_topk(chunks, queries, k, where)
 
 
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
@@ -161,7 +60,7 @@ def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
 
 def fused_topn(fused: DataFrame, n: int) -> DataFrame:
     """The n best of each query; ties go to the earlier list, then to the better rank in it."""
-    return _ranked(fused, [F.desc("score_rrf"), F.asc("first_list"), F.asc("first_rank"), F.asc("chunk_id")], n)
+    return ranked(fused, [F.desc("score_rrf"), F.asc("first_list"), F.asc("first_rank"), F.asc("chunk_id")], n)
 
 
 def hybrid(chunks: DataFrame, index: Bm25, queries: DataFrame, n: int = 10, where: dict | None = None) -> DataFrame:
@@ -189,16 +88,19 @@ def two_phase(chunks: DataFrame, index: Bm25, queries: DataFrame, n: int = 10, e
     The corpus's lexical list is cut at 50 before the charter's chunks are dropped from it and it is ranked anew, and ``extra`` filters the
     vector side alone. Columns as in ``hybrid`` and fuente_fase, mejor_coseno_co, co_es_relevante (the same on all rows of a query).
     """
-    own = {"tipo_documento": CHARTER}
-    cd = dense_topk(chunks, queries, K_CHARTER, own)
-    cs = sparse_topk(index, queries, K_CHARTER, chunks, own)
+    own, rest = {"tipo_documento": CHARTER}, {"tipo_documento": {"$ne": CHARTER}}
+    # both lists in one pass over the vectors, stored, as the gate and the fusion read them
+    path = f"{shared_folder(chunks.sparkSession)}/lists-{uuid.uuid4().hex}"
+    vectors.dense_lists(chunks, queries, [(K_CHARTER, own), (K_CORPUS, {"$and": [rest, extra]} if extra else rest)]).write.parquet(path)
+    lists = chunks.sparkSession.read.parquet(path)
+    cd, d = lists.where("list = 0").drop("list"), lists.where("list = 1").drop("list")
+    asked = Asked(index, queries)
+    cs, s = asked.topk(K_CHARTER, _passing(chunks, own)), asked.topk(K_CORPUS)
     best = cd.groupBy("query_id").agg(F.max("similitud").alias("best"))
     gate = queries.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("mejor_coseno_co"))
-    gate = bounded(gate.withColumn("co_es_relevante", F.col("mejor_coseno_co") >= GATE), queries)
-    rest = {"tipo_documento": {"$ne": CHARTER}}
-    d = dense_topk(chunks, queries, K_CORPUS, {"$and": [rest, extra]} if extra else rest)
+    gate = gate.withColumn("co_es_relevante", F.col("mejor_coseno_co") >= GATE)
     charter_ids = chunks.where(filters.dense(own)).select("chunk_id")
-    s = sparse_topk(index, queries, K_CORPUS).join(charter_ids, "chunk_id", "left_anti")
+    s = s.join(charter_ids, "chunk_id", "left_anti")
     s = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     keep = lambda r: r.join(gate.where("co_es_relevante").select("query_id"), "query_id", "left_semi")
     fused = fused_topn(rrf([d, s, keep(cd), keep(cs)]), n)

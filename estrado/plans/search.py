@@ -6,12 +6,13 @@ The collection and its lexical index are built once for an application and a set
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cite, text
-from ..operators import answer, search
+from ..operators import answer, search, vectors
 from ..session import shared_folder
 
 _KIND = "CASE WHEN source = 'src0' THEN 'carta_organica' WHEN source = 'src1' THEN NULL ELSE 'norma' END"
@@ -29,8 +30,10 @@ _built: dict[tuple, str] = {}
 
 
 def _kept(spark: SparkSession, d: str, name: str, build) -> str:
-    """The folder of a table made from these input files; ``build(folder)`` makes it the first time."""
-    key = (spark.sparkContext.applicationId, name, d, *sorted(x for t in ("documents", "embeddings") for x in _table(spark, d, t).inputFiles()))
+    """The folder of a table made from these input files; ``build(folder)`` makes it the first time, and again once a file has another length or time."""
+    files = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{d}/{t}.parquet").select("path", "length", "modificationTime") for t in ("documents", "embeddings", "benchmark", "labels")]
+    told = reduce(DataFrame.unionByName, files).agg(F.count(F.lit(1)), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    key = (spark.sparkContext.applicationId, name, d, *told)
     if key not in _built:
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build(path)
@@ -39,7 +42,8 @@ def _kept(spark: SparkSession, d: str, name: str, build) -> str:
 
 
 def _index(spark: SparkSession, d: str) -> search.Bm25:
-    return search.Bm25.read(spark, _kept(spark, d, "bm25", lambda path: search.bm25_index(_documents(spark, d), path)))
+    """The index as it was built: what ``bm25_after_upsert`` adds to it comes in later segments."""
+    return search.Bm25(spark, _kept(spark, d, "bm25", lambda path: search.bm25_index(_documents(spark, d), path)), 0)
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +66,7 @@ def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     index = _index(spark, d)
-    terms = index.idf.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").cast("long").alias("n_postings"), F.max("df").alias("max_df"))
+    terms = index.frequencies().agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").cast("long").alias("n_postings"), F.max("df").alias("max_df"))
     return index.stats.select(F.col("n").alias("n_docs"), F.round("avgdl", 6).alias("avgdl")).crossJoin(terms)
 
 
@@ -74,6 +78,25 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.sparse_topk(_index(spark, d), _queries(spark, d, False)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25_after_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's items are upserted under their numbers, most of which are documents', and documents labelled as toxic are deleted; no text of another document is read again."""
+    index = _index(spark, d)
+    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("texto"))
+    toxic = _table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("chunk_id"))
+
+    def extend(_: str) -> None:
+        index.upsert(items).delete(toxic)
+
+    _kept(spark, d, "bm25-extended", extend)
+    return search.sparse_topk(search.Bm25.read(spark, index.path), _queries(spark, d, False)).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def dense_topk_ivf(spark: SparkSession, d: str) -> DataFrame:
+    """The vectors of the 27 cells of 32 that are nearest to a query: these vectors have no clusters, and ``vectors.probes_for`` asks for so many for a recall of 0.95."""
+    path = _kept(spark, d, "ivf", lambda path: vectors.ivf_index(_labelled(spark, d), path, cells=32, rounds=2))
+    return vectors.Ivf(spark, path).topk(_vector_queries(spark, d), 50, probes=27).withColumn("rank", F.col("rank").cast("long"))
+
+
 def bm25_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
     return search.sparse_topk(_index(spark, d), _queries(spark, d, False), 10, docs, {"lang": "es"}).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -232,7 +255,23 @@ hits AS (SELECT b.query_id, b.rank, b.chunk_id, score_rrf, (r0 IS NOT NULL OR r2
 _LABELLED = "ch AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, CASE WHEN label = 3 THEN 'carta_organica' WHEN label = 4 THEN NULL ELSE 'norma' END AS tipo_documento FROM embeddings), q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0)"
 _CITE = "CASE WHEN tipo_documento = 'carta_organica' THEN 'Carta Orgánica Municipal, Art. ' || (chunk_id % 7) ELSE 'Norma N° ' || chunk_id || '/2000, Art. ' || (chunk_id % 7) END"
 
+def _moved(n: int) -> str:
+    """One round of the centroids: every vector to its nearest one, and each centroid to the mean direction of its vectors."""
+    return f"""a{n} AS MATERIALIZED (SELECT chunk_id, u, cell FROM (SELECT v.chunk_id, v.u, c.cell, row_number() OVER (PARTITION BY v.chunk_id ORDER BY round(list_inner_product(v.u, c.c), 9) DESC, c.cell) AS r FROM uv v, c{n} c) WHERE r = 1),
+c{n + 1} AS MATERIALIZED (SELECT c.cell, coalesce(m.c, c.c) AS c FROM c{n} c LEFT JOIN (SELECT cell, list_transform(s, lambda x: x / sqrt(list_inner_product(s, s))) AS c FROM (
+  SELECT cell, list(x ORDER BY i) AS s FROM (SELECT cell, i, sum(x) AS x FROM (SELECT cell, unnest(u) AS x, unnest(range(len(u))) AS i FROM a{n}) GROUP BY cell, i) GROUP BY cell)) m USING (cell))"""
+
+
+_IVF = f"""uv AS MATERIALIZED (SELECT chunk_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM ch WHERE v IS NOT NULL),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(chunk_id::VARCHAR)) - 1 AS cell, u AS c FROM uv ORDER BY md5(chunk_id::VARCHAR) LIMIT 32), {_moved(0)}, {_moved(1)}, {_moved(2)},
+pr AS MATERIALIZED (SELECT query_id, v, cell FROM (SELECT q.query_id, q.v, c.cell, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_inner_product(q.v, c.c) / sqrt(list_inner_product(q.v, q.v)), 9) DESC, c.cell) AS r FROM q, c2 c) WHERE r <= 27)"""
+
+
 SQL = {
+    "dense_topk_ivf": f"""WITH {_LABELLED}, {_IVF} SELECT query_id, chunk_id, similitud, rank FROM (SELECT query_id, chunk_id, similitud, row_number() OVER (PARTITION BY query_id ORDER BY similitud DESC, chunk_id) AS rank
+FROM (SELECT p.query_id, c.chunk_id, {_cos('c.v', 'p.v')} AS similitud FROM pr p JOIN a2 USING (cell) JOIN ch c USING (chunk_id))) WHERE rank <= 50""",
+    "bm25_after_upsert": f"""WITH docs AS (SELECT * FROM (SELECT doc_id AS chunk_id, text AS texto FROM documents WHERE doc_id NOT IN (SELECT item_id FROM benchmark) UNION ALL SELECT item_id, text FROM benchmark)
+  WHERE chunk_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), {_lexical('docs')}, {_QT}, {_SCORE}, {_sparse('sp', 'true', 50)} SELECT query_id, chunk_id, score, rank FROM sp""",
     "tokenize_counts": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {_TOK.format('text')} AS w FROM documents)",
     "bm25_corpus_stats": f"WITH {_DOCS}, {_lexical('docs')} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf) AS n_terms, (SELECT sum(df)::BIGINT FROM idf) AS n_postings, (SELECT max(df) FROM idf) AS max_df FROM st",
     "bm25_idf_floor": f"WITH {_DOCS}, {_lexical('docs')} SELECT term, df, round(idf, 9) AS idf FROM idf",
@@ -257,5 +296,5 @@ FROM (SELECT query_id, rank, '[' || rank || '] ' || {_CITE} || chr(10) || regexp
     "result_previews": r"SELECT doc_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '...' ELSE t END AS vista FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents)",
 }
 QUERIES = {f.__name__: f for f in (
-    tokenize_counts, bm25_corpus_stats, bm25_idf_floor, bm25_topk, bm25_filtered_topk, dense_topk, dense_filtered_ne, rrf_fusion, hybrid_search, charter_gate,
+    tokenize_counts, bm25_corpus_stats, bm25_idf_floor, bm25_topk, bm25_filtered_topk, bm25_after_upsert, dense_topk, dense_topk_ivf, dense_filtered_ne, rrf_fusion, hybrid_search, charter_gate,
     two_phase_search, two_phase_extra_filter, pure_vs_hybrid, numbered_context, answer_sources, rag_answer, result_previews)}

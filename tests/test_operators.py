@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from estrado.operators import audit, filters, repeal, search, upsert
+from estrado.operators import audit, filters, repeal, search, upsert, vectors
 from estrado.sources import corpus, listing
 
 
@@ -104,8 +104,9 @@ def test_dense_search_against_plain_cosines(spark, monkeypatch):
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
     chunks, queries = spark.createDataFrame(rows, "chunk_id int, embedding array<float>"), spark.createDataFrame(asked, "query_id string, vector array<double>")
     exact = {r["chunk_id"]: r["embedding"] for r in chunks.collect() if r["chunk_id"] < 900}
-    for block in (search.BLOCK_BYTES, 100):
-        monkeypatch.setattr(search, "BLOCK_BYTES", block)
+    for block in (1 << 23, 100):
+        monkeypatch.setattr(vectors, "QUERY_BYTES", block)
+        monkeypatch.setattr(vectors, "VECTOR_BYTES", 7 * block)
         got = {}
         for r in search.dense_topk(chunks, queries, 20).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["chunk_id"]))
