@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks as c
@@ -43,6 +44,21 @@ def routed(docs: DataFrame, status: str = "status", good: str = "ok") -> tuple[D
     return docs.where(ok), docs.where(~ok)
 
 
+def observed(norms: DataFrame, found: str = "en_ventana", held: str = "ya_existe", status: str = "status") -> tuple[DataFrame, Observation]:
+    """``norms`` (booleans ``found`` and ``held``, status) and the seven counters of a run over them, which come with whatever is done with the rows: no pass of their own.
+
+    Read them from the second value's ``get`` once the rows are written: descubiertas, en_ventana, ya_existen, ok, fallidas_validacion, errores_descarga, errores_extraccion.
+    """
+    counters = Observation(f"acquisition-{uuid.uuid4().hex}")
+    many = lambda c: F.count(F.when(c, 1))
+    new = F.col(found) & ~F.col(held)
+    state = lambda *s: many(new & F.col(status).isin(*s))
+    told = norms.observe(
+        counters, F.count(F.lit(1)).alias("descubiertas"), many(F.col(found)).alias("en_ventana"), many(F.col(found) & F.col(held)).alias("ya_existen"), state("ok", "ok_dry_run").alias("ok"),
+        state("fallido_validacion").alias("fallidas_validacion"), state("error_descarga").alias("errores_descarga"), state("error_extraccion").alias("errores_extraccion"))
+    return told, counters
+
+
 def status_counts(docs: DataFrame, status: str = "status") -> DataFrame:
     return docs.groupBy(status).agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.cite import numbered_context, sources
+from ..functions.text import llm_cost_usd
 from .search import Bm25, two_phase
 
 #: Texts of an answer.
@@ -45,6 +47,14 @@ def embed_in_batches(df: DataFrame, fetch: Callable[[list[str]], list], text: st
     return df.mapInArrow(run, df.withColumn(out, F.lit(None).cast("array<double>")).schema)
 
 
+def with_usage(answers: DataFrame, tokens_in: str = "tokens_in", tokens_out: str = "tokens_out") -> tuple[DataFrame, Observation]:
+    """``answers`` with the cost of each (costo_usd), and the batch's sums (respuestas, tokens_in, tokens_out, costo_usd), which come with the write of the answers."""
+    totals = Observation(f"usage-{uuid.uuid4().hex}")
+    told = answers.withColumn("costo_usd", llm_cost_usd(F.col(tokens_in), F.col(tokens_out)))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (tokens_in, tokens_out, "costo_usd")]
+    return told.observe(totals, F.count(F.lit(1)).alias("respuestas"), *sums), totals
+
+
 def answer(chunks: DataFrame, index: Bm25, queries: DataFrame, synthesizer: Callable[[Column, Column], Column], n_chunks: int = 12, extra: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """queries (query_id, query, vector) -> answers (query_id, respuesta, contexto) and sources. Queries without hits get a fixed text."""
     hits = two_phase(chunks, index, queries, n_chunks, extra)

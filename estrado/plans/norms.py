@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from urllib.parse import parse_qs, urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunks as c
-from ..functions import cite, parse, quality, sql
-from ..operators import acquire, audit, chunking, repeal, report, upsert
+from ..functions import cite, parse, quality, sql, text
+from ..operators import acquire, answer, audit, chunking, quarantine, repeal, report, upsert
 from ..sources import corpus
 
 # Parts of a norm, as SQL for Spark and DuckDB alike; k: o_orderkey, y: year of o_orderdate, n: number of articles.
@@ -253,6 +255,23 @@ def first_documents(spark: SparkSession, d: str) -> DataFrame:
     return corpus.first_documents(_files(spark, d).select("nombre", "o_orderkey"), 25, "nombre")
 
 
+def _page_of(row: dict) -> list[dict]:
+    return [{"page": int(parse_qs(urlsplit(row["url"]).query)["page"][0])}]
+
+
+def quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Page numbers of all addresses: those that have none raise, and are in the log by the type of error; the others come through."""
+    good, log = quarantine.guarded(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url"), _page_of, "page long", "page_id", "dirección")
+    told = log.groupBy("stage", "error_type").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("long").alias("suma"))
+    return told.unionByName(good.agg(F.lit("dirección").alias("stage"), F.lit(None).cast("string").alias("error_type"), F.count(F.lit(1)).alias("n"), F.sum("page").alias("suma")))
+
+
+def answer_usage(spark: SparkSession, d: str) -> DataFrame:
+    """What answers to all documents, a third as long, would cost: by answer."""
+    n = text.token_estimate(F.length("text"))
+    return answer.with_usage(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", n.alias("tokens_in"), F.floor(n / 3).cast("long").alias("tokens_out")))[0]
+
+
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     """The registered SQL functions over all documents."""
     sql.register(spark)
@@ -428,6 +447,9 @@ SQL = {
     "first_documents": f"SELECT {_NAME} AS nombre, o_orderkey FROM orders ORDER BY encode({_NAME}) LIMIT 25",
     "sql_functions": rf"""WITH {_PIECES} SELECT d.doc_id, len(list_filter(regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) > 1))::BIGINT AS n_tokens, count(p.texto) AS n_pieces, md5(coalesce(string_agg(p.texto, '|' ORDER BY p.parte), '')) AS piezas_md5,
  'Ordenanza N° ' || d.doc_id || '/2000, Art. ' || (d.doc_id % 7) AS etiqueta FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND p.texto <> '' GROUP BY d.doc_id, d.text""",
+    "quarantine_counts": r"""SELECT 'dirección' AS stage, CASE WHEN p IS NULL THEN 'KeyError' END AS error_type, count(*) AS n, sum(p)::BIGINT AS suma
+FROM (SELECT nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '')::BIGINT AS p FROM pages) GROUP BY p IS NULL""",
+    "answer_usage": """SELECT doc_id, n AS tokens_in, n // 3 AS tokens_out, round(n / 1e6 * 2.0::DOUBLE + (n // 3) / 1e6 * 8.0::DOUBLE, 5) AS costo_usd FROM (SELECT doc_id, floor(length(text) / 3.5::DOUBLE)::BIGINT AS n FROM documents)""",
     "upsert_merge": "WITH n AS (SELECT doc_id + 6 AS chunk_id, n_chars + 1 AS n FROM documents) SELECT doc_id AS chunk_id, lang, n_chars AS n FROM documents WHERE doc_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT chunk_id, 'yy', n FROM n",
     "metadata_sanitize": f"SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '[' || o_orderkey || ',7]' ELSE '' END AS refs, CASE WHEN o_orderkey % 3 = 0 THEN 'x' END AS t, {_Y} AS anio FROM orders",
     "metadata_as_json": """SELECT '{"o_orderkey":' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN ',"t":"x"' ELSE '' END || '}' AS metadata FROM orders""",

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.acquire import not_held
 from ..operators.chunking import chunk_documents
 from ..operators.upsert import Collection
+from ..sources.listing import Listing
 
 
 def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
@@ -22,6 +24,16 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> St
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def listed_norms(spark: SparkSession, held: DataFrame, late: str = "90 days", **options: str) -> DataFrame:
+    """The paged listing as a stream of norms that ``held`` (numero, anio) lacks, each taken once: ``options`` are those of ``sources.listing`` and lookbackDays.
+
+    Each batch reads from the last one's newest date less the look-back; state drops what comes again, and the anti-join what is held.
+    """
+    spark.dataSource.register(Listing)
+    listed = spark.readStream.format("norm_listing").options(dated="true", **options).load().withColumn("visto", F.col("fecha").cast("timestamp"))
+    return not_held(new_norms(listed, late), held)
+
+
 def new_norms(listing: DataFrame, late: str = "90 days") -> DataFrame:
     """A stream of listings without repeats of (numero, anio): the stateful form of the anti-join, with state kept for ``late``."""
     return listing.withWatermark("visto", late).dropDuplicatesWithinWatermark(["numero", "anio"])
