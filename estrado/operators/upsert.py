@@ -20,18 +20,29 @@ def merged(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id", orde
 
 
 class Collection:
-    """A keyed table in one folder: plain Parquet in partitions by a hash of the key. An upsert reads and replaces only the partitions that its keys fall in."""
+    """A keyed table in one folder: plain Parquet in partitions by a hash of the key. An upsert reads and replaces only the partitions that its keys fall in.
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", buckets: int = 64):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+    For folders without a catalog; see ``collections.Catalogued`` for tables of one. Key and number of buckets are stored in the folder; opening it with others is an error. A new
+    collection is empty, with the columns of ``schema``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "chunk_id", buckets: int = 64, schema: str | None = None):
+        self.spark, self.path, self.key, self.buckets, self.schema = spark, path.rstrip("/"), key, buckets, schema
+        if self._there("_about"):
+            told = tuple(spark.read.parquet(f"{self.path}/_about").select("key", "buckets").first())
+            if told != (key, buckets):
+                raise ValueError(f"{path} has key {told[0]} and {told[1]} buckets, not {key} and {buckets}")
+
+    def _there(self, name: str = "") -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def _table(self) -> DataFrame | None:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.option("mergeSchema", "true").parquet(self.path) if there else None
+        return self.spark.read.option("mergeSchema", "true").parquet(self.path) if self._there("_about") else None
 
     def read(self) -> DataFrame:
-        return self._table().drop("_bucket")
+        have = self._table()
+        return have.drop("_bucket") if have else self.spark.createDataFrame([], self.schema or f"{self.key} string")
 
     def upsert(self, incoming: DataFrame, order: str | None = None) -> int:
         """Merges ``incoming`` into the table and returns the table's number of rows. A run that is repeated gives the same table."""
@@ -45,6 +56,10 @@ class Collection:
         merged(old, incoming, self.key, order).write.parquet(staged)
         new = self.spark.read.parquet(staged).repartition("_bucket")
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(self.path)
+        if not have:
+            self.spark.createDataFrame([(self.key, self.buckets)], "key string, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_about")
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
         return self._table().count()
 
 
