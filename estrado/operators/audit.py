@@ -114,7 +114,23 @@ def availability(files: DataFrame, quotas: dict = PILOT) -> DataFrame:
     return have.join(small(_quotas(files, quotas, ["tipo", "tam"])), ["tipo", "tam"]).withColumn("elegidos", F.least("disponibles", "cuota"))
 
 
+#: The lines of a block, and where its text is cut.
+MOST_TEXT = 3000
+
+
 def report_markdown(chunks: DataFrame, reason: Column) -> DataFrame:
-    """chunk_id, md: a chunk as a block of a Markdown report."""
-    md = F.concat_ws("\n", F.concat(F.lit("### `"), F.col("chunk_id"), F.lit("`")), F.concat(F.lit("- motivo: "), reason), F.concat(F.lit("- tipo: "), F.col("tipo_chunk"), F.lit(", "), F.col("char_count").cast("string"), F.lit(" chars")), F.lit("```"), F.col("texto"), F.lit("```"))
-    return chunks.select("chunk_id", md.alias("md"))
+    """chunk_id, md: a chunk as a block of a Markdown report: why it is there, its metadata (columns may be missing), what is suspicious about it, its text, and room for a verdict."""
+    have = lambda n: F.col(n).cast("string") if n in chunks.columns else F.lit(None).cast("string")
+    shown = lambda n: F.coalesce(have(n), F.lit("None"))
+    line = lambda n: F.concat(F.lit(f"- `{n}`: "), shown(n))
+    told = lambda n: F.when(have(n).isNotNull(), line(n))
+    text, size = F.coalesce("texto", F.lit("")), F.length(F.coalesce("texto", F.lit("")))
+    cut = F.concat(F.substring(text, 1, MOST_TEXT), F.lit("\n\n[... TEXTO TRUNCADO, hay "), (size - MOST_TEXT).cast("string"), F.lit(" chars mas ...]"))
+    parts = [
+        F.concat(F.lit("### `"), shown("chunk_id"), F.lit("`")), F.when(F.coalesce(reason, F.lit("")) != "", F.concat(F.lit("\n**Motivo:** "), reason)), F.lit("\n**Metadata:**"),
+        line("tipo_chunk"), line("doc_id"), line("tipo_norma"), F.concat(line("numero"), F.lit(" | `anio`: "), shown("anio")), told("articulo_num"), told("anexo_num"), told("parte"), line("char_count"), line("url_origen"),
+        F.when(F.size("_flags") > 0, F.concat(F.lit("\n**⚠️ Sospechas:** "), F.array_join("_flags", ", "))), F.lit("\n**Texto:**\n"), F.lit("```"), F.when(size > MOST_TEXT, cut).otherwise(text), F.lit("```\n"),
+        F.lit("**Veredicto del revisor:** [ OK / PROBLEMA: ... ]\n"), F.lit("---\n"),
+    ]
+    found = chunks.withColumn("_flags", quality.flags(F.col("texto"), F.col("char_count"), F.col("tipo_chunk")))
+    return found.select("chunk_id", F.concat_ws("\n", *parts).alias("md"))

@@ -7,6 +7,7 @@ all lists of a search. Ranks are windows with an explicit tie-break on chunk_id.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from . import filters, vectors
 from .lexical import Asked, Bm25, bm25_index, ranked
 from .sizes import bounded
 
-__all__ = ["Bm25", "bm25_index", "bm25_scores", "charter_gate", "check_request", "dense_topk", "fused_topn", "hybrid", "rrf", "sparse_topk", "two_phase"]
+__all__ = ["Bm25", "bm25_index", "bm25_scores", "by_text", "charter_gate", "check_request", "dense_topk", "fused_topn", "hybrid", "rrf", "sparse_topk", "two_phase"]
 
 # List lengths, fusion constant, gate.
 K_DENSE, K_SPARSE, RRF_K = 50, 50, 60
@@ -43,6 +44,15 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, k: int = K_DENSE, where: d
     return vectors.dense_topk(chunks, queries, k, where)
 
 
+def by_text(chunks: DataFrame, asked: DataFrame, embedder: Callable[[DataFrame], DataFrame], k: int = K_DENSE, where: dict | None = None) -> DataFrame:
+    """The k nearest chunks to query texts: asked (query_id, query, maybe vector). ``embedder`` adds a column ``vector`` from ``query`` (such as ``answer.embed_in_batches`` with its
+    arguments bound); a vector that is there already is used as it is."""
+    if "vector" not in asked.columns:
+        return dense_topk(chunks, embedder(asked), k, where)
+    both = asked.where("vector is not null").select("query_id", "vector").unionByName(embedder(asked.where("vector is null").drop("vector")).select("query_id", "vector"))
+    return dense_topk(chunks, both, k, where)
+
+
 def rrf(rankings: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Rankings (query_id, chunk_id, rank, maybe similitud) -> query_id, chunk_id, score_rrf, r0.. (ranks), first_list, first_rank, similitud: a full outer join by union."""
     cols = [f"r{i}" for i in range(len(rankings))]

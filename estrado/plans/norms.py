@@ -79,11 +79,10 @@ def chunk_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_router_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("t"))
-    n = F.length("t")
-    route = F.when(n < c.SHORT_DOC, "corto").otherwise("fallback")
-    p = docs.select("doc_id", route.alias("camino"), F.when(n < c.SHORT_DOC, F.array("t")).otherwise(c.pieces(F.col("t"))).alias("p"))
-    return p.select("camino", F.explode("p").alias("x")).groupBy("camino").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("x")).alias("chars"))
+    """What the router makes of all documents, none of which has articles: short ones whole, others in pieces."""
+    k = chunking.chunk_documents(_texts(spark, d).withColumnRenamed("doc_id", "id"), "id", "text")
+    route = F.when(F.col("tipo_chunk") == "doc_completo", "corto").when(F.col("tipo_chunk") == "fallback_caracteres", "fallback").otherwise(F.col("tipo_chunk"))
+    return k.groupBy(route.alias("camino")).agg(F.count(F.lit(1)).alias("n"), F.sum("char_count").cast("long").alias("chars"))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -259,6 +258,12 @@ def _page_of(row: dict) -> list[dict]:
     return [{"page": int(parse_qs(urlsplit(row["url"]).query)["page"][0])}]
 
 
+def chunk_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The Markdown block of each piece of all documents."""
+    k = _pieces(spark, d).withColumns({"doc_id": F.col("doc_id").cast("string"), "numero": F.col("parte") + 10})
+    return audit.report_markdown(k, F.lit("muestra")).select("chunk_id", F.md5("md").alias("md5"))
+
+
 def quarantine_counts(spark: SparkSession, d: str) -> DataFrame:
     """Page numbers of all addresses: those that have none raise, and are in the log by the type of error; the others come through."""
     good, log = quarantine.guarded(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url"), _page_of, "page long", "page_id", "dirección")
@@ -401,7 +406,7 @@ SQL = {
  CASE o_orderkey % 4 WHEN 1 THEN {_ANNEX_TEXT} ELSE 'vacio' END AS texto, CASE o_orderkey % 4 WHEN 1 THEN 'real' ELSE 'vacio' END AS estado_contenido,
  (length({_arts('chr(10)')}) + 1)::BIGINT AS inicio, (length({_ANNEX}) - 1)::BIGINT AS char_count FROM orders WHERE {_HASANX}""",
     "chunk_norms": f"WITH {_CHUNKED} SELECT id, chunk_id, tipo_chunk, md5(texto) AS texto_md5, length(texto)::BIGINT AS char_count, articulo_num, parte, anexo_num, chunk_id_padre, link_original_tipo FROM kk",
-    "chunk_router_counts": rf"""WITH p AS (SELECT CASE WHEN length(text) < 2000 THEN 'corto' ELSE 'fallback' END AS camino, CASE WHEN length(text) < 2000 THEN text ELSE {_STRIP.format('substr(text, i * 1300 + 1, 1500)')} END AS x
+    "chunk_router_counts": rf"""WITH documents AS (SELECT doc_id, {_STRIP.format(r"regexp_replace(regexp_replace(text, '-{{3,}}', '-', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')").replace('{{', '{').replace('}}', '}')} AS text FROM main.documents), p AS (SELECT CASE WHEN length(text) < 2000 THEN 'corto' ELSE 'fallback' END AS camino, CASE WHEN length(text) < 2000 THEN text ELSE {_STRIP.format('substr(text, i * 1300 + 1, 1500)')} END AS x
  FROM (SELECT text, unnest(range(CASE WHEN length(text) < 2000 THEN 1 ELSE {_PC.format('text')} END)) AS i FROM documents)) SELECT camino, count(*) AS n, sum(length(x))::BIGINT AS chars FROM p WHERE camino = 'corto' OR x <> '' GROUP BY camino""",
     "char_chunks": f"WITH {_PIECES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY parte) AS parte, md5(texto) AS texto_md5 FROM p WHERE texto <> ''",
     "chunks_per_doc_buckets": f"WITH {_PIECES} SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 20 THEN '6-20' WHEN n <= 100 THEN '21-100' ELSE '100+' END AS bucket, count(*) AS n_docs FROM (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id) GROUP BY 1",
@@ -412,6 +417,10 @@ SQL = {
     "chunk_ids_dedup": """WITH r AS (SELECT l_orderkey, 'art_' || (l_linenumber % 3) AS c, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber, l_partkey) AS n FROM lineitem)
  SELECT CASE WHEN n > 1 THEN c || '__' || n ELSE c END AS chunk_id, count(*) AS n, count(CASE WHEN n > 1 THEN 1 END) AS variantes FROM r GROUP BY 1""",
     "quality_flags": f"{_FLAGS} SELECT chunk_id, array_to_string(r, '|') AS razones, gravedad::BIGINT AS gravedad FROM s",
+    "chunk_reports": f"""{_FLAGS} SELECT k.chunk_id, md5(concat_ws(chr(10), '### `' || k.chunk_id || '`', chr(10) || '**Motivo:** muestra', chr(10) || '**Metadata:**', '- `tipo_chunk`: ' || k.tipo_chunk, '- `doc_id`: ' || k.doc_id,
+ '- `tipo_norma`: None', '- `numero`: ' || (k.parte + 10) || ' | `anio`: None', '- `parte`: ' || k.parte, '- `char_count`: ' || length(k.texto), '- `url_origen`: None',
+ CASE WHEN s.r IS NOT NULL THEN chr(10) || '**⚠️ Sospechas:** ' || array_to_string(s.r, ', ') END, chr(10) || '**Texto:**' || chr(10), '```', k.texto, '```' || chr(10), '**Veredicto del revisor:** [ OK / PROBLEMA: ... ]' || chr(10), '---' || chr(10))) AS md5
+FROM k LEFT JOIN s ON s.chunk_id = k.chunk_id""",
     "quality_reasons": rf"{_FLAGS} SELECT trim(regexp_replace(x, '\([^)]*\)', '', 'g')) AS razon, count(*) AS n FROM (SELECT unnest(r) AS x FROM s) GROUP BY 1",
     "quality_worst": f"{_FLAGS} SELECT chunk_id, gravedad::BIGINT AS gravedad FROM s ORDER BY gravedad DESC, chunk_id LIMIT 30",
     "repeal_events": f"""WITH {_CHUNKED} SELECT doc AS doc_id_derogatorio, 'ordenanza_' || (1000 + o_orderkey % 9000) || '_' || CASE WHEN o_orderkey % 100 >= 60 THEN 1900 + o_orderkey % 100 ELSE 2000 + o_orderkey % 100 END AS doc_id_derogado, 'DERÓGASE' AS verbo,
