@@ -26,6 +26,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SCORE_DIGITS = 6
 #: Documents of a range (a power of two), ranges that a query scores first, bytes of texts and postings of a task.
 RANGE, FIRST, TASK_BYTES, TASK_POSTINGS = 32, 16, 64 << 20, 2_000_000
+#: Documents up to which an index is scored in one step.
+WHOLE = 100_000
 
 
 @dataclass
@@ -164,19 +166,29 @@ def _part(tf: Column, dl: Column) -> Column:
 
 
 class Asked:
-    """The terms of a batch of queries (query_id, query) and the bounds of all ranges for them, both stored; several lists can be cut from them."""
+    """The terms of a batch of queries (query_id, query) and the bounds of all ranges for them, both stored; several lists can be cut from them.
+
+    An index of at most WHOLE documents has so few ranges that bounds save less than they cost: it is scored in one step, with the same result.
+    """
 
     def __init__(self, index: Bm25, queries: DataFrame):
         self.index, spark = index, queries.sparkSession
-        path = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
+        self.path, self._bounds = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}", None
         terms = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
         terms = terms.join(index.idf, "term").crossJoin(F.broadcast(index.stats.select("avgdl"))).select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl")
-        terms.write.parquet(f"{path}/terms")
-        self.terms = spark.read.parquet(f"{path}/terms")
-        held = index.table("blocks").select("segment", "term", "range", "n", "max_tf", "min_dl").join(self.terms, "term")
-        most = F.greatest(F.col("w"), F.lit(0.0)) * _part(F.col("max_tf"), F.col("min_dl"))
-        held.groupBy("query_id", "segment", "range").agg(F.sum(most).alias("bound"), F.sum("n").alias("n")).write.parquet(f"{path}/bounds")
-        self.bounds = spark.read.parquet(f"{path}/bounds")
+        terms.write.parquet(f"{self.path}/terms")
+        self.terms = spark.read.parquet(f"{self.path}/terms")
+        self.whole = index.stats.select("n").first()[0] <= WHOLE
+
+    @property
+    def bounds(self) -> DataFrame:
+        """query_id, segment, range, bound, n: stored once asked for."""
+        if self._bounds is None:
+            held = self.index.table("blocks").select("segment", "term", "range", "n", "max_tf", "min_dl").join(self.terms, "term")
+            most = F.greatest(F.col("w"), F.lit(0.0)) * _part(F.col("max_tf"), F.col("min_dl"))
+            held.groupBy("query_id", "segment", "range").agg(F.sum(most).alias("bound"), F.sum("n").alias("n")).write.parquet(f"{self.path}/bounds")
+            self._bounds = self.index.spark.read.parquet(f"{self.path}/bounds")
+        return self._bounds
 
     def scores(self, cells: DataFrame | None = None) -> DataFrame:
         """query_id, chunk_id, score of every live document that shares a term with the query, in the given ranges (query_id, segment, range) or in all."""
@@ -198,7 +210,7 @@ class Asked:
 
     def topk(self, k: int, passing: DataFrame | None = None) -> DataFrame:
         """query_id, chunk_id, score, rank of the k best with a positive score; of those in ``passing`` (chunk_id), if given."""
-        cells = self.wanted(k, passing).drop("n")
+        cells = None if self.whole else self.wanted(k, passing).drop("n")
         return ranked(kept_by(self.scores(cells), passing), [F.desc("score"), F.asc("chunk_id")], k)
 
     def postings(self, k: int) -> DataFrame:

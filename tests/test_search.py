@@ -29,6 +29,7 @@ def rows(df):
 
 def test_top_k_by_bounds_equals_scoring_everything(spark, monkeypatch):
     monkeypatch.setattr(lexical, "RANGE", 8)
+    monkeypatch.setattr(lexical, "WHOLE", 0)
     monkeypatch.setattr(lexical, "FIRST", 3)
     index, q = search.bm25_index(spark.createDataFrame(texts(), TEXTS)), asked(spark)
     by = lexical.Asked(index, q)
@@ -44,6 +45,7 @@ def test_top_k_by_bounds_equals_scoring_everything(spark, monkeypatch):
 
 def test_the_postings_of_a_frequent_term_lie_in_several_files(spark, monkeypatch):
     monkeypatch.setattr(lexical, "RANGE", 8)
+    monkeypatch.setattr(lexical, "WHOLE", 0)
     index = search.bm25_index(spark.createDataFrame([(i, "común") for i in range(400)] + [(1000 + i, f"otra{i}") for i in range(3)], TEXTS))
     held = index.table("blocks").where("term = 'común'").select(F.input_file_name().alias("f"), "n")
     assert held.select("f").distinct().count() > 2 and held.agg(F.sum("n")).first()[0] == 400
@@ -51,6 +53,7 @@ def test_the_postings_of_a_frequent_term_lie_in_several_files(spark, monkeypatch
 
 def test_upserts_deletes_and_compaction_equal_a_rebuild(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "RANGE", 8)
+    monkeypatch.setattr(lexical, "WHOLE", 0)
     first, q = texts(), asked(spark)
     index = search.bm25_index(spark.createDataFrame(first, TEXTS), str(tmp_path / "index"))
     old = rows(search.sparse_topk(index, q, 20))
