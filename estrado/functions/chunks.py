@@ -91,7 +91,7 @@ def synthetic_document(kind: Column, number: Column, year: Column, url: Column,
     """Text of an acquired norm with a header that ``parse.header`` reads. Its unid isn't hexadecimal, so it is not one for the parser."""
     n, y = number.cast("string"), year.cast("string")
     unid = F.concat_ws("-", F.lit("SCRAPER"), F.upper(F.substring(kind, 1, 3)), n, y)
-    lines = [
+    lines = [  # fixed values: the header's lines
         F.concat(F.lit("# UNID: "), unid), F.concat(F.lit("# Descargado-de: "), url), F.concat(F.lit("# Fecha-descarga: "), fetched), F.lit(""),
         F.concat(kind, F.lit(" N° "), n, F.lit(", Año "), y), F.lit(""), F.concat(F.lit("Resumen: "), summary), F.lit(""), F.lit("---"), text,
     ]

@@ -144,6 +144,7 @@ def annexes(t: Column) -> Column:
         return F.struct(
             num.alias("num"), roman(num).alias("num_int"), strip(head).alias("label"), strip(text).alias("texto"), p["start"].alias("start"), (p["start"] + size).alias("end"), size.alias("char_count"),
             (state == "real").alias("tiene_contenido"), state.alias("estado_contenido"),
+            # fixed values: the two reasons
             F.when(state == "vacio", f"contenido digitalizado < {EMPTY_ANNEX} chars").otherwise("contenido normativo presente").alias("motivo_clasificacion"))
 
     def one(p: Column) -> Column:
