@@ -85,17 +85,21 @@ def metadata_json(df: DataFrame) -> DataFrame:
 
 
 def history_rows(history: DataFrame, asked: DataFrame, now: str) -> DataFrame:
-    """asked (username, query, ord) -> rows to append: id goes on from the largest in the order of ``ord``, fecha is ``now``.
+    """asked (username, query, ord) -> rows to append: id goes on from the largest in the order of ``ord``, fecha is ``now``. For one writer; see ``history.History``."""
+    return numbered_rows(asked, history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0], now)
 
-    Numbers are counted by range of ``ord``, each in a task of its own, and then offset by the ranges before.
+
+def numbered_rows(asked: DataFrame, top: int, now: str, order: str = "ord") -> DataFrame:
+    """asked (username, query, order) -> id, username, query, fecha: ids go on from ``top``.
+
+    Numbers are counted by range of ``order``, each in a task of its own, and then offset by the ranges before.
     """
-    top = history.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     parts = f"{shared_folder(asked.sparkSession)}/asked-{uuid.uuid4().hex}"
-    asked.repartitionByRange("ord").withColumn("_p", F.spark_partition_id()).write.parquet(parts)
+    asked.repartitionByRange(order).withColumn("_p", F.spark_partition_id()).write.parquet(parts)
     rows = asked.sparkSession.read.parquet(parts)
     sizes = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row per range
-    n = F.row_number().over(Window.partitionBy("_p").orderBy("ord"))
+    n = F.row_number().over(Window.partitionBy("_p").orderBy(order))
     numbered = rows.withColumn("_n", n).join(F.broadcast(before), "_p")
     return numbered.select((F.lit(top) + F.col("_before") + F.col("_n")).cast("long").alias("id"), "username", "query", F.lit(now).alias("fecha"))
 

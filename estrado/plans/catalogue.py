@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import charter, norms, search
+from . import charter, norms, search, texts
 
-MODULES = (search, norms, charter)
+MODULES = (search, norms, charter, texts)
 
 
 def queries() -> dict:
