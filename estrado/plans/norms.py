@@ -50,7 +50,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
 def _norms(spark: SparkSession, d: str) -> DataFrame:
     # orders may be one small file, while the texts made from it are long: the rows are spread before they grow
     o = _orders(spark, d).select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority").repartition(spark.sparkContext.defaultParallelism)
-    return o.select(F.col("o_orderkey").alias("id"), F.expr(_RAW).alias("contenido"))
+    return o.select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.expr(_RAW))).alias("contenido"))  # made once, not in each expression that reads it
 
 
 def header_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +64,8 @@ def body_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_split(spark: SparkSession, d: str) -> DataFrame:
-    b = _norms(spark, d).select("id", parse.articles(parse.body(F.col("contenido"))).alias("a"))
-    return b.select("id", F.posexplode("a").alias("i", "x")).select("id", F.col("x.num").cast("long").alias("num"), "x.label", F.md5("x.texto").alias("texto_md5"), F.col("x.start").cast("long").alias("inicio"))
+    b = _norms(spark, d).select("id", F.explode(F.array(parse.body(F.col("contenido")))).alias("t"))
+    return b.select("id", F.explode(parse.articles(F.col("t"))).alias("x")).select("id", F.col("x.num").cast("long").alias("num"), "x.label", F.md5("x.texto").alias("texto_md5"), F.col("x.start").cast("long").alias("inicio"))
 
 
 def annex_split_classify(spark: SparkSession, d: str) -> DataFrame:
