@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -54,6 +54,24 @@ TEMPLATES = (
     ("Unlicense", "sentence", "This is free and unencumbered software released into the public domain."),
 )
 
+#: What follows the conditions in whole licences (public texts).
+BSD_DISCLAIMER = "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+ISC_DISCLAIMER = "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."
+ZLIB_WARRANTY = "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."
+ZLIB_RESTRICTIONS = "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+
+
+def _whole() -> tuple:
+    """Whole bodies of the short licences, so that one of them is one stretch and not a stretch for each paragraph."""
+    text = {(licence, name): t for licence, name, t in TEMPLATES}
+    return (
+        ("MIT", "whole", f"{text['MIT', 'permission']} {text['MIT', 'disclaimer']}"), ("BSD-3-Clause", "whole", f"{text['BSD-3-Clause', 'conditions']} {BSD_DISCLAIMER}"),
+        ("BSD-2-Clause", "whole", f"{text['BSD-2-Clause', 'conditions']} {BSD_DISCLAIMER}"), ("ISC", "whole", f"{text['ISC', 'permission']} {ISC_DISCLAIMER}"),
+        ("Zlib", "whole", f"{ZLIB_WARRANTY} {text['Zlib', 'permission']} {ZLIB_RESTRICTIONS}"))
+
+
+TEMPLATES += _whole()
+
 WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -85,7 +103,8 @@ class Templates:
 
     def stretches(self, bigrams: np.ndarray) -> Iterator[tuple[str, str, float, int, int]]:
         """(licence, template, Dice, first bigram, last bigram): of overlapping stretches over the threshold the best, ties to the
-        leftmost and shortest; of templates that claim the same place the one with the highest Dice, ties to the longest and then to the first listed."""
+        leftmost and shortest; of templates that claim the same place the one with the highest Dice, ties to the longest and then to the first listed.
+        A stretch that contains several of those taken, all of its own licence, replaces them: a whole licence with a name put in is one."""
         at = np.flatnonzero(self.any[bigrams])
         found = []
         for rank, (licence, name, have, size, need, span, of) in enumerate(self.items):
@@ -110,12 +129,19 @@ class Templates:
         found.sort()
         starts: list[int] = []  # of what is taken, ascending, and the ends beside them: these stretches don't overlap
         ends: list[int] = []
+        held: list[tuple[int, float]] = []
         for dice, _, rank, a, b in found:
             k = bisect_left(starts, a)
             if (k == len(starts) or starts[k] > b) and (k == 0 or ends[k - 1] < a):
                 starts.insert(k, a)
                 ends.insert(k, b)
-                yield *self.items[rank][:2], -dice, a, b
+                held.insert(k, (rank, -dice))
+        for dice, _, rank, a, b in found:
+            lo, hi = bisect_left(ends, a), bisect_right(starts, b)
+            if hi - lo > 1 and a <= starts[lo] and ends[hi - 1] <= b and all(self.items[r][0] == self.items[rank][0] for r, _ in held[lo:hi]):
+                starts[lo:hi], ends[lo:hi], held[lo:hi] = [a], [b], [(rank, -dice)]
+        for (rank, dice), a, b in zip(held, starts, ends, strict=True):
+            yield *self.items[rank][:2], dice, a, b
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, least: float = 0.8) -> DataFrame:

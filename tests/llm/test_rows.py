@@ -343,6 +343,67 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_whole_licenses_are_one_stretch(spark):
+    whole = {i: t for i, n, t in licenses.TEMPLATES if n == "whole"}
+    assert set(whole) == {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib"}
+    rows = [(k, f"Copyright (c) 20{k} Someone\n\n{t.upper()}\n\nimport this") for k, t in enumerate(whole.values(), 10)]
+    named = whole["MIT"].replace("authors or copyright holders", "ACME CORP").replace("Software", "Library")
+    got = {}
+    for r in licenses.scan(docs(spark, [*rows, (1, named)])).collect():
+        got.setdefault(r["doc_id"], []).append((r["license_id"], r["template"]))
+    assert got == {**{k: [(licence, "whole")] for k, licence in enumerate(whole, 10)}, 1: [("MIT", "whole")]}
+
+
+def plain_scan(text, templates, least=0.8):
+    """All windows of a text against all templates, best first; what overlaps a better one goes, and a window around several of its own licence replaces them."""
+    words = [(m.group(), m.start(), m.end()) for m in licenses.WORDS.finditer(text.lower())]
+    have = [(a[0], b[0]) for a, b in itertools.pairwise(words)]
+    found = []
+    for rank, (licence, name, t) in enumerate(templates):
+        want = list(itertools.pairwise(licenses.WORDS.findall(t.lower())))
+        for i in range(len(have)):
+            left, common = list(want), 0
+            for j in range(i, len(have)):
+                if have[j] in left:
+                    left.remove(have[j])
+                    common += 1
+                dice = 2 * common / (j - i + 1 + len(want))
+                if dice >= least - 1e-12:
+                    found.append((-dice, -len(want), rank, i, j))
+    taken = []
+    for dice, _, rank, i, j in sorted(found):
+        if all(j < a or b < i for *_, a, b in taken):
+            taken.append((templates[rank][0], templates[rank][1], -dice, i, j))
+    for dice, _, rank, i, j in sorted(found):
+        over = [x for x in taken if not (j < x[3] or x[4] < i)]
+        if len(over) > 1 and all(x[0] == templates[rank][0] and i <= x[3] and x[4] <= j for x in over):
+            taken = [x for x in taken if x not in over] + [(templates[rank][0], templates[rank][1], -dice, i, j)]
+    return sorted((licence, name, round(dice, 9), words[i][1], words[j + 1][2]) for licence, name, dice, i, j in taken)
+
+
+def test_license_scan_against_all_windows(spark):
+    rng = random.Random(11)
+    some = [t for t in licenses.TEMPLATES if t[1] in ("statement", "statement-2", "sentence")]
+    some.append(("MIT", "both", f"{some[0][2]} {some[1][2]}"))  # contains two of its own licence
+    rows = []
+    for k in range(60):
+        words = []
+        for _ in range(rng.randrange(4)):
+            words += [rng.choice(["the", "License", "MIT", "under", "x,", "y"]) for _ in range(rng.randrange(6))]
+            said = rng.choice(some)[2].split()
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(said))
+                said[at : at + rng.randrange(2)] = rng.choice([["z"], [], [said[at], said[at]]])
+            words += said
+        rows.append((k, " ".join(words)))
+    got = {}
+    for r in licenses.scan(docs(spark, rows), tuple(some)).collect():
+        got.setdefault(r["doc_id"], []).append((r["license_id"], r["template"], round(r["dice"], 9), r["start"], r["end"]))
+    want = {k: plain_scan(t, some) for k, t in rows}
+    assert sum(map(len, want.values())) > 40
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
 def test_license_bounds_lose_nothing():
     """Every stretch that a full search finds is found, at least in part."""
     rng = random.Random(4)
