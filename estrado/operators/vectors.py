@@ -196,11 +196,11 @@ def probes_for(index: Ivf, queries: DataFrame, k: int, recall: float = 0.95) ->
     return len(cells)
 
 
-def ivf_index(chunks: DataFrame, path: str | None = None, cells: int | None = None, rounds: int = 5) -> Ivf:
+def ivf_index(chunks: DataFrame, path: str | None = None, cells: int | None = None, rounds: int = 5, trained: int | None = TRAINED) -> Ivf:
     """Builds an inverted file of chunks (chunk_id, embedding, any more), whose vectors have one length (others, null and zero ones are in no cell).
 
     ``cells`` is the square root of the number of vectors by default, and at most MOST_CELLS. Centroids start from the vectors first in the order of md5(chunk_id) and are moved ``rounds``
-    times to the mean direction of their cell; they are trained on about TRAINED vectors a cell, drawn by that hash (all, if there are fewer). Every vector is filed.
+    times to the mean direction of their cell; they are trained on about ``trained`` vectors a cell, drawn by that hash (all, if there are fewer or ``trained`` is None). Every vector is filed.
     """
     spark = chunks.sparkSession
     path = (path or f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}").rstrip("/")
@@ -209,12 +209,12 @@ def ivf_index(chunks: DataFrame, path: str | None = None, cells: int | None = No
     cells = min(MOST_CELLS, cells or max(1, int(n**0.5)))
     vectors = chunks.where(F.size("embedding") == dim).withColumn("embedding", F.col("embedding").cast("array<double>")).where("exists(embedding, x -> x <> 0) and forall(embedding, x -> x is not null and not isnan(x))")
     drawn = F.md5(F.col("chunk_id").cast("string"))
-    share = min(1.0, cells * TRAINED / max(1, n))
-    trained = vectors.select("chunk_id", "embedding") if share == 1 else vectors.where(drawn < F.lit(f"{int(share * 0xFFFFFFFF):08x}")).select("chunk_id", "embedding")
+    share = min(1.0, cells * trained / max(1, n)) if trained else 1.0
+    sample = vectors.select("chunk_id", "embedding") if share == 1 else vectors.where(drawn < F.lit(f"{int(share * 0xFFFFFFFF):08x}")).select("chunk_id", "embedding")
     first = vectors.select("embedding", drawn.alias("h")).orderBy("h").limit(cells).toArrow()  # at most MOST_CELLS
     held = unit(first.column("embedding").combine_chunks(), dim) if first.num_rows else np.zeros((0, dim))
     for _ in range(rounds if len(held) else 0):
-        sums = trained.mapInArrow(_cell_sums(spark.sparkContext.broadcast(held), dim), "cell int, sums array<double>")
+        sums = sample.mapInArrow(_cell_sums(spark.sparkContext.broadcast(held), dim), "cell int, sums array<double>")
         total = sums.select("cell", F.posexplode("sums").alias("i", "x")).groupBy("cell", "i").agg(F.sum("x").alias("x")).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("s"))
         for r in total.select("cell", F.transform("s", lambda e: e["x"]).alias("s")).collect():  # cells
             s = np.array(r["s"])
