@@ -50,11 +50,16 @@ def file_events(files: DataFrame) -> DataFrame:
 
 def unify(text: DataFrame, files: DataFrame) -> DataFrame:
     """All text events, told whether a file name confirms them, and those file events whose norm no text repeals; fuentes lists where each is from."""
-    named = files.select("doc_id_derogado").distinct().withColumn("_f", F.lit(True))
-    t = text.join(named, "doc_id_derogado", "left")
-    t = t.withColumn("fuentes", F.when(F.col("_f"), F.array(F.lit("texto"), F.lit("filename"))).otherwise(F.array(F.lit("texto")))).drop("_f")
-    only = files.join(text.select("doc_id_derogado").distinct(), "doc_id_derogado", "left_anti").withColumn("fuentes", F.array(F.lit("filename"))).drop("fuente")
-    return t.unionByName(only, allowMissingColumns=True)
+    # one full join, so that texts are searched once; a norm's files (few) are one row of it, which comes back as its rows where no text repeals the norm
+    named = files.drop("fuente").groupBy("doc_id_derogado").agg(F.collect_list(F.struct(*(c for c in files.columns if c not in ("doc_id_derogado", "fuente")))).alias("_files"))
+    j = text.withColumn("_t", F.lit(True)).join(named, "doc_id_derogado", "full_outer")
+    kept = F.when(F.col("_t"), F.slice("_files", 1, 0)).otherwise(F.col("_files"))
+    said = F.when(F.col("_t") & F.col("_files").isNotNull(), F.array(F.lit("texto"), F.lit("filename"))).when(F.col("_t"), F.array(F.lit("texto"))).otherwise(F.array(F.lit("filename")))
+    j = j.withColumn("fuentes", said).select("*", F.explode_outer(kept).alias("_file"))
+    more = [c for c in files.columns if c not in ("doc_id_derogado", "fuente")]
+    both = [c for c in more if c in text.columns]
+    cols = [F.coalesce(c, f"_file.{c}").alias(c) if c in both else F.col(c) for c in text.columns]
+    return j.select(*cols, "fuentes", *(F.col(f"_file.{c}").alias(c) for c in more if c not in both))
 
 
 def compare(text: DataFrame, files: DataFrame) -> DataFrame:

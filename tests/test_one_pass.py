@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from estrado.functions import parse, text
-from estrado.operators import chunking
+from estrado.operators import chunking, repeal
 
 
 def _plan(df):
@@ -36,3 +36,12 @@ def test_short_cuts_give_what_the_patterns_give(spark):
     body = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "-{3,}", "-"), r"\n\s*\n\s*\n+", "\n\n"), white, "")
     for r in d.select(old.alias("a"), new.alias("b"), F.regexp_replace("t", white, "").alias("c"), text.strip(F.col("t")).alias("d"), body.alias("e"), parse.body(F.col("t")).alias("f")).collect():
         assert (r["a"], r["c"], r["e"]) == (r["b"], r["d"], r["f"])
+
+
+def test_texts_and_files_are_unified_in_one_join(spark):
+    t = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), (None, "n")], "doc_id_derogado string, verbo string")
+    f = spark.createDataFrame([("a", "1.txt", "filename"), ("a", "2.txt", "filename"), ("c", "3.txt", "filename"), ("c", "4.txt", "filename"), (None, "5.txt", "filename")], "doc_id_derogado string, nombre_archivo string, fuente string")
+    u = repeal.unify(t, f)
+    assert {(r["doc_id_derogado"], r["verbo"], r["nombre_archivo"], "+".join(r["fuentes"])) for r in u.collect()} == {
+        ("a", "x", None, "texto+filename"), ("a", "y", None, "texto+filename"), ("b", "z", None, "texto"), (None, "n", None, "texto"), ("c", None, "3.txt", "filename"), ("c", None, "4.txt", "filename"), (None, None, "5.txt", "filename")}
+    assert u.count() == 7 and u._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
