@@ -127,3 +127,22 @@ def test_several_lists_in_one_pass(spark):
     for i, (k, where) in enumerate(((3, {"lang": "odd"}), (7, None))):
         assert sorted(map(tuple, both.where(F.col("list") == i).drop("list").collect())) == sorted(map(tuple, vectors.dense_topk(held, queries, k, where).collect()))
     assert all(math.isfinite(r["similitud"]) for r in both.collect())
+
+
+def test_a_scan_of_documents_equals_their_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "RANGE", 8)
+    monkeypatch.setattr(lexical, "TOGETHER", 2)
+    monkeypatch.setattr(lexical, "STEP", 50)
+    index = search.bm25_index(spark.createDataFrame(texts(), TEXTS), str(tmp_path / "index"))
+    batch = spark.createDataFrame([(f"{q}{i}", t) for i in range(20) for q, t in (("a", "común g0w1 g0w2"), ("b", "común z3 z3"), ("c", "g3w0 z1 nada"), ("d", ""), ("e", "z1 z2 z3 z4"))], "query_id string, query string")
+    assert not lexical.Asked(index, asked(spark)).scanned
+    odd = spark.createDataFrame([(i, "odd" if i % 2 else "even") for i in range(300)], "chunk_id long, lang string")
+    for now in (index, index.upsert(spark.createDataFrame([(3, "g0w1 nueva nueva"), (900, "g3w0 z1"), (901, None)], TEXTS)).delete(spark.createDataFrame([(5,), (12345,)], "chunk_id long"))):
+        by = lexical.Asked(now, batch)
+        assert by.scanned
+        for k in (1, 5, 50, 1000):
+            got = rows(search.sparse_topk(now, batch, k))
+            assert not (tmp_path / "index" / "blocks" / f"segment={now.last}").exists() or k > 1
+            assert got == rows(lexical.ranked(by.scores(), [F.desc("score"), F.asc("chunk_id")], k))
+        want = lexical.kept_by(by.scores(), odd.where("lang = 'odd'").select("chunk_id"))
+        assert rows(search.sparse_topk(now, batch, 5, odd, {"lang": "odd"})) == rows(lexical.ranked(want, [F.desc("score"), F.asc("chunk_id")], 5))
