@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cite import numbered_context, sources
 from ..functions.text import llm_cost_usd
-from .search import Bm25, two_phase
+from .search import Bm25, two_phase, with_texts
 
 #: Texts of an answer.
 DISCLAIMER = "Esta respuesta es orientativa y no constituye asesoramiento legal. Verifique siempre el texto oficial de la norma."
@@ -55,9 +55,11 @@ def with_usage(answers: DataFrame, tokens_in: str = "tokens_in", tokens_out: str
     return told.observe(totals, F.count(F.lit(1)).alias("respuestas"), *sums), totals
 
 
-def answer(chunks: DataFrame, index: Bm25, queries: DataFrame, synthesizer: Callable[[Column, Column], Column], n_chunks: int = 12, extra: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """queries (query_id, query, vector) -> answers (query_id, respuesta, contexto) and sources. Queries without hits get a fixed text."""
+def answer(chunks: DataFrame, index: Bm25, queries: DataFrame, synthesizer: Callable[[Column, Column], Column], n_chunks: int = 12, extra: dict | None = None, texts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """queries (query_id, query, vector) -> answers (query_id, respuesta, contexto) and sources. Queries without hits get a fixed text. ``texts`` (chunk_id, texto) has the texts, if ``chunks`` has none."""
     hits = two_phase(chunks, index, queries, n_chunks, extra)
+    if texts is not None:
+        hits = with_texts(hits, texts, queries, n_chunks)
     told = queries.select("query_id", "query").join(numbered_context(hits), "query_id", "left")
     text = F.when(F.col("contexto").isNull(), NOTHING).otherwise(F.concat(synthesizer(F.col("query"), F.col("contexto")), F.lit("\n\n" + DISCLAIMER)))
     return told.select("query_id", text.alias("respuesta"), "contexto"), sources(hits)

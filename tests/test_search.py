@@ -146,3 +146,13 @@ def test_a_scan_of_documents_equals_their_postings(spark, tmp_path, monkeypatch)
             assert got == rows(lexical.ranked(by.scores(), [F.desc("score"), F.asc("chunk_id")], k))
         want = lexical.kept_by(by.scores(), odd.where("lang = 'odd'").select("chunk_id"))
         assert rows(search.sparse_topk(now, batch, 5, odd, {"lang": "odd"})) == rows(lexical.ranked(want, [F.desc("score"), F.asc("chunk_id")], 5))
+
+
+def test_texts_are_joined_to_hits_only(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(i, f"palabra número {i} de {i % 7}", "es", "src2") for i in range(60)], "doc_id long, text string, lang string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, [float(i % 5), 1.0], 0) for i in range(60)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(1, "palabra número 3"), (2, "de 5")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    assert "texto" not in plans._chunks(spark, d).columns and plans._chunks(spark, d).count() == 60
+    assert plans.rag_answer(spark, d).count() == 2 and plans.hybrid_search(spark, d).where("texto_md5 is not null").count() == 20
