@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from estrado.functions import parse, text
-from estrado.operators import chunking, repeal
+from estrado.operators import charter, chunking, repeal
+from estrado.plans import charter as plans
 
 
 def _plan(df):
@@ -45,3 +46,21 @@ def test_texts_and_files_are_unified_in_one_join(spark):
     assert {(r["doc_id_derogado"], r["verbo"], r["nombre_archivo"], "+".join(r["fuentes"])) for r in u.collect()} == {
         ("a", "x", None, "texto+filename"), ("a", "y", None, "texto+filename"), ("b", "z", None, "texto"), (None, "n", None, "texto"), ("c", None, "3.txt", "filename"), ("c", None, "4.txt", "filename"), (None, None, "5.txt", "filename")}
     assert u.count() == 7 and u._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_charters_are_cut_in_one_pass(spark):
+    t = "\nPRIMERA PARTE\nUna\nTÍTULO I\nDe todo\nCAPÍTULO II: Dos\nArtículo 1: a.\nSECCIÓN I: s\nArtículo 2: b.\nTÍTULO IV\nOtro\nArtículo 3: c.\nCAPÍTULO I: Uno\nArtículo 4: d.\nSEGUNDA PARTE\nDos\nArtículo 5: e.\nSECCIÓN II: z\nArtículo 6: f."
+    d = spark.createDataFrame([("a", t), ("b", ""), ("c", None), ("d", "\nArtículo 1: x")], "doc_id string, texto string")
+    assert not any(word in _plan(charter.chunks(d)) for word in ("Exchange", "Join", "Window", "Sort", "Union"))
+    for df in (charter.chunks(d), charter.structure(d)):
+        assert "Union" not in _plan(df)
+    want = charter.place(charter.articles(d), charter.structure(d)).orderBy("num").where("doc_id = 'a'")
+    levels = [f"{level}_{x}" for level in charter.LEVELS for x in ("num", "nombre")]
+    got = charter.chunks(d.where("doc_id = 'a'")).orderBy("articulo_num")
+    assert [tuple(r) for r in got.select(*levels).collect()] == [tuple(r) for r in want.select(*levels).collect()] and got.count() == 6
+    assert charter.chunks(d).count() == 7
+
+
+def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(plans, "ROWS", 10)
+    assert plans.dealt(spark.range(200)).rdd.getNumPartitions() == 20 and plans.dealt(spark.range(5)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
