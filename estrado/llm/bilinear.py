@@ -12,8 +12,9 @@ A word of a class has the class's probability times its own share of it, by its
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -31,8 +32,8 @@ END = ""
 #: Words of the model, words whose counts the tasks hold (others are joined), size of a vector, noise words of a batch, tokens of a batch, rounds.
 WORDS, HEAD, SIZE, NOISE, BATCH, ROUNDS = 3839, 1 << 18, 32, 128, 512, 3
 CLASSES = 256
-#: Distinct words that a task counts at once, bytes of a text that are cut up at once, tokens that are scored at once.
-HELD, PIECE, FLOW = 500_000, 1 << 22, 1 << 17
+#: Distinct words that a task counts at once, bytes of a text that are cut up at once, tokens that are learned from at once, and scored at once.
+HELD, PIECE, FLOW, SCORED = 500_000, 1 << 22, 1 << 17, 1 << 14
 RATE, SEED = 0.1, 42
 LN10 = float(np.log(10))
 
@@ -93,6 +94,11 @@ class Vocabulary:
     def size(self) -> int:
         return self.words + CLASSES + 1
 
+    @cached_property
+    def numbers(self) -> Numbers:
+        """Of all held words; made once by a worker, for all of its tasks."""
+        return Numbers(self)
+
     def frequencies(self) -> np.ndarray:
         return np.concatenate([self.count[: self.words], self.class_count, [self.ends]]).astype(float) + 0.5
 
@@ -154,20 +160,28 @@ class Model:
 
 def _add(rows: np.ndarray, *parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
     """Adagrad with a rate for each row: gradients of rows that may repeat are summed first. parts: gradients, what they change, and their squares so far."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    order = np.argsort(rows.astype(np.uint16) if len(parts[0][1]) <= 1 << 16 else rows, kind="stable")  # numbers of two bytes are sorted by radix
+    rows = rows.take(order)
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    rows = rows[first]
+    rows = rows.take(first)
     for by, held, seen in parts:
-        total = np.add.reduceat(by[order], first, axis=0)
-        square = seen[rows] + (np.einsum("nd,nd->n", total, total) / total.shape[1] if total.ndim > 1 else total**2)
+        by = by.take(order, axis=0)
+        # two floats are added as one complex number, which halves the calls of the sum
+        total = np.add.reduceat(by.view(np.complex64) if by.ndim > 1 and by.shape[1] % 2 == 0 else by, first, axis=0).view(np.float32)
+        square = np.einsum("nd,nd->n", total, total) / total.shape[1] if total.ndim > 1 else total**2
+        square += seen.take(rows)
         seen[rows] = square
         rate = RATE / np.sqrt(square + 1e-8)
-        held[rows] += total * (rate[:, None] if total.ndim > 1 else rate)
+        total *= rate[:, None] if total.ndim > 1 else rate
+        total += held.take(rows, axis=0)
+        held[rows] = total
 
 
 class Trainer:
-    """Noise-contrastive estimation over a stream of tokens: one step for BATCH tokens, with NOISE words drawn for all of them."""
+    """Noise-contrastive estimation over a stream of tokens: one step for BATCH tokens, with NOISE words drawn for all of them.
+
+    A word that is drawn more than once is computed once and counts as often as it was drawn.
+    """
 
     def __init__(self, model: Model, frequencies: np.ndarray, seed: int):
         self.m = Model(*(x.copy() for x in (model.context, model.target, model.bias, model.near, model.far)))
@@ -179,45 +193,60 @@ class Trainer:
 
     def steps(self, ids: np.ndarray, before: int) -> None:
         """Learns from a stream of ids: all but the first two, and but for those that stand before a text, are tokens."""
+        ids = ids.astype(np.intp)  # as NumPy takes rows
         at = np.flatnonzero(ids[2:] != before) + 2
+        drawn = np.searchsorted(self.cut, np.sort(self.rng.random((-(-len(at) // BATCH), NOISE)), axis=1))
+        np.minimum(drawn, len(self.cut) - 1, out=drawn)
         with np.errstate(over="ignore"):  # an infinite odd is a probability of 0
-            for lo in range(0, len(at), BATCH):
+            for lo, noise in zip(range(0, len(at), BATCH), drawn, strict=True):
                 i = at[lo : lo + BATCH]
-                self.step(ids[i], ids[i - 1], ids[i - 2])
+                self.step(ids[i], ids[i - 1], ids[i - 2], noise)
         for used, i in ((self.used[0], at - 1), (self.used[0], at - 2), (self.used[1], at)):
             used += np.bincount(ids[i], minlength=len(used))
 
-    def step(self, w: np.ndarray, a: np.ndarray, e: np.ndarray) -> None:
+    def step(self, w: np.ndarray, a: np.ndarray, e: np.ndarray, drawn: np.ndarray) -> None:
+        """w: tokens, a: those before, e: those before these, drawn: noise words, sorted."""
         m = self.m
-        near, far = m.context[a], m.context[e]
-        h = near * m.near + far * m.far
-        noise = np.minimum(np.searchsorted(self.cut, self.rng.random(NOISE)), len(m.bias) - 1)
-        own, other = m.target[w], m.target[noise]
-        good = np.einsum("nd,nd->n", h, own) + m.bias[w] - self.offset[w]
-        bad = h @ other.T + (m.bias[noise] - self.offset[noise])
-        g, gn = 1 / (1 + np.exp(good)), np.exp(np.negative(bad, out=bad), out=bad)
+        near, far = m.context.take(a, axis=0), m.context.take(e, axis=0)
+        h = near * m.near
+        h += far * m.far
+        first = np.flatnonzero(np.concatenate([[True], drawn[1:] != drawn[:-1], [True]]))
+        times, noise = (first[1:] - first[:-1]).astype(np.float32), drawn.take(first[:-1])
+        own, other = m.target.take(w, axis=0), m.target.take(noise, axis=0)
+        good = np.einsum("nd,nd->n", h, own)
+        good += m.bias.take(w) - self.offset.take(w)
+        g, gn = 1 / (1 + np.exp(good)), h @ -other.T
+        gn += self.offset.take(noise) - m.bias.take(noise)
+        np.exp(gn, out=gn)
         gn += 1
         np.divide(-1, gn, out=gn)
-        back = g[:, None] * own + gn @ other
-        near_by, far_by = (back * near).sum(axis=0), (back * far).sum(axis=0)
-        _add(np.concatenate([w, noise]), (np.concatenate([g[:, None] * h, gn.T @ h]), m.target, self.seen[1]), (np.concatenate([g, gn.sum(axis=0)]), m.bias, self.seen[2]))
+        back = gn @ (times[:, None] * other)
+        back += g[:, None] * own
+        near_by, far_by = np.einsum("nd,nd->d", back, near), np.einsum("nd,nd->d", back, far)
+        by_noise = times[:, None] * (gn.T @ h), times * (np.ones(len(w), np.float32) @ gn)
+        _add(np.concatenate([w, noise]), (np.concatenate([g[:, None] * h, by_noise[0]]), m.target, self.seen[1]), (np.concatenate([g, by_noise[1]]), m.bias, self.seen[2]))
         _add(np.concatenate([a, e]), (np.concatenate([back * m.near, back * m.far]), m.context, self.seen[0]))
         for place, by, i in ((m.near, near_by, 0), (m.far, far_by, 1)):
             self.places[i, 0] += (by**2).mean()
             place += 0.3 * RATE * by / np.sqrt(self.places[i, 0] + 1e-8)
 
 
+#: Marks in a stream of words, which no word can be: the end of a text, and what stands before one, twice.
+AFTER, BEFORE = END.encode(), b" "
+
+
 class Numbers:
-    """Words of texts as the model's numbers."""
+    """Words of texts as the model's numbers, by the ranks of all held words or, to learn from, of the model's own ones: a table of these stays in a core's cache."""
 
-    def __init__(self, v: Vocabulary):
-        self.rank = {w: i for i, w in enumerate(v.names)}
-        self.number = np.array([i if i < v.words else v.words + w[-1] for i, w in enumerate(v.names)] or [0], np.int32)
+    def __init__(self, v: Vocabulary, most: int | None = None):
         self.first_class, self.end, self.before = v.words, v.words + CLASSES, v.words + CLASSES + 1
+        names = v.names[:most]
+        self.rank = {w: i for i, w in enumerate([*names, AFTER, BEFORE])}
+        self.number = np.array([*(i if i < v.words else v.words + w[-1] for i, w in enumerate(names)), self.end, self.before], np.int32)
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
-        """The rank of each word, -1 for those whose count isn't held."""
-        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+        """The rank of each word, -1 for those that aren't held. The marks have the two ranks after all words."""
+        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
 
     def of(self, words: list[bytes], ranks: np.ndarray) -> np.ndarray:
         ids = self.number[ranks]
@@ -261,24 +290,23 @@ def train(docs: DataFrame, v: Vocabulary, words: Broadcast | None = None, rounds
 def _learn(sent: Broadcast, words: Broadcast, r: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words.value
-        numbers, t, flow, waiting = Numbers(v), None, [], 0
-        start = np.array([numbers.before] * 2, np.int32)
+        numbers, t, flow, waiting = Numbers(v, v.words), None, [], 0
 
         for b in batches:
             for text in b.column(0):
                 data = text.as_py() or b""
                 t = t or Trainer(sent.value, v.frequencies(), SEED + r)
-                flow.append(start)
+                flow += (BEFORE, BEFORE)
                 for part in words_of(data):
-                    flow.append(numbers.of(part, numbers.ranks(part)))
+                    flow += part
                     waiting += len(part)
                     if waiting >= FLOW:
-                        t.steps(np.concatenate(flow), numbers.before)
-                        flow, waiting = [np.concatenate(flow)[-2:]], 0  # what the text goes on from
-                flow.append(np.array([numbers.end], np.int32))
+                        t.steps(numbers.of(flow, numbers.ranks(flow)), numbers.before)
+                        flow, waiting = flow[-2:], 0  # what the text goes on from
+                flow.append(AFTER)
                 waiting += 1
         if t:
-            t.steps(np.concatenate(flow), numbers.before)
+            t.steps(numbers.of(flow, numbers.ranks(flow)), numbers.before)
             yield from _sums(t)
 
     return run
@@ -336,36 +364,63 @@ def normalisers(spark: SparkSession, model: Model, step: int = 128) -> np.ndarra
 
 
 class Scorer:
-    """log10 probabilities of the tokens of texts that come piece by piece."""
+    """log10 probabilities of the tokens of texts, many short texts at once, long ones piece by piece."""
 
     def __init__(self, model: Model, table: np.ndarray, v: Vocabulary):
-        self.m, self.table, self.v, self.numbers = model, table, v, Numbers(v)
+        self.m, self.table, self.v, self.numbers = model, table, v, v.numbers
         self.near, self.far = model.context * model.near, model.context * model.far
+        # by rank; then of the marks; and, as rank -1 is the last, of words whose count isn't held: log10(c + 0.5) is 0 there
+        self.base = np.concatenate([v.base(v.count), v.base(np.array([v.ends])), [0], v.base(np.array([0.5]))])
+        self.own = np.concatenate([np.zeros(v.words), v.own(v.count[v.words :], self.numbers.number[v.words : -2] - v.words), [0, 0, 0]])
+        self.lost = v.own(np.full(CLASSES, 0.5), np.arange(CLASSES))
 
     def tokens(self, ids: np.ndarray) -> np.ndarray:
         """Of all ids but the first two, which are context. Natural logarithms."""
-        w, a, e, m = ids[2:], ids[1:-1], ids[:-2], self.m
-        return np.einsum("nd,nd->n", self.near[a] + self.far[e], m.target[w]) + m.bias[w] - self.table[a, e]
-
-    def text(self, data: bytes) -> tuple[int, int, float, float, Counter]:
-        """Tokens, those with a held count, sums of base and score; words whose count isn't held are returned, and lack log10(c + 0.5) in both sums."""
-        v, numbers, rare = self.v, self.numbers, Counter()
-        n, known, base, score = 1, int(v.ends > 0), float(v.base(np.array(v.ends))), 0.0
-        last = np.array([numbers.before] * 2, np.int32)
-        for words in words_of(data):
-            for lo in range(0, len(words), FLOW):
-                part = words[lo : lo + FLOW]
-                ranks = numbers.ranks(part)
-                ids = np.concatenate([last, numbers.of(part, ranks)])
-                last = ids[-2:]
-                score += float(self.tokens(ids).astype(float).sum()) / LN10
-                held, lost = ranks[ranks >= 0], np.flatnonzero(ranks < 0)
-                c, k = v.count[held], ids[2:]
-                n, known = n + len(part), known + len(held)
-                base += float(v.base(c).sum()) + len(lost) * float(v.base(np.array(0.5)))  # log10(c + 0.5) is 0 there
-                score += float(v.own(c[held >= v.words], k[ranks >= v.words] - v.words).sum()) + float(v.own(np.full(len(lost), 0.5), k[lost] - v.words).sum())
-                rare.update(part[i] for i in lost.tolist())
-        return n, known, base, score + float(self.tokens(np.append(last, np.int32(numbers.end)))[0]) / LN10, rare
+        return self.after(ids[2:], ids[1:-1], ids[:-2])
+
+    def after(self, w: np.ndarray, a: np.ndarray, e: np.ndarray) -> np.ndarray:
+        h = self.near.take(a, axis=0)
+        h += self.far.take(e, axis=0)
+        return np.einsum("nd,nd->n", h, self.m.target.take(w, axis=0)) + self.m.bias.take(w) - self.table[a, e]
+
+    def texts(self, texts: Iterable[bytes]) -> tuple[list[list], list[Counter]]:
+        """A row for each text: tokens, those with a held count, sums of base and score. Words whose count isn't held are returned, too, and lack log10(c + 0.5) in both sums."""
+        out, rare, flow, of = [], [], [], []  # of: for each part of the flow, its text and its number of words
+
+        def add() -> None:
+            n = len(self.v.count)
+            ranks = self.numbers.ranks(flow)
+            ids = self.numbers.of(flow, ranks)
+            at = np.flatnonzero(ids[2:] != self.numbers.before) + 2
+            told = ranks[at]
+            known = told >= 0 if self.v.ends else (told >= 0) & (told != n)
+            own = self.own[told] + self.after(ids[at], ids[at - 1], ids[at - 2]).astype(float) / LN10
+            lost = np.flatnonzero(told < 0)
+            own[lost] += self.lost[ids[at[lost]] - self.numbers.first_class]
+            text, count = np.array(of).T
+            starts = np.cumsum(count) - count
+            for i, *x in zip(text.tolist(), count.tolist(), *(np.add.reduceat(y, starts).tolist() for y in (known.astype(np.int64), self.base[told], own)), strict=True):
+                out[i] = [p + q for p, q in zip(out[i], x, strict=True)]
+            for i, k in zip(np.repeat(text, count)[lost].tolist(), at[lost].tolist(), strict=True):
+                rare[i][flow[k]] += 1
+
+        for i, data in enumerate(texts):
+            out.append([0, 0, 0.0, 0.0])
+            rare.append(Counter())
+            flow += (BEFORE, BEFORE)
+            for words in words_of(data):
+                for lo in range(0, len(words), SCORED):
+                    part = words[lo : lo + SCORED]
+                    flow += part
+                    of.append((i, len(part)))
+                    if len(flow) >= SCORED:
+                        add()
+                        flow, of = flow[-2:], []  # what the text goes on from
+            flow.append(AFTER)
+            of.append((i, 1))
+        if of:
+            add()
+        return out, rare
 
 
 def score(docs: DataFrame, held: Column | None = None, words: int = WORDS, head: int = HEAD) -> DataFrame:
@@ -388,11 +443,12 @@ def score(docs: DataFrame, held: Column | None = None, words: int = WORDS, head:
         scorer = None
         for b in batches:
             scorer = scorer or Scorer(*sent.value, known.value)
-            found = [scorer.text(t.as_py()) for t in b.column(3)]
-            rare = [[{"word": w.decode(), "n": n} for w, n in x[4].items()] for x in found]
+            found, rare = scorer.texts(t.as_py() for t in b.column(3))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             cols = [pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)]
-            yield pa.record_batch([*b.columns[:3], *cols, pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))], names=[key, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+            asked = pa.StructArray.from_arrays([pa.array([w for x in rare for w in x], pa.binary()).cast(pa.string()), pa.array([n for x in rare for n in x.values()], pa.int64())], names=["word", "n"])
+            ends = np.cumsum([0, *map(len, rare)]).astype(np.int32)
+            yield pa.record_batch([*b.columns[:3], *cols, pa.ListArray.from_arrays(ends, asked)], names=[key, "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     keys = keyed(rows, key).select(key, "doc_id", "held_out", F.col("text").cast("binary").alias("text"))
     told = stored(keys.mapInArrow(run, f"{key} long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: string, n: long>>"), "scored")

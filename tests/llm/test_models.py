@@ -118,6 +118,62 @@ def test_probabilities_add_up_to_one(spark):
         assert len(c) == v.class_words[k] and abs(sum(10 ** v.own(np.array([*c, 0]), np.full(len(c) + 1, k))) - 1) < 1e-9
 
 
+def test_a_step_equals_the_plain_one_and_computes_noise_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    frequencies = np.array([500.0, 300, 100, 40, 30, 20, 5, 3, 1, 1])
+    model = bilinear.Model.start(frequencies)
+    ids, before = rng.integers(0, 10, bilinear.BATCH + 2).astype(np.int32), 10
+    ids[:2] = before
+    m = bilinear.Model(*(x.astype(float) for x in (model.context, model.target, model.bias, model.near, model.far)))
+    share, draws = frequencies / frequencies.sum(), np.random.default_rng(7).random(bilinear.NOISE)
+    noise = np.searchsorted(np.cumsum(share), draws)  # all draws, with repeats
+    w, a, e = ids[2:], ids[1:-1], ids[:-2]
+    h = m.context[a] * m.near + m.context[e] * m.far
+    odds = lambda x, k: x + m.bias[k] - np.log(bilinear.NOISE * share[k])
+    g, gn = 1 / (1 + np.exp(odds((h * m.target[w]).sum(axis=1), w))), -1 / (1 + np.exp(-odds(h @ m.target[noise].T, noise)))
+    back = g[:, None] * m.target[w] + gn @ m.target[noise]
+    grads = [np.zeros_like(x) for x in (m.context, m.target, m.bias)]
+    for grad, rows, by in ((0, a, back * m.near), (0, e, back * m.far), (1, w, g[:, None] * h), (1, noise, gn.T @ h), (2, w, g), (2, noise, gn.sum(axis=0))):
+        np.add.at(grads[grad], rows, by)
+    rate = lambda x: bilinear.RATE / np.sqrt((x**2).mean(axis=1, keepdims=True) if x.ndim > 1 else x**2, where=x.any(axis=-1, keepdims=x.ndim > 1) if x.ndim > 1 else x != 0, out=np.ones((len(x), 1) if x.ndim > 1 else len(x)))
+    t, asked, exp = bilinear.Trainer(model, frequencies, 7), [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, *args, **kw: asked.append(np.size(x)) or exp(x, *args, **kw))
+    t.steps(ids, before)
+    monkeypatch.undo()
+    for got, was, grad in zip((t.m.context, t.m.target, t.m.bias), (m.context, m.target, m.bias), grads, strict=True):
+        assert np.abs(got - (was + rate(grad) * grad)).max() < 1e-3
+    assert sum(asked) <= bilinear.BATCH * (1 + len(frequencies))  # not 1 + NOISE a token
+
+
+def test_texts_are_scored_many_at_once_and_learned_from_by_the_own_words(monkeypatch):
+    texts = [(t or "").encode() for _, t in prose()] + [b"", b" \n", b"one", b"Los " * 60]
+    count = Counter(w for t in texts[:60] for words in bilinear.words_of(t) for w in words)
+    names = sorted(count, key=lambda w: (-count[w], w))
+    classes = np.array([[sum(w[-1] == k for w in names[12:]), sum(count[w] for w in names[12:] if w[-1] == k)] for k in range(bilinear.CLASSES)])
+    held = names[:20]
+    v = bilinear.Vocabulary(held, np.array([count[w] for w in held]), 12, 1, count.total() + 60, len(names) + 1, 60, classes[:, 1], classes[:, 0])
+    own, every = bilinear.Numbers(v, v.words), bilinear.Numbers(v)
+    words = [w for t in texts for x in bilinear.words_of(t) for w in x]
+    assert len(own.rank) == 14 and own.of(words, own.ranks(words)).tolist() == every.of(words, every.ranks(words)).tolist()
+    model = bilinear.Model.start(v.frequencies())
+    s = bilinear.Scorer(model, model.normalisers(slice(0, len(model.context))), v)
+    calls, after = [], s.after
+    s.after = lambda *ids: calls.append(len(ids[0])) or after(*ids)
+    whole, rare = s.texts(texts)
+    assert len(calls) == 1 and sum(calls) == sum(x[0] for x in whole)  # one flow, not a call or two for each text
+    monkeypatch.setattr(bilinear, "SCORED", 7)
+    pieces, again = s.texts(texts)
+    assert len(calls) > 20 and rare == again and np.allclose(np.array(whole, float), np.array(pieces, float), rtol=0, atol=1e-9)
+    for t, x, r in zip(texts, whole, rare, strict=True):
+        words = t.translate(bilinear.LOWER).split()
+        ids = np.concatenate([[every.before] * 2, every.of(words, every.ranks(words)), [every.end]]).astype(np.int32)
+        c = [v.count[held.index(w)] if w in held else 0.5 for w in words]
+        shares = sum(float(v.own(np.array(n), w[-1])) for w, n in zip(words, c, strict=True) if w not in held[:12])
+        assert x[:2] == [len(words) + 1, sum(w in held for w in words) + 1] and r == Counter(w for w in words if w not in held)
+        assert abs(x[2] - sum(float(v.base(np.array(n))) for n in [*c, 60])) < 1e-9
+        assert abs(x[3] - shares - s.tokens(ids).astype(float).sum() / bilinear.LN10) < 1e-9
+
+
 def test_scores_without_training_rows(spark):
     df = spark.createDataFrame([(i, "a b") for i in range(40)], "doc_id long, text string").where(bilinear.held_out())
     got = bilinear.score(df).collect()
