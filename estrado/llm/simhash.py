@@ -318,10 +318,12 @@ def sharing(texts: DataFrame, count: int, words: int, least: float, drawn: int =
                 ns.append(np.full(len(cell), len(s)))
             if cells:
                 cell, block, key, n, place = (np.concatenate(x) for x in (cells, blocks, keys, ns, places))
-                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(block), pa.array(key), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["cell", "block", "key", "n", "place"])
+                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(block - key), pa.array(key), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], names=["cell", "off", "key", "n", "place"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, block, key, n, place in _finished(batches, 1 << 14):
+        for cell, off, key, n, place in _finished(batches, 1 << 14):
+            order = np.lexsort((key + off, cell))
+            cell, block, key, n, place = (x[order] for x in (cell, key + off, key, n, place))
             new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
             part = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]), [True]]))
             end, other = np.repeat(new[1:], np.diff(new)), np.repeat(part[1:], np.diff(part))
@@ -343,11 +345,15 @@ def sharing(texts: DataFrame, count: int, words: int, least: float, drawn: int =
                 yield pa.record_batch([pa.array(np.maximum(key[i], key[j])), pa.array(np.minimum(key[i], key[j])), pa.array(need.astype(np.int32))], names=["u", "v", "need"])
                 at = to
 
-    dealt = texts.select("_key", "text", "block").mapInArrow(deal, "cell long, block long, key long, n int, place int")
-    pairs = dealt.repartition("cell").sortWithinPartitions("cell", "block").mapInArrow(match, "u long, v long, need int")
+    dealt = texts.select("_key", "text", "block").mapInArrow(deal, "cell long, off long, key long, n int, place int")  # a block is told by its distance from the key, mostly 0, as these rows are most of what is shuffled
+    pairs = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(match, "u long, v long, need int")
     return pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k"), F.max("need").alias("need")).where("k >= need").select("u", "v")
 
 
+#: Documents of a block, about so many, that each of its chunks holds.
+PIVOTS = 16
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 14, radius2: int = 20, tile: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text, any more) -> the same columns: one document of each group stays, the one with the smallest doc_id.
 
@@ -357,7 +363,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     Null texts are one group, texts without words another unless equal. Null doc_ids come last; repeated rows are copies.
     """
     small_batches(docs.sparkSession)
-    docs = keyed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    docs = keyed(docs.select(F.struct(*docs.columns).alias("_row")), id_col="_row.doc_id", text_col="_row.text").select("_key", F.col("_row.text").alias("text"), "_row")  # a text is moved and kept once where rows are numbered
     same = [F.xxhash64("text").alias("t1"), F.crc32("text").alias("t2"), F.octet_length("text").alias("t3")]
     slim = stored(docs.select("_key", *same), "texts")
     reps = slim.groupBy("t1", "t2", "t3").agg(F.min("_key").alias("_key")).select("_key")
@@ -372,13 +378,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     more = sharing(whole, points.count(), words, least)
     block = components(near.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     block = stored(block.join(marks, block["node"] == marks["_key"]).select("_key", F.col("root").alias("block"), "n"), "blocks")
-    # a block whose shingles don't fit one tile is cut in chunks, and each pair of chunks is a tile
-    cuts = block.groupBy("block").agg(F.ceil(F.greatest(F.sum("n") / F.lit(float(tile)), F.count(F.lit(1)) / F.lit(8192.0))).cast("int").alias("cuts"))
-    spot = block.join(cuts, "block").withColumn("c", F.pmod(F.xxhash64("_key"), F.col("cuts")).cast("int"))
-    spot = spot.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    spot = spot.select("_key", F.xxhash64("block", F.least("c", "o"), F.greatest("c", "o")).alias("cell"))
-    asked = docs.select("_key", F.col("text").cast("binary").alias("text")).join(few(block.select("_key")), "_key", "left_semi")
-    texts = spot.join(asked, "_key")
+    asked = docs.select("_key", F.col("text").cast("binary").alias("text"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -390,7 +390,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
             hit = np.flatnonzero(found.root != np.arange(len(ids)))
             yield pa.record_batch([pa.array(ids[hit]), pa.array(ids[found.root[hit]])], names=["u", "v"])
 
-    links = texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "u long, v long")
+    def verified(spot: DataFrame, name: str) -> DataFrame:
+        """spot (_key, cell) -> u, v: links that join what is similar within each cell."""
+        texts = asked.join(few(stored(spot, name), width=F.lit(16)), "_key")
+        return texts.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "u long, v long")
+
+    # a block whose shingles don't fit one tile is cut in chunks; each is verified by itself, together with a few documents of the block that all chunks have
+    cut = lambda n, k: F.ceil(F.greatest(n / F.lit(float(tile)), k / F.lit(8192.0))).cast("int")
+    cuts = block.groupBy("block").agg(F.count(F.lit(1)).alias("k"), cut(F.sum("n"), F.count(F.lit(1))).alias("cuts"))
+    chunk = lambda of: F.pmod(F.xxhash64("_key"), of).cast("int")
+    upto = lambda of: F.when(of > 0, F.sequence(F.lit(0), of - 1)).otherwise(F.array().cast("array<int>"))
+    pivot = (F.col("cuts") > 1) & (F.pmod(F.xxhash64(F.lit(1), "_key"), F.col("k")) < PIVOTS)
+    spot = block.join(cuts, "block").select("_key", "block", F.explode(F.when(pivot, upto(F.col("cuts"))).otherwise(F.array(chunk(F.col("cuts"))))).alias("c"))
+    links = stored(verified(spot.select("_key", F.xxhash64("block", "c").alias("cell")), "spots"), "links")
+    large = cuts.where("cuts > 1").select("block")
+    if not large.isEmpty():
+        # pairs in one component needn't meet: the rest of a cut block meets the chunks of its largest component, and itself
+        part = block.join(large, "block").join(components(links), F.col("_key") == F.col("node"), "left").select("_key", "block", "n", F.coalesce("root", "_key").alias("part"))
+        most = part.groupBy("block", "part").agg(F.sum("n").alias("size")).groupBy("block").agg(F.max_by("part", F.struct("size", "part")).alias("most"))
+        part = part.join(most, "block").withColumn("rest", F.col("part") != F.col("most"))
+        own = lambda c, rest: F.sum(F.when(F.col("rest") == rest, c).otherwise(0))
+        sizes = part.groupBy("block").agg(*(cut(own(F.col("n"), r), own(F.lit(1), r)).alias(x) for x, r in (("a", False), ("b", True)))).where("b > 0")
+        part = part.join(sizes, "block")
+        a, b = F.col("a"), F.col("b")
+        to = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+        here = chunk(b)
+        cells = F.when(F.col("rest"), F.concat(F.transform(upto(a), lambda i: to("a", i, here)), F.transform(upto(b), lambda j: to("b", F.least(here, j), F.greatest(here, j))))).otherwise(F.transform(upto(b), lambda j: to("a", chunk(a), j)))
+        spot = part.select("_key", "block", F.explode(cells).alias("x")).select("_key", F.xxhash64("block", "x.kind", "x.i", "x.j").alias("cell"))
+        links = links.unionByName(verified(spot, "spots"))
     groups = components(links)
     losers = stored(groups.where("node <> root").select(F.col("node").alias("_key")).unionByName(copies), "losers")
     return docs.join(few(losers), "_key", "left_anti").select("_row.*")

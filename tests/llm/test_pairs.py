@@ -210,6 +210,59 @@ def test_near_duplicates_are_verified_in_tiles(spark):
     assert [r["doc_id"] for r in simhash.near_duplicates(docs(spark, rows), tile=6000).collect()] == [0]
 
 
+def _family(rng, words, near):
+    """Texts on both sides of the threshold to the first, and to each other."""
+    out = [words]
+    for i in range(near):
+        w = list(out[rng.randrange(len(out))] if i % 3 == 0 else words)
+        for at in rng.sample(range(len(w)), rng.choice([1, 1, 1, 2, 3, 4])):
+            w[at] = f"x{i}"
+        out.append(w)
+    return out
+
+
+def test_texts_of_a_large_block_are_moved_once_or_so(spark, monkeypatch):
+    rng, moved, stored = random.Random(8), [], simhash.stored
+
+    def told(df, name):
+        out = stored(df, name)
+        if name == "spots":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", told)
+    base = [f"p{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(i, " ".join(f"x{i}" if j == i % 120 else w for j, w in enumerate(base))) for i in range(600)]
+    assert [r["doc_id"] for r in simhash.near_duplicates(docs(spark, rows), tile=6000).collect()] == [0]
+    # 12 chunks or so: a text met all of them, 12 times 600 rows in all; now only a few texts do
+    assert sum(moved) < 2 * 600
+
+
+def test_cut_blocks_lose_no_link(spark):
+    rng = random.Random(10)
+    rows = []
+    for _ in range(4):
+        rows += [" ".join(w) for w in _family(rng, [f"p{rng.randrange(5000)}" for _ in range(80)], 60)]
+    rows = list(enumerate(rows))
+    sets = {i: {" ".join(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    links = [(a, b) for a in sets for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = sorted(set(roots(sets, links).values()))
+    for tile, pivots in ((1_000_000, 16), (400, 16), (400, 0)):
+        simhash.PIVOTS = pivots
+        try:
+            assert sorted(r["doc_id"] for r in simhash.near_duplicates(docs(spark, rows), tile=tile).collect()) == want
+        finally:
+            simhash.PIVOTS = 16
+    assert len(want) > 8
+
+
+def test_rows_with_recurring_ids_hold_their_text_once(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(streams, "stored", lambda df, name: names.append(df.columns) or df)
+    assert simhash.near_duplicates(docs(spark, [(1, "uno dos tres"), (1, "cuatro cinco seis"), (1, "uno dos tres")])).count() == 2
+    assert names and all("text" not in c for c in names)
+
+
 def test_near_duplicates_find_every_pair_of_the_threshold(spark):
     rng = random.Random(9)
     vocabulary = [f"palabra{i}" for i in range(3000)]
