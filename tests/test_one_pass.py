@@ -64,3 +64,19 @@ def test_charters_are_cut_in_one_pass(spark):
 def test_tasks_grow_in_number_with_the_rows(spark, monkeypatch):
     monkeypatch.setattr(plans, "ROWS", 10)
     assert plans.dealt(spark.range(200)).rdd.getNumPartitions() == 20 and plans.dealt(spark.range(5)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_texts_are_cut_by_bytes_as_by_characters(spark):
+    far = "\n" + " " * 90 + "Dada en la Sala de Sesiones, hoy\nfin"
+    rows = ["", " ", "\n", "a", "a\n", "a\n\n", " a\n", "é", "é\n", "a é", "\xa0a\xa0", "a \n", "\U0001f600", "x" + far, "é" * 70 + " \n \nDada en la sala de Deliberaciones y más\nDada", far, "Dada", "sin marca", None]
+    d = spark.createDataFrame([(x,) for x in rows], "t string")
+    got = d.select("t", text.strip(F.col("t")).alias("a"), F.btrim("t", F.lit(text.SPACES)).alias("b"), text.replaced(F.col("t"), "Dada", parse.CLOSING, "<>").alias("c"), F.regexp_replace("t", parse.CLOSING, "<>").alias("d"), text.from_byte(F.col("t"), F.lit(1)).alias("e")).collect()
+    for r in got:
+        assert (r["a"], r["c"], r["e"]) == (r["b"], r["d"], r["t"])
+
+
+def test_headings_far_into_a_text_and_long_ones_are_read(spark):
+    t = "preámbulo " * 200 + "\nARTÍCULO" + " " * 150 + "7º.-" + " " * 300 + "Que sí.\nArtículo 8.- Texto\nANEXO I\nfin\n"
+    r = spark.createDataFrame([(t,)], "t string").select(F.posexplode(parse.articles(parse.body(F.col("t")))).alias("i", "x")).select("x.*").collect()
+    assert [(x["num"], x["texto"]) for x in r] == [(7, "Que sí."), (8, "Texto ANEXO I")]
+    assert r[0]["start"] == 0 and r[0]["end"] == r[1]["start"] == r[0]["char_count"]
