@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.chunks import epoch, size_class
+from ..session import shared_folder
 from .sizes import small
 
 #: Bounds of the histogram of chunks per document, quotas of the samplers, the seed.
@@ -63,7 +66,10 @@ def largest(chunks: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 
 def anomalies(rows: DataFrame, order: list, n: int = 50) -> DataFrame:
-    """The first ``n`` rows with the total and whether the list is cut."""
+    """The first ``n`` rows with the total and whether the list is cut. The rows are stored, so that what finds them runs once."""
+    path = f"{shared_folder(rows.sparkSession)}/anomalies-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(path)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return rows.orderBy(*order).limit(n).crossJoin(F.broadcast(total)).withColumn("truncado", F.col("total") > n)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from estrado.functions import parse, text
-from estrado.operators import charter, chunking, repeal
+from estrado.operators import audit, charter, chunking, repeal
 from estrado.plans import charter as plans
 
 
@@ -80,3 +80,17 @@ def test_headings_far_into_a_text_and_long_ones_are_read(spark):
     r = spark.createDataFrame([(t,)], "t string").select(F.posexplode(parse.articles(parse.body(F.col("t")))).alias("i", "x")).select("x.*").collect()
     assert [(x["num"], x["texto"]) for x in r] == [(7, "Que sí."), (8, "Texto ANEXO I")]
     assert r[0]["start"] == 0 and r[0]["end"] == r[1]["start"] == r[0]["char_count"]
+
+
+def test_anomalies_judge_each_row_once(spark):
+    judged = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            judged.add(b.num_rows)
+            yield b
+
+    rows = spark.range(120).mapInArrow(one, "id long")
+    got = audit.anomalies(rows, [F.asc("id")]).collect()
+    assert [r["id"] for r in got] == list(range(50)) and {(r["total"], r["truncado"]) for r in got} == {(120, True)}
+    assert judged.value == 120
